@@ -63,13 +63,15 @@ def validate_request(df: DataFrame, text_col: str = "slang", out_text: str = "sl
 
 # J4
 def pair_turns(conversations: DataFrame, src_role: str = "user",
-               tgt_role: str = "assistant", pair_key_scale: int = 1000) -> DataFrame:
+               tgt_role: str = "assistant", pair_key_scale: int = 1000,
+               how: str = "inner") -> DataFrame:
     """Parallel rows from adjacent turns: a ``src_role`` turn and the
     ``tgt_role`` turn right after it in the same conversation.
 
     An equi-join on the composite key (conv_id, turn) rather than a window
     over conv_id: a single huge conversation is then spread over many
-    partitions instead of landing in one task.
+    partitions instead of landing in one task. ``how="left"`` keeps
+    source turns with no answer (target null), i.e. the raw pair table.
     """
     u = (conversations.filter(F.col("role") == src_role)
          .select("conv_id", F.col("turn"), F.col("text").alias("src"),
@@ -77,7 +79,7 @@ def pair_turns(conversations: DataFrame, src_role: str = "user",
     a = (conversations.filter(F.col("role") == tgt_role)
          .select(F.col("conv_id").alias("_c"), F.col("turn").alias("_t"),
                  F.col("text").alias("tgt")))
-    return (u.join(a, (u.conv_id == a._c) & (u._next == a._t))
+    return (u.join(a, (u.conv_id == a._c) & (u._next == a._t), how)
             .select((F.col("conv_id") * pair_key_scale + F.col("turn")).alias("pair_id"),
                     "conv_id", "turn", "src", "tgt"))
 

@@ -65,6 +65,12 @@ def binary_error_counts(df: DataFrame, gold: str = "gold", pred: str = "pred",
                   F.count(F.lit(1)).alias("total"))
 
 
+def _row(label: str, p: Column, r: Column, f1: Column, support: Column) -> Column:
+    return F.struct(F.lit(label).alias("label"), p.cast("double").alias("precision"),
+                    r.cast("double").alias("recall"), f1.cast("double").alias("f1"),
+                    support.cast("bigint").alias("support"))
+
+
 # A5
 def classification_report(df: DataFrame, gold: str = "gold", pred: str = "pred",
                           class_names: dict | None = None) -> DataFrame:
@@ -103,12 +109,10 @@ def classification_report(df: DataFrame, gold: str = "gold", pred: str = "pred",
                     F.sum(F.col("recall") * F.col("support")).alias("wr"),
                     F.sum(F.col("f1") * F.col("support")).alias("wf"))
     summary = total.select(F.explode(F.array(
-        F.struct(F.lit("accuracy").alias("label"), F.lit(None).cast("double").alias("precision"),
-                 F.lit(None).cast("double").alias("recall"), (F.col("tp") / F.col("n")).alias("f1"),
-                 F.col("n").cast("bigint").alias("support")),
-        F.struct(F.lit("macro avg"), F.col("mp"), F.col("mr"), F.col("mf"), F.col("n").cast("bigint")),
-        F.struct(F.lit("weighted avg"), F.col("wp") / F.col("n"), F.col("wr") / F.col("n"),
-                 F.col("wf") / F.col("n"), F.col("n").cast("bigint")))).alias("s")).select("s.*")
+        _row("accuracy", F.lit(None), F.lit(None), F.col("tp") / F.col("n"), F.col("n")),
+        _row("macro avg", F.col("mp"), F.col("mr"), F.col("mf"), F.col("n")),
+        _row("weighted avg", F.col("wp") / F.col("n"), F.col("wr") / F.col("n"),
+             F.col("wf") / F.col("n"), F.col("n")))).alias("s")).select("s.*")
     return classes.unionByName(summary)
 
 

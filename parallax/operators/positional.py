@@ -55,12 +55,18 @@ def ordered_positions(df: DataFrame, order_by: Sequence[Column], bucket_cols: Se
         whole = Window.partitionBy(*parts) if parts else Window.partitionBy()
         offsets = offsets.withColumn(size_col, F.sum("_cnt").over(whole))
     offsets = offsets.drop("_cnt")
+    # Null-safe keys: no inferred isnotnull filter lands on one branch only,
+    # so both branches keep the same exchange and Spark reuses it.
+    renamed = [f"_k{i}" for i in range(len(keys))]
+    offsets = offsets.select(*[F.col(k).alias(r) for k, r in zip(keys, renamed)],
+                             "_off", *([size_col] if size_col else []))
     if broadcast_offsets:
         offsets = F.broadcast(offsets)
-    return (ranked.join(offsets, keys)
+    cond = [ranked[k].eqNullSafe(offsets[r]) for k, r in zip(keys, renamed)]
+    return (ranked.join(offsets, cond)
             .withColumn(out, F.col("_off") + F.col("_rn")
                         - (F.col(weight_col) if weight_col else F.lit(1)))
-            .drop("_rn", "_off"))
+            .drop("_rn", "_off", *renamed))
 
 
 # G1 ------------------------------------------------------------------------

@@ -1 +1,241 @@
-"""Registered queries."""
+"""Registered model-job queries: M1-M6, A11, A12, J3, A13 on the CONV split."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from parallax import constants as K
+from parallax.functions import text as T
+from parallax.operators import metrics as M
+from parallax.operators import models as MD
+from parallax.operators import overlap as O
+from parallax.operators.pairing import build_detection_examples
+from parallax.plans import sqlfrag as S
+from parallax.plans.q_overlap import bleu_ctes, chrf_ctes
+from parallax.plans.q_sample import EXAMPLES, SPLIT, split_pairs
+from parallax.plans.registry import query
+from parallax.session import cut_lineage
+
+
+def sequences(spark, sf):
+    """Split pairs with full-sequence tokens (quoted prompt + target) and the prompt length."""
+    p = split_pairs(spark, sf)
+    prompt = T.generation_prompt("src", quoted=True)
+    return p.select("pair_id", "split", "split_pos",
+                    T.whitespace_tokens(F.concat(prompt, F.col("tgt"))).alias("tokens"),
+                    F.size(T.whitespace_tokens(prompt)).alias("n_prompt"))
+
+
+def row_losses(spark, sf, target_only: bool = False):
+    seqs = sequences(spark, sf)
+    lm = MD.BigramLM.fit(seqs.filter(F.col("split") == "train"), "tokens")
+    test = seqs.filter(F.col("split") == "test")
+    loss = lm.row_loss(test, "pair_id", "tokens",
+                       F.col("n_prompt") if target_only else None)
+    return loss.join(test.select("pair_id", "split_pos"), "pair_id")
+
+
+# -- oracle views -----------------------------------------------------------
+
+def _lm_sql(target_only: bool) -> str:
+    prompt = S.template(K.GEN_PROMPT_QUOTED, slang="src")
+    cond = "AND b.i >= b.np" if target_only else ""
+    return SPLIT + f""",
+seqs AS (SELECT pair_id, split, split_pos, {S.tokens(f'({prompt} || tgt)')} AS t,
+                len({S.tokens(prompt)}) AS np FROM splits),
+bg AS (SELECT pair_id, split, split_pos, np, i, t[i] AS v, t[i + 1] AS w
+       FROM (SELECT *, unnest(range(1, len(t))) AS i FROM seqs)),
+cvw AS (SELECT v, w, count(*) AS c_vw FROM bg WHERE split = 'train' GROUP BY v, w),
+cv AS (SELECT v, count(*) AS c_v FROM bg WHERE split = 'train' GROUP BY v),
+vs AS (SELECT count(DISTINCT tok) + 1 AS n FROM (SELECT unnest(t) AS tok FROM seqs WHERE split = 'train')),
+scored AS (
+  SELECT b.pair_id, b.split_pos,
+         -ln((coalesce(cvw.c_vw, 0) + {MD.ADD_K!r}) / (coalesce(cv.c_v, 0) + {MD.ADD_K!r} * vs.n)) AS nll
+  FROM bg b LEFT JOIN cvw ON b.v = cvw.v AND b.w = cvw.w LEFT JOIN cv ON b.v = cv.v CROSS JOIN vs
+  WHERE b.split = 'test' {cond}),
+losses AS (SELECT pair_id, split_pos, avg(nll) AS row_loss, count(*) AS n_scored FROM scored
+           GROUP BY pair_id, split_pos)"""
+
+
+LEXICON_SQL = SPLIT + f""",
+tt AS (SELECT {S.tokens('src')} AS s, {S.tokens('tgt')} AS t FROM splits WHERE split = 'train'),
+al AS (SELECT s[i] AS s, t[CAST(ceil(i * len(t) / len(s)) AS BIGINT)] AS t
+       FROM (SELECT *, unnest(range(1, len(s) + 1)) AS i FROM tt WHERE len(s) > 0 AND len(t) > 0)),
+cnt AS (SELECT s, t, count(*) AS count FROM al GROUP BY s, t),
+lexicon AS (SELECT s, t, count FROM (
+  SELECT *, row_number() OVER (PARTITION BY s ORDER BY count DESC, t) AS r FROM cnt) WHERE r = 1)"""
+
+
+def _translate_sql(src_view: str, key: str, text: str, name: str) -> str:
+    return f"""{name}_ex AS (SELECT {key}, unnest(tk) AS tok, generate_subscripts(tk, 1) AS pos
+       FROM (SELECT {key}, {S.tokens(text)} AS tk FROM {src_view})),
+{name}_tr AS (SELECT e.{key}, array_to_string(list(coalesce(l.t, e.tok) ORDER BY e.pos), ' ') AS tr
+       FROM {name}_ex e LEFT JOIN lexicon l ON e.tok = l.s GROUP BY e.{key}),
+{name} AS (SELECT v.*, coalesce(x.tr, '') AS tr FROM {src_view} v LEFT JOIN {name}_tr x ON v.{key} = x.{key})"""
+
+
+def _generated_sql() -> str:
+    prompt = S.template(K.GEN_PROMPT_QUOTED, slang="src")
+    out = f"({prompt} || tr)"
+    first = f"split_part(substring({out}, length({prompt}) + 1), chr(10), 1)"
+    return LEXICON_SQL + ",\n" + _translate_sql(
+        "(SELECT * FROM splits WHERE split = 'test')", "pair_id", "src", "gen") + f""",
+generated AS (SELECT pair_id, src, tgt, {S.strip(first)} AS generated FROM gen)"""
+
+
+def _overlap_sql(a: str, b: str) -> str:
+    da = f"list_distinct({S.tokens(a)})"
+    return (f"(CASE WHEN len({da}) > 0 THEN len(list_intersect({da}, {S.tokens(b)})) / len({da}) "
+            "ELSE 0.0 END)")
+
+
+METRICS_SQL = EXAMPLES.replace("WITH ", "") + ",\n" + LEXICON_SQL.split(SPLIT + ",\n", 1)[1] + ",\n" + \
+    _translate_sql("(SELECT * FROM examples WHERE split = 'test')", "example_id", "src", "dex") + ",\n" + \
+    _translate_sql("(SELECT * FROM splits WHERE split = 'test')", "pair_id", "src", "gen") + f""",
+det AS (SELECT label,
+               CAST({_overlap_sql('src', 'tgt')} >= {MD.OVERLAP_THRESHOLD!r} AS INTEGER) AS zs,
+               CAST({_overlap_sql('tr', 'tgt')} >= {MD.OVERLAP_THRESHOLD!r} AS INTEGER) AS ft FROM dex),
+zs_p AS (SELECT pair_id, src AS hyp, tgt AS ref FROM gen),
+ft_p AS (SELECT pair_id, tr AS hyp, tgt AS ref FROM gen),
+{chrf_ctes('zs_p', 'zc_')},
+{bleu_ctes('zs_p', 'zb_')},
+{chrf_ctes('ft_p', 'fc_')},
+{bleu_ctes('ft_p', 'fb_')},
+metrics AS (
+  SELECT 'detection' AS task, 'zero_shot' AS model, 'accuracy' AS metric,
+         avg(CAST(zs = label AS DOUBLE)) AS value FROM det
+  UNION ALL SELECT 'detection', 'fine_tuned', 'accuracy', avg(CAST(ft = label AS DOUBLE)) FROM det
+  UNION ALL SELECT 'generation', 'zero_shot', 'chrf', chrf FROM zc_chrf
+  UNION ALL SELECT 'generation', 'zero_shot', 'bleu', bleu FROM zb_bleu
+  UNION ALL SELECT 'generation', 'fine_tuned', 'chrf', chrf FROM fc_chrf
+  UNION ALL SELECT 'generation', 'fine_tuned', 'bleu', bleu FROM fb_bleu)"""
+
+
+# -- Spark side of the comparison ---------------------------------------------
+
+def lexicon(spark, sf):
+    p = split_pairs(spark, sf).filter(F.col("split") == "train")
+    toks = p.select(T.whitespace_tokens("src").alias("s"), T.whitespace_tokens("tgt").alias("t"))
+    return MD.train_lexicon(toks, "s", "t")
+
+
+def metrics_table(spark, sf):
+    """Tidy (task, model, metric, value): zero-shot baselines (M6) against
+    the trained lexicon (M4) on the test split."""
+    pairs = split_pairs(spark, sf)
+    lex = lexicon(spark, sf)
+    ex = build_detection_examples(pairs).filter(F.col("split") == "test")
+    ex_tr = MD.translate(ex.select("example_id", T.whitespace_tokens("src").alias("_t")),
+                         "example_id", "_t", lex, "tr")
+    det = ex.join(ex_tr, "example_id")
+    det = det.select("label",
+                     (MD.token_overlap(T.whitespace_tokens("src"), T.whitespace_tokens("tgt"))
+                      >= MD.OVERLAP_THRESHOLD).cast("int").alias("zs"),
+                     (MD.token_overlap(T.whitespace_tokens("tr"), T.whitespace_tokens("tgt"))
+                      >= MD.OVERLAP_THRESHOLD).cast("int").alias("ft"))
+    acc = det.agg(F.avg((F.col("zs") == F.col("label")).cast("double")).alias("zero_shot"),
+                  F.avg((F.col("ft") == F.col("label")).cast("double")).alias("fine_tuned"))
+    acc = acc.select(F.lit("detection").alias("task"), F.lit("accuracy").alias("metric"),
+                     F.stack(F.lit(2), F.lit("zero_shot"), "zero_shot", F.lit("fine_tuned"), "fine_tuned")
+                     .alias("model", "value"))
+    test = pairs.filter(F.col("split") == "test")
+    tr = MD.translate(test.select("pair_id", T.whitespace_tokens("src").alias("_t")), "pair_id", "_t",
+                      lex, "tr")
+    gen = test.join(tr, "pair_id")
+    rows = [acc]
+    for model, hyp in (("zero_shot", "src"), ("fine_tuned", "tr")):
+        sysdf = gen.select("pair_id", F.col(hyp).alias("hyp"), F.col("tgt").alias("ref"))
+        rows.append(O.corpus_chrf(sysdf).select(F.lit("generation").alias("task"), F.lit("chrf").alias("metric"),
+                                                F.lit(model).alias("model"), F.col("chrf").alias("value")))
+        rows.append(O.corpus_bleu(sysdf).select(F.lit("generation").alias("task"), F.lit("bleu").alias("metric"),
+                                                F.lit(model).alias("model"), F.col("bleu").alias("value")))
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out.select("task", "model", "metric", "value")
+
+
+# -- queries ----------------------------------------------------------------
+
+@query("m05_row_loss", S.with_(_lm_sql(False)) + "SELECT pair_id, row_loss, n_scored FROM losses")
+def m05(spark, sf):
+    return row_losses(spark, sf).select("pair_id", "row_loss", "n_scored")
+
+
+@query("m05_row_loss_target_only",
+       S.with_(_lm_sql(True)) + "SELECT pair_id, row_loss, n_scored FROM losses")
+def m05t(spark, sf):
+    return row_losses(spark, sf, target_only=True).select("pair_id", "row_loss", "n_scored")
+
+
+@query("a11_perplexity",
+       S.with_(_lm_sql(False)) + "SELECT exp(avg(row_loss)) AS perplexity, avg(row_loss) AS mean_loss FROM losses")
+def a11(spark, sf):
+    return M.perplexity(row_losses(spark, sf))
+
+
+@query("a12_mean_of_batch_means",
+       S.with_(_lm_sql(True)) + f"""SELECT avg(bl) AS loss, count(*) AS batches FROM (
+  SELECT floor(split_pos / {K.GEN_BATCH_SIZE}) AS b, avg(row_loss) AS bl FROM losses GROUP BY b)""")
+def a12(spark, sf):
+    return M.mean_of_batch_means(row_losses(spark, sf, target_only=True), "split_pos", K.GEN_BATCH_SIZE)
+
+
+@query("m04_lexicon", S.with_(LEXICON_SQL) + "SELECT s, t, count FROM lexicon")
+def m04(spark, sf):
+    return lexicon(spark, sf)
+
+
+@query("m02_generate", S.with_(_generated_sql()) + "SELECT pair_id, generated FROM generated")
+def m02(spark, sf):
+    test = split_pairs(spark, sf).filter(F.col("split") == "test").select("pair_id", "src", "tgt")
+    return MD.generate(test, "pair_id", lexicon(spark, sf)).select("pair_id", "generated")
+
+
+@query("m06_zero_shot_baseline",
+       "WITH " + METRICS_SQL + "\nSELECT task, model, metric, value FROM metrics WHERE model = 'zero_shot'")
+def m06(spark, sf):
+    return metrics_table(spark, sf).filter(F.col("model") == "zero_shot")
+
+
+@query("j03_compare_models",
+       "WITH " + METRICS_SQL + """
+SELECT a.task, a.metric, a.value AS zero_shot, b.value AS fine_tuned, b.value - a.value AS gain
+FROM metrics a JOIN metrics b ON a.task = b.task AND a.metric = b.metric
+WHERE a.model = 'zero_shot' AND b.model = 'fine_tuned'""")
+def j03(spark, sf):
+    return M.compare_models(metrics_table(spark, sf))
+
+
+@query("a13_comparison_table",
+       "WITH " + METRICS_SQL + """
+SELECT task, metric, max(value) FILTER (WHERE model = 'zero_shot') AS zero_shot,
+       max(value) FILTER (WHERE model = 'fine_tuned') AS fine_tuned,
+       max(value) FILTER (WHERE model = 'fine_tuned') - max(value) FILTER (WHERE model = 'zero_shot') AS gain
+FROM metrics GROUP BY task, metric""")
+def a13(spark, sf):
+    return M.comparison_table(metrics_table(spark, sf))
+
+
+# M3 / M1: trained pyspark.ml classifier (no SQL oracle; rows-only check).
+
+def trained_detector(spark, sf):
+    ex = cut_lineage(build_detection_examples(split_pairs(spark, sf)).select(
+        "split", "example_id", "src", "tgt", "label"))
+    model, dev_acc = MD.train_pair_classifier(ex)
+    return ex, model, dev_acc
+
+
+@query("m03_pair_classifier_report")
+def m03(spark, sf):
+    ex, model, _ = trained_detector(spark, sf)
+    scored = MD.score_detection(ex.filter(F.col("split") == "test"), model)
+    return M.classification_report(scored.select(F.col("label").alias("gold"), "pred"),
+                                   class_names={0: "incorrect", 1: "correct"})
+
+
+@query("m01_score_detection")
+def m01(spark, sf):
+    ex, model, _ = trained_detector(spark, sf)
+    return MD.score_detection(ex.filter(F.col("split") == "test"), model).select(
+        "example_id", "label", "pred", "label_pred", "confidence")

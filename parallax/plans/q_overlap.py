@@ -38,16 +38,16 @@ p AS (SELECT pair_id, src AS hyp, tgt AS ref FROM conv_pairs)"""
 WS = S.lit(K.WS_CLASS)
 
 
-def _ngram_union(side_h: str, side_r: str, max_n: int, gram_fn) -> str:
-    return f"""g AS (
-  SELECT pair_id, n, unnest({gram_fn(side_h)}) AS gram, 1 AS hc, 0 AS rc
-  FROM x CROSS JOIN range(1, {max_n + 1}) t(n)
+def _ngram_union(src: str, pre: str, max_n: int, gram_fn) -> str:
+    return f"""{pre}g AS (
+  SELECT pair_id, n, unnest({gram_fn('h')}) AS gram, 1 AS hc, 0 AS rc
+  FROM {src} CROSS JOIN range(1, {max_n + 1}) t(n)
   UNION ALL
-  SELECT pair_id, n, unnest({gram_fn(side_r)}) AS gram, 0 AS hc, 1 AS rc
-  FROM x CROSS JOIN range(1, {max_n + 1}) t(n)),
-pg AS (SELECT pair_id, n, gram, sum(hc) AS hc, sum(rc) AS rc FROM g GROUP BY pair_id, n, gram),
-pn AS (SELECT pair_id, n, sum(hc) AS hyp, sum(rc) AS ref, sum(least(hc, rc)) AS match
-       FROM pg GROUP BY pair_id, n)"""
+  SELECT pair_id, n, unnest({gram_fn('r')}) AS gram, 0 AS hc, 1 AS rc
+  FROM {src} CROSS JOIN range(1, {max_n + 1}) t(n)),
+{pre}pg AS (SELECT pair_id, n, gram, sum(hc) AS hc, sum(rc) AS rc FROM {pre}g GROUP BY pair_id, n, gram),
+{pre}pn AS (SELECT pair_id, n, sum(hc) AS hyp, sum(rc) AS ref, sum(least(hc, rc)) AS match
+       FROM {pre}pg GROUP BY pair_id, n)"""
 
 
 def _char_grams(s: str) -> str:
@@ -58,13 +58,6 @@ def _word_grams(t: str) -> str:
     return f"list_transform(range(1, len({t}) - n + 2), lambda i: array_to_string({t}[i : i + n - 1], ' '))"
 
 
-CHRF_STATS_SQL = PAIRS_SQL + f""",
-x AS (SELECT pair_id, regexp_replace(hyp, {WS}, '', 'g') AS h,
-             regexp_replace(ref, {WS}, '', 'g') AS r FROM p),
-{_ngram_union('h', 'r', O.CHRF_ORDER, _char_grams)},
-st AS (SELECT pair_id, n, CASE WHEN ref > 0 THEN hyp ELSE 0 END AS hyp, ref, match FROM pn)"""
-
-
 def _fbeta_sql(ps: str, rs: str, k: str) -> str:
     p = f"(CASE WHEN {k} > 0 THEN {ps} / {k} ELSE 0.0 END)"
     r = f"(CASE WHEN {k} > 0 THEN {rs} / {k} ELSE 0.0 END)"
@@ -72,12 +65,19 @@ def _fbeta_sql(ps: str, rs: str, k: str) -> str:
 
 
 EFF = "hyp > 0 AND ref > 0"
-SENT_SQL = CHRF_STATS_SQL + f""",
-agg AS (SELECT pair_id, sum(CASE WHEN {EFF} THEN match / hyp ELSE 0 END) AS ps,
-               sum(CASE WHEN {EFF} THEN match / ref ELSE 0 END) AS rs,
-               sum(CASE WHEN {EFF} THEN 1 ELSE 0 END) AS k FROM st GROUP BY pair_id),
-sent AS (SELECT p.pair_id, round(coalesce({_fbeta_sql('ps', 'rs', 'k')}, 0.0), 2) AS chrf
-         FROM p LEFT JOIN agg ON p.pair_id = agg.pair_id)"""
+
+
+def chrf_ctes(src: str, pre: str) -> str:
+    """CTEs over view ``src`` (pair_id, hyp, ref): {pre}st per (pair_id, n) and
+    {pre}chrf with the corpus chrF."""
+    return f"""{pre}x AS (SELECT pair_id, regexp_replace(hyp, {WS}, '', 'g') AS h,
+             regexp_replace(ref, {WS}, '', 'g') AS r FROM {src}),
+{_ngram_union(pre + 'x', pre, O.CHRF_ORDER, _char_grams)},
+{pre}st AS (SELECT pair_id, n, CASE WHEN ref > 0 THEN hyp ELSE 0 END AS hyp, ref, match FROM {pre}pn),
+{pre}chrf AS (SELECT {_fbeta_sql(f'sum(CASE WHEN {EFF} THEN match / hyp ELSE 0 END)',
+                                 f'sum(CASE WHEN {EFF} THEN match / ref ELSE 0 END)',
+                                 f'sum(CASE WHEN {EFF} THEN 1 ELSE 0 END)')} AS chrf
+  FROM (SELECT n, sum(hyp) AS hyp, sum(ref) AS ref, sum(match) AS match FROM {pre}st GROUP BY n))"""
 
 
 def _tok13a_sql(e: str) -> str:
@@ -90,15 +90,6 @@ def _tok13a_sql(e: str) -> str:
     return f"list_filter(string_split_regex({s}, {S.lit(K.WS_CLASS + '+')}), lambda t: t <> '')"
 
 
-BLEU_SQL_BODY = PAIRS_SQL + f""",
-x AS (SELECT pair_id, {_tok13a_sql('hyp')} AS h, {_tok13a_sql('ref')} AS r FROM p),
-{_ngram_union('h', 'r', O.BLEU_ORDER, _word_grams)},
-sums AS (SELECT {', '.join(f"CAST(coalesce(sum(match) FILTER (WHERE n = {n}), 0) AS BIGINT) AS correct_{n}" for n in range(1, 5))},
-                {', '.join(f"CAST(coalesce(sum(hyp) FILTER (WHERE n = {n}), 0) AS BIGINT) AS total_{n}" for n in range(1, 5))},
-                CAST(coalesce(sum(hyp) FILTER (WHERE n = 1), 0) AS BIGINT) AS sys_len,
-                CAST(coalesce(sum(ref) FILTER (WHERE n = 1), 0) AS BIGINT) AS ref_len FROM pn)"""
-
-
 def _bleu_score_sql() -> str:
     logs, zeros = [], []
     for n in range(1, 5):
@@ -112,22 +103,40 @@ def _bleu_score_sql() -> str:
             f"ELSE {bp} * exp(({' + '.join(logs)}) / 4) END")
 
 
+def bleu_ctes(src: str, pre: str) -> str:
+    """CTEs over view ``src`` (pair_id, hyp, ref): {pre}sums (corpus counts)
+    and {pre}bleu (score + counts)."""
+    sums = ", ".join(
+        [f"CAST(coalesce(sum(match) FILTER (WHERE n = {n}), 0) AS BIGINT) AS correct_{n}" for n in range(1, 5)]
+        + [f"CAST(coalesce(sum(hyp) FILTER (WHERE n = {n}), 0) AS BIGINT) AS total_{n}" for n in range(1, 5)])
+    return f"""{pre}x AS (SELECT pair_id, {_tok13a_sql('hyp')} AS h, {_tok13a_sql('ref')} AS r FROM {src}),
+{_ngram_union(pre + 'x', pre, O.BLEU_ORDER, _word_grams)},
+{pre}sums AS (SELECT {sums},
+                CAST(coalesce(sum(hyp) FILTER (WHERE n = 1), 0) AS BIGINT) AS sys_len,
+                CAST(coalesce(sum(ref) FILTER (WHERE n = 1), 0) AS BIGINT) AS ref_len FROM {pre}pn),
+{pre}bleu AS (SELECT {_bleu_score_sql()} AS bleu, * FROM {pre}sums)"""
+
+
+CHRF_STATS_SQL = PAIRS_SQL + ",\n" + chrf_ctes("p", "c_")
+SENT_SQL = CHRF_STATS_SQL + f""",
+agg AS (SELECT pair_id, sum(CASE WHEN {EFF} THEN match / hyp ELSE 0 END) AS ps,
+               sum(CASE WHEN {EFF} THEN match / ref ELSE 0 END) AS rs,
+               sum(CASE WHEN {EFF} THEN 1 ELSE 0 END) AS k FROM c_st GROUP BY pair_id),
+sent AS (SELECT p.pair_id, round(coalesce({_fbeta_sql('ps', 'rs', 'k')}, 0.0), 2) AS chrf
+         FROM p LEFT JOIN agg ON p.pair_id = agg.pair_id)"""
+
+
 # -- queries ----------------------------------------------------------------
 
 @query("a08_corpus_bleu",
-       S.with_(BLEU_SQL_BODY) + f"SELECT {_bleu_score_sql()} AS bleu, sys_len, ref_len, "
+       S.with_(PAIRS_SQL + ",\n" + bleu_ctes("p", "b_")) + "SELECT bleu, sys_len, ref_len, "
        + ", ".join(f"correct_{n}" for n in range(1, 5)) + ", "
-       + ", ".join(f"total_{n}" for n in range(1, 5)) + " FROM sums")
+       + ", ".join(f"total_{n}" for n in range(1, 5)) + " FROM b_bleu")
 def a08(spark, sf):
     return O.corpus_bleu(scored_pairs(spark, sf))
 
 
-@query("a09_corpus_chrf",
-       S.with_(CHRF_STATS_SQL) + f""", pn_sum AS (SELECT n, sum(hyp) AS hyp, sum(ref) AS ref,
-       sum(match) AS match FROM st GROUP BY n)
-SELECT {_fbeta_sql(f'sum(CASE WHEN {EFF} THEN match / hyp ELSE 0 END)',
-                   f'sum(CASE WHEN {EFF} THEN match / ref ELSE 0 END)',
-                   f'sum(CASE WHEN {EFF} THEN 1 ELSE 0 END)')} AS chrf FROM pn_sum""")
+@query("a09_corpus_chrf", S.with_(CHRF_STATS_SQL) + "SELECT chrf FROM c_chrf")
 def a09(spark, sf):
     return O.corpus_chrf(scored_pairs(spark, sf))
 

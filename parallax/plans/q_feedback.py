@@ -1 +1,92 @@
-"""Registered queries."""
+"""Registered feedback queries: S6, F6-F8, G8 and the batch form of ST2/ST3."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from parallax.operators import feedback as FB
+from parallax.plans import inputs as I
+from parallax.plans import sqlfrag as S
+from parallax.plans.q_sample import SPLIT, split_pairs
+from parallax.plans.registry import query
+from parallax.sources.io import load_feedback
+
+
+def feedback(spark, sf):
+    return load_feedback(I.evt_feedback(spark, sf))
+
+
+FB_SQL = S.EVT_FEEDBACK + """,
+fb AS (SELECT *, CAST(timestamp AS TIMESTAMPTZ) AS ts FROM feedback)"""
+
+REASON_SQL = FB_SQL + """,
+v AS (SELECT *, CASE
+        WHEN user_label IS NULL OR user_label NOT IN ('correct', 'incorrect') THEN 'bad_label'
+        WHEN user_rating IS NULL OR user_rating NOT BETWEEN 0 AND 5 THEN 'bad_rating'
+        WHEN (user_label = 'incorrect' OR user_rating <= 2) AND coalesce(corrected_msa, '') = ''
+          THEN 'missing_correction' END AS reason FROM fb),
+r AS (SELECT *, CASE WHEN reason IS NOT NULL THEN 'quarantine'
+                     WHEN coalesce(corrected_msa, '') <> '' THEN 'corrections'
+                     WHEN user_rating >= 4 THEN 'high_quality' ELSE 'other' END AS route FROM v)"""
+
+
+@query("s06_feedback_source",
+       S.with_(FB_SQL) + "SELECT event_id, egyptian_arabic, generated_msa, user_label, user_rating, "
+       "corrected_msa, timestamp, epoch_us(ts) AS ts_us FROM fb")
+def s06(spark, sf):
+    f = feedback(spark, sf)
+    return f.select("event_id", "egyptian_arabic", "generated_msa", "user_label", "user_rating",
+                    "corrected_msa", "timestamp", F.unix_micros("ts").alias("ts_us"))
+
+
+@query("f06_high_quality_feedback",
+       S.with_(FB_SQL) + "SELECT event_id, user_rating FROM fb WHERE user_rating >= 4")
+def f06(spark, sf):
+    return FB.high_quality(feedback(spark, sf)).select("event_id", "user_rating")
+
+
+@query("f07_feedback_corrections",
+       S.with_(FB_SQL) + "SELECT event_id, corrected_msa FROM fb WHERE coalesce(corrected_msa, '') <> ''")
+def f07(spark, sf):
+    return FB.corrections(feedback(spark, sf)).select("event_id", "corrected_msa")
+
+
+@query("f08_feedback_validity", S.with_(REASON_SQL) + "SELECT event_id, reason, route FROM r")
+def f08(spark, sf):
+    return FB.route(feedback(spark, sf)).select("event_id", "reason", "route")
+
+
+@query("st2_feedback_routes_batch",
+       S.with_(REASON_SQL) + "SELECT route, count(*) AS n FROM r GROUP BY route")
+def st2(spark, sf):
+    return FB.route(feedback(spark, sf)).groupBy("route").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("st3_daily_feedback_batch",
+       S.with_(FB_SQL) + f""",
+d AS (SELECT {', '.join(FB.DEDUP_KEYS)}, min(ts) AS ts FROM fb GROUP BY {', '.join(FB.DEDUP_KEYS)})
+SELECT (epoch_us(ts) // 86400000000) * 86400000000 AS day_start_us, count(*) AS n, avg(user_rating) AS mean_rating,
+       avg(CAST(user_label = 'incorrect' AS DOUBLE)) AS incorrect_rate
+FROM d GROUP BY 1""")
+def st3(spark, sf):
+    d = feedback(spark, sf).groupBy(*FB.DEDUP_KEYS).agg(F.min("ts").alias("ts"))
+    s = FB.daily_feedback_stats(d)
+    return s.select(F.unix_micros("day_start").alias("day_start_us"), "n", "mean_rating", "incorrect_rate")
+
+
+@query("g08_retraining_set",
+       S.with_(SPLIT.replace("WITH ", "") + ",\n" + REASON_SQL) + """,
+cand AS (
+  SELECT egyptian_arabic AS src, corrected_msa AS tgt, 1 AS prio, -epoch_us(ts) AS nts, -event_id AS nid,
+         'correction' AS origin FROM r WHERE reason IS NULL AND coalesce(corrected_msa, '') <> ''
+  UNION ALL
+  SELECT egyptian_arabic, generated_msa, 2, -epoch_us(ts), -event_id, 'confirmed'
+  FROM r WHERE reason IS NULL AND user_rating >= 4 AND user_label = 'correct'
+  UNION ALL
+  SELECT src, tgt, 3, 0, -pair_id, 'train' FROM splits WHERE split = 'train')
+SELECT src, tgt, origin FROM (
+  SELECT *, row_number() OVER (PARTITION BY src ORDER BY prio, nts, nid, tgt, origin) AS rn FROM cand)
+WHERE rn = 1""")
+def g08(spark, sf):
+    train = split_pairs(spark, sf).filter(F.col("split") == "train")
+    return FB.retraining_set(train, feedback(spark, sf))

@@ -1 +1,71 @@
-"""Registered queries."""
+"""Registered source/sink round trips: S1-S5, S7 (written under the shared
+checkpoint folder, read back, compared with the data they came from)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from parallax.operators import curate as C
+from parallax.operators import metrics as M
+from parallax.plans import inputs as I
+from parallax.plans import sqlfrag as S
+from parallax.plans.q_curate import RAW_PAIRS
+from parallax.plans.q_metrics import report_sql
+from parallax.plans.q_sample import SPLIT, split_pairs
+from parallax.plans.registry import query
+from parallax.sources import io as IO
+
+
+@query("s01_load_raw_csv",
+       S.with_(RAW_PAIRS) + "SELECT pair_id, "
+       + ", ".join(f"CASE WHEN {c} IN ({', '.join(S.lit(v) for v in IO.NA_VALUES)}) THEN NULL ELSE {c} END AS {c}"
+                   for c in ("src", "tgt")) + " FROM raw_pairs")
+def s01(spark, sf):
+    raw = C.pair_turns(I.table(spark, sf, "conversations"), how="left").select(
+        F.col("pair_id").cast("string").alias("pair_id"),
+        F.col("src").alias("egyptian_arabic"), F.col("tgt").alias("formal_arabic"))
+    path = IO.scratch_path(spark, "raw-csv")
+    (raw.write.mode("overwrite").option("header", True).option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    back = IO.load_raw(spark, path, ("pair_id", "egyptian_arabic", "formal_arabic"),
+                       ("pair_id", "src", "tgt"))
+    return back.select(F.col("pair_id").cast("bigint").alias("pair_id"), "src", "tgt")
+
+
+@query("s02_s03_split_roundtrip",
+       S.with_(SPLIT) + "SELECT pair_id, split, src, tgt FROM splits")
+def s02(spark, sf):
+    path = IO.scratch_path(spark, "splits")
+    IO.save_splits(split_pairs(spark, sf).select("pair_id", "src", "tgt", "mostly_english", "split"), path)
+    return IO.load_processed(spark, path).select("pair_id", "split", "src", "tgt")
+
+
+@query("s04_write_result",
+       "WITH " + S.emb_pred() + ",\n" + report_sql("emb_pred"))
+def s04(spark, sf):
+    path = IO.scratch_path(spark, "report")
+    IO.write_result(M.classification_report(I.emb_predictions(spark, sf)), path)
+    return spark.read.parquet(path)
+
+
+@query("s05_read_export", "SELECT conv_id, turn, role, text FROM conversations")
+def s05(spark, sf):
+    conv = I.table(spark, sf, "conversations")
+    path = IO.scratch_path(spark, "export-json")
+    conv.write.mode("overwrite").json(path)
+    return IO.read_export(spark, path, "json", schema=conv.schema).select("conv_id", "turn", "role", "text")
+
+
+@query("s07_unpack_metrics",
+       "WITH " + S.emb_pred() + ",\n" + report_sql("emb_pred").replace("\nSELECT ", ",\nrep AS (SELECT ", 1)
+       + ")\n"
+       "SELECT label AS task, m.metric, CASE m.metric WHEN 'precision' THEN precision "
+       "WHEN 'recall' THEN recall ELSE f1 END AS value "
+       "FROM rep CROSS JOIN (VALUES ('precision'), ('recall'), ('f1')) m(metric) WHERE label LIKE '%avg%'")
+def s07(spark, sf):
+    rep = M.classification_report(I.emb_predictions(spark, sf))
+    packed = rep.select(F.col("label").alias("Task"),
+                        F.concat_ws(" / ", *[F.coalesce(F.col(c).cast("string"), F.lit(""))
+                                             for c in ("precision", "recall", "f1")])
+                        .alias("Value"))
+    return IO.unpack_metrics(packed, "avg", ["precision", "recall", "f1"])

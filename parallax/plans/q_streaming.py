@@ -1 +1,32 @@
-"""Registered queries."""
+"""Batch twin of the request stream (ST1): the same prepare/answer functions
+over the documents table as requests."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from parallax import constants as K
+from parallax.plans import inputs as I
+from parallax.plans import sqlfrag as S
+from parallax.plans.q_models import LEXICON_SQL, _translate_sql, lexicon
+from parallax.plans.registry import query
+from parallax.streaming.streams import answer_requests, prepare_requests
+
+
+def _st1_sql() -> str:
+    stripped = S.strip("coalesce(text, '')")
+    clean = S.clean("s")
+    req = f"""req AS (SELECT doc_id, s, CASE WHEN length(s) = 0 THEN {S.lit(K.EMPTY_INPUT_ERROR)} END AS error,
+                {clean} AS src FROM (SELECT doc_id, {stripped} AS s FROM documents))"""
+    prompt = S.template(K.GEN_PROMPT_QUOTED, slang="src")
+    first = f"split_part(substring(({prompt} || tr), length({prompt}) + 1), chr(10), 1)"
+    return S.with_(LEXICON_SQL + ",\n" + req + ",\n" + _translate_sql(
+        "(SELECT * FROM req WHERE error IS NULL)", "doc_id", "src", "ans")) + f"""
+SELECT r.doc_id, a.formal, r.error FROM req r
+LEFT JOIN (SELECT doc_id, {S.strip(first)} AS formal FROM ans) a ON r.doc_id = a.doc_id"""
+
+
+@query("st1_request_batch", _st1_sql())
+def st1(spark, sf):
+    req = I.table(spark, sf, "documents").select("doc_id", F.col("text").alias("slang"))
+    return answer_requests(prepare_requests(req), "doc_id", lexicon(spark, sf))

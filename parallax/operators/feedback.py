@@ -85,12 +85,21 @@ def retraining_set(train_pairs: DataFrame, feedback: DataFrame) -> DataFrame:
 
 
 # ST3 (batch or stream)
-def daily_feedback_stats(df: DataFrame, ts: str = "ts") -> DataFrame:
-    """Per UTC day: submissions, mean rating, share labelled incorrect."""
-    return (df.groupBy(F.window(ts, "1 day").alias("day"))
-            .agg(F.count(F.lit(1)).alias("n"), F.avg("user_rating").alias("mean_rating"),
-                 F.avg((F.col("user_label") == K.LABEL_INCORRECT).cast("double")).alias("incorrect_rate"))
-            .select(F.col("day.start").alias("day_start"), "n", "mean_rating", "incorrect_rate"))
+def with_day(df: DataFrame, ts: str = "ts", out: str = "day") -> DataFrame:
+    """UTC day of the event (tumbling 1-day window start, epoch aligned)."""
+    return df.withColumn(out, F.window(ts, "1 day").start)
 
 
+# A duplicate submission is the same content on the same UTC day.
 DEDUP_KEYS = ["egyptian_arabic", "generated_msa", "user_label", "user_rating", "corrected_msa"]
+
+
+def dedup_daily(df: DataFrame, day: str = "day") -> DataFrame:
+    return df.dropDuplicates(DEDUP_KEYS + [day])
+
+
+def daily_feedback_stats(df: DataFrame, day: str = "day") -> DataFrame:
+    """Per UTC day: submissions, mean rating, share labelled incorrect."""
+    return (df.groupBy(F.col(day).alias("day_start"))
+            .agg(F.count(F.lit(1)).alias("n"), F.avg("user_rating").alias("mean_rating"),
+                 F.avg((F.col("user_label") == K.LABEL_INCORRECT).cast("double")).alias("incorrect_rate")))

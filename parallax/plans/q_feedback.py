@@ -64,13 +64,13 @@ def st2(spark, sf):
 
 @query("st3_daily_feedback_batch",
        S.with_(FB_SQL) + f""",
-d AS (SELECT {', '.join(FB.DEDUP_KEYS)}, min(ts) AS ts FROM fb GROUP BY {', '.join(FB.DEDUP_KEYS)})
-SELECT (epoch_us(ts) // 86400000000) * 86400000000 AS day_start_us, count(*) AS n, avg(user_rating) AS mean_rating,
+d AS (SELECT DISTINCT {', '.join(FB.DEDUP_KEYS)}, (epoch_us(ts) // 86400000000) * 86400000000 AS day_start_us
+      FROM fb)
+SELECT day_start_us, count(*) AS n, avg(user_rating) AS mean_rating,
        avg(CAST(user_label = 'incorrect' AS DOUBLE)) AS incorrect_rate
-FROM d GROUP BY 1""")
+FROM d GROUP BY day_start_us""")
 def st3(spark, sf):
-    d = feedback(spark, sf).groupBy(*FB.DEDUP_KEYS).agg(F.min("ts").alias("ts"))
-    s = FB.daily_feedback_stats(d)
+    s = FB.daily_feedback_stats(FB.dedup_daily(FB.with_day(feedback(spark, sf))))
     return s.select(F.unix_micros("day_start").alias("day_start_us"), "n", "mean_rating", "incorrect_rate")
 
 

@@ -42,7 +42,11 @@ def start_request_stream(spark: SparkSession, source_dir: str, schema, key: str,
     prepared = prepare_requests(stream)
 
     def score_batch(batch: DataFrame, batch_id: int) -> None:
-        answer_requests(batch, key, lexicon).write.mode("append").parquet(out_dir)
+        batch.persist()  # read twice: valid requests are scored, errors pass through
+        try:
+            answer_requests(batch, key, lexicon).write.mode("append").parquet(out_dir)
+        finally:
+            batch.unpersist()
 
     w = prepared.writeStream.foreachBatch(score_batch).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if available_now else w).start()
@@ -68,12 +72,12 @@ def start_feedback_router(spark: SparkSession, source_dir: str, schema, out_dir:
 # ST3 -------------------------------------------------------------------------
 
 def daily_stats_stream(stream: DataFrame, watermark: str = "1 day") -> DataFrame:
-    """Drop duplicate submissions and rows later than the watermark; daily
-    count, mean rating and incorrect rate (append mode: a day is emitted
-    once the watermark passes its end)."""
-    s = FB.with_event_time(stream).withWatermark("ts", watermark)
-    s = s.dropDuplicatesWithinWatermark(FB.DEDUP_KEYS)
-    return FB.daily_feedback_stats(s)
+    """Drop duplicate submissions (same content, same UTC day) and rows whose
+    day is older than the watermark; daily count, mean rating and incorrect
+    rate. Append mode: a day is emitted once the watermark passes it, and the
+    dedup state of a day is dropped then too."""
+    s = FB.with_day(FB.with_event_time(stream)).withWatermark("day", watermark)
+    return FB.daily_feedback_stats(FB.dedup_daily(s))
 
 
 def start_daily_stats(spark: SparkSession, source_dir: str, schema, out_dir: str, checkpoint: str,

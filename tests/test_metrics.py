@@ -40,7 +40,7 @@ def test_empty_rows_score_zero(spark):
 def test_13a_tokens(spark):
     df = spark.createDataFrame([("Hello, world. It's 3.5-4 &amp; more!",)], "s string")
     toks = df.select(O.tokenize_13a("s").alias("t")).first().t
-    assert toks == ["Hello", ",", "world", ".", "It", "'", "s", "3.5", "-", "4", "&", "more", "!"]
+    assert toks == ["Hello", ",", "world", ".", "It's", "3.5", "-", "4", "&", "more", "!"]
 
 
 def _preds(spark, tp, fn, tn, fp):

@@ -26,6 +26,10 @@ WS_CHARS = (
     r"\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 )
 WS_CLASS = "[" + WS_CHARS + "]"
+# The same set as literal characters (for btrim, which strips without a regex).
+WS_LITERAL = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+              + "".join(chr(c) for c in range(0x2000, 0x200B))
+              + "\u2028\u2029\u202f\u205f\u3000")
 
 # Light normalisation (T5): alef variants, teh marbuta, alef maksura,
 # hamza on waw, hamza on ya.
@@ -34,6 +38,10 @@ NORMALIZE_TO = "اااهيوي"
 
 # Token that counts as English for the language flag.
 ENGLISH_TOKEN = r"^[A-Za-z]+$"
+# The same two notions as patterns counted over the whole text: a token is a
+# maximal run of non-whitespace; an English token is such a run of letters only.
+TOKEN_RUN = "[^" + WS_CHARS + "]+"
+ENGLISH_TOKEN_RUN = "(?<![^" + WS_CHARS + "])[A-Za-z]+(?![^" + WS_CHARS + "])"
 
 # Whole-string "English only" predicate (T9): ASCII letters, digits,
 # whitespace and this punctuation list.

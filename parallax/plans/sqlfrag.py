@@ -27,7 +27,8 @@ def quotes(e: str) -> str:
 
 
 def strip(e: str) -> str:
-    return f"regexp_replace({e}, {lit('^' + K.WS_CLASS + '+|' + K.WS_CLASS + '+$')}, '', 'g')"
+    chars = " || ".join(f"chr({ord(c)})" for c in K.WS_LITERAL)
+    return f"trim({e}, {chars})"
 
 
 def ws(e: str) -> str:

@@ -23,12 +23,19 @@ def _col(c: ColumnOrName) -> Column:
 
 # T1
 def remove_vocalization(c: ColumnOrName) -> Column:
-    return F.regexp_replace(_col(c), K.DIACRITICS_CLASS, "")
+    """Delete Arabic diacritics: ``translate`` with no replacement deletes."""
+    return F.translate(_col(c), K.DIACRITIC_CHARS, "")
 
 
 # T2
 def replace_arabic_punctuation(c: ColumnOrName) -> Column:
-    return F.regexp_replace(_col(c), K.ARABIC_PUNCT_CLASS, " ")
+    return F.translate(_col(c), K.ARABIC_PUNCT_CHARS, " " * len(K.ARABIC_PUNCT_CHARS))
+
+
+def _t1_t2(c: ColumnOrName) -> Column:
+    """T1 then T2 in one character-map pass (the two sets are disjoint)."""
+    return F.translate(_col(c), K.ARABIC_PUNCT_CHARS + K.DIACRITIC_CHARS,
+                       " " * len(K.ARABIC_PUNCT_CHARS))
 
 
 # All leading/trailing double quotes first, then single quotes.
@@ -45,7 +52,7 @@ def strip_whitespace(c: ColumnOrName) -> Column:
 
 # T4
 def remove_extra_whitespace(c: ColumnOrName) -> Column:
-    return F.regexp_replace(strip_whitespace(c), f"{K.WS_CLASS}+", " ")
+    return F.regexp_replace(strip_whitespace(c), f"{K.JWS_CLASS}+", " ")
 
 
 # T5
@@ -55,14 +62,13 @@ def normalize_arabic(c: ColumnOrName) -> Column:
 
 # T6
 def clean_text(c: ColumnOrName, normalize: bool = False) -> Column:
-    out = remove_extra_whitespace(
-        strip_outer_quotes(replace_arabic_punctuation(remove_vocalization(c))))
+    out = remove_extra_whitespace(strip_outer_quotes(_t1_t2(c)))
     return normalize_arabic(out) if normalize else out
 
 
 def whitespace_tokens(c: ColumnOrName) -> Column:
     """Python ``str.split()``: split on Unicode whitespace runs, no empty tokens."""
-    return F.filter(F.split(_col(c), f"{K.WS_CLASS}+"), lambda t: t != F.lit(""))
+    return F.filter(F.split(_col(c), f"{K.JWS_CLASS}+"), lambda t: t != F.lit(""))
 
 
 # T7
@@ -71,7 +77,8 @@ def english_token_ratio(c: ColumnOrName) -> Column:
     text (codegen'd ``regexp_count``) instead of building a token array."""
     n_tok = F.regexp_count(_col(c), F.lit(K.TOKEN_RUN))
     n_en = F.regexp_count(_col(c), F.lit(K.ENGLISH_TOKEN_RUN))
-    return F.when(n_tok > 0, n_en / n_tok)
+    # try_divide (null when there are no tokens) references each count once.
+    return F.try_divide(n_en.cast("double"), n_tok)
 
 
 # Ratio >= threshold; no tokens -> false.
@@ -81,7 +88,7 @@ def is_mostly_english(c: ColumnOrName, threshold: float = K.MOSTLY_ENGLISH_THRES
 
 # T9
 def is_english_only(c: ColumnOrName) -> Column:
-    return F.coalesce(_col(c).rlike(K.ENGLISH_ONLY), F.lit(False))
+    return F.coalesce(_col(c).rlike(K.ENGLISH_ONLY_JAVA), F.lit(False))
 
 
 # T10

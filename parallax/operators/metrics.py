@@ -20,17 +20,18 @@ def _cnt(cond: Column) -> Column:
 
 
 # A1
-def stage_counts(raw: DataFrame, curated: DataFrame, splits: DataFrame,
-                 flag: str = "mostly_english") -> DataFrame:
-    """(stage, n): raw rows, rows after cleaning, flagged rows, rows per split."""
+def stage_counts(raw: DataFrame, splits: DataFrame, flag: str = "mostly_english") -> DataFrame:
+    """(stage, n): raw rows, rows after cleaning, flagged rows, rows per split.
+
+    Cleaned and flagged totals are the rollup total of the split table, so
+    the cleaned rows are produced once."""
     r = raw.agg(F.lit("raw").alias("stage"), F.count(F.lit(1)).alias("n"))
-    c = curated.agg(F.count(F.lit(1)).alias("cleaned"), _cnt(F.col(flag)).alias("flagged"))
-    c = c.select(F.explode(F.array(
-        F.struct(F.lit("cleaned").alias("stage"), F.col("cleaned").alias("n")),
-        F.struct(F.lit("flagged").alias("stage"), F.col("flagged").alias("n")))).alias("s")) \
-        .select("s.stage", "s.n")
-    s = splits.groupBy(F.col("split").alias("stage")).agg(F.count(F.lit(1)).alias("n"))
-    return r.unionByName(c).unionByName(s)
+    per = splits.rollup("split").agg(F.count(F.lit(1)).alias("n"), _cnt(F.col(flag)).alias("flagged"))
+    per = per.select(F.explode(F.array(
+        F.struct(F.coalesce("split", F.lit("cleaned")).alias("stage"), F.col("n").alias("n")),
+        F.struct(F.when(F.col("split").isNull(), F.lit("flagged")).alias("stage"),
+                 F.col("flagged").alias("n")))).alias("s")).select("s.stage", "s.n")
+    return r.unionByName(per.filter(F.col("stage").isNotNull()))
 
 
 # A2

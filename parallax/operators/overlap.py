@@ -44,11 +44,11 @@ def tokenize_13a(c) -> Column:
     s = F.concat(F.lit(" "), s, F.lit(" "))
     for pat, rep in TOKENIZE_13A_RULES:
         s = F.regexp_replace(s, pat, rep)
-    return F.filter(F.split(s, f"{K.WS_CLASS}+"), lambda t: t != F.lit(""))
+    return F.filter(F.split(s, f"{K.JWS_CLASS}+"), lambda t: t != F.lit(""))
 
 
 def strip_all_whitespace(c) -> Column:
-    return F.regexp_replace(_col(c), K.WS_CLASS, "")
+    return F.regexp_replace(_col(c), f"{K.JWS_CLASS}+", "")
 
 
 # One-argument lambdas only: Spark reads a two-argument lambda as (x, index).

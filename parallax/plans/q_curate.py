@@ -78,4 +78,4 @@ UNION ALL SELECT CASE WHEN pos < n_train THEN 'train' WHEN pos < n_train + n_dev
 def a01(spark, sf):
     raw = I.table(spark, sf, "documents").select("doc_id", "text")
     cur = C.preprocess_pairs(raw, cols=["text"])
-    return stage_counts(raw, cur, G.split_dataset(cur, "doc_id"))
+    return stage_counts(raw, G.split_dataset(cur, "doc_id"))

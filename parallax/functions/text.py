@@ -68,7 +68,7 @@ def clean_text(c: ColumnOrName, normalize: bool = False) -> Column:
 
 def whitespace_tokens(c: ColumnOrName) -> Column:
     """Python ``str.split()``: split on Unicode whitespace runs, no empty tokens."""
-    return F.filter(F.split(_col(c), f"{K.JWS_CLASS}+"), lambda t: t != F.lit(""))
+    return F.array_remove(F.split(_col(c), f"{K.JWS_CLASS}+"), "")
 
 
 # T7

@@ -44,7 +44,7 @@ def tokenize_13a(c) -> Column:
     s = F.concat(F.lit(" "), s, F.lit(" "))
     for pat, rep in TOKENIZE_13A_RULES:
         s = F.regexp_replace(s, pat, rep)
-    return F.filter(F.split(s, f"{K.JWS_CLASS}+"), lambda t: t != F.lit(""))
+    return F.array_remove(F.split(s, f"{K.JWS_CLASS}+"), "")
 
 
 def strip_all_whitespace(c) -> Column:

@@ -10,6 +10,8 @@ Counts are summed first; precision/recall/F are computed last.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,30 +97,34 @@ def _tagged(hyp_grams: Column, ref_grams: Column) -> Column:
     return F.concat(h, r, sentinel)
 
 
-def ngram_match_stats(df: DataFrame, id_col: str, hyp_grams: Column, ref_grams: Column) -> DataFrame:
-    """(id, n, hyp, ref, match): per-row clipped n-gram match statistics."""
+def ngram_match_stats(df: DataFrame, id_col: str, hyp_grams: Column, ref_grams: Column,
+                      group_cols: Sequence[str] = ()) -> DataFrame:
+    """(id, [groups], n, hyp, ref, match): per-row clipped n-gram match
+    statistics; ``group_cols`` (e.g. a system name) must be fixed per id."""
+    keys = [id_col, *group_cols]
     # An explicit partition count: AQE would otherwise coalesce the compact
     # text rows into a few tasks although each row explodes ~12x per char.
     n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parted = df.repartition(n_parts, id_col)
-    g = parted.select(id_col, F.explode(_tagged(hyp_grams, ref_grams)).alias("t"))
-    per_gram = (g.groupBy(id_col, F.col("t.n").alias("n"), F.col("t.g").alias("g"))
+    g = parted.select(*keys, F.explode(_tagged(hyp_grams, ref_grams)).alias("t"))
+    per_gram = (g.groupBy(*keys, F.col("t.n").alias("n"), F.col("t.g").alias("g"))
                 .agg(F.sum("t.h").alias("hc"), F.sum("t.r").alias("rc")))
-    return (per_gram.groupBy(id_col, "n")
+    return (per_gram.groupBy(*keys, "n")
             .agg(F.sum("hc").alias("hyp"), F.sum("rc").alias("ref"),
                  F.sum(F.least("hc", "rc")).alias("match")))
 
 
 # chrF ------------------------------------------------------------------------
 
-def chrf_stats(df: DataFrame, id_col: str = "pair_id", hyp: str = "hyp", ref: str = "ref") -> DataFrame:
+def chrf_stats(df: DataFrame, id_col: str = "pair_id", hyp: str = "hyp", ref: str = "ref",
+               group_cols: Sequence[str] = ()) -> DataFrame:
     """Per (id, n) chrF statistics; hyp counts are 0 where the reference has
     no n-gram of that order."""
     # Split into characters before the exchange: the n-gram lambdas then read
     # a plain array column instead of re-running regex/substring per position.
-    pre = df.select(id_col, characters(strip_all_whitespace(hyp)).alias("_h"),
+    pre = df.select(id_col, *group_cols, characters(strip_all_whitespace(hyp)).alias("_h"),
                     characters(strip_all_whitespace(ref)).alias("_r"))
-    st = ngram_match_stats(pre, id_col, char_ngrams("_h"), char_ngrams("_r"))
+    st = ngram_match_stats(pre, id_col, char_ngrams("_h"), char_ngrams("_r"), group_cols)
     return st.withColumn("hyp", F.when(F.col("ref") > 0, F.col("hyp")).otherwise(0))
 
 
@@ -146,29 +152,33 @@ def sentence_chrf(df: DataFrame, id_col: str = "pair_id", hyp: str = "hyp", ref:
     return per.select(id_col, _f_beta(F.col("_p"), F.col("_r"), F.col("_k")).alias("chrf"))
 
 
-def corpus_chrf(df: DataFrame, id_col: str = "pair_id", hyp: str = "hyp", ref: str = "ref") -> DataFrame:
-    st = chrf_stats(df, id_col, hyp, ref)
-    per_n = st.groupBy("n").agg(F.sum("hyp").alias("hyp"), F.sum("ref").alias("ref"),
-                                F.sum("match").alias("match"))
+def corpus_chrf(df: DataFrame, id_col: str = "pair_id", hyp: str = "hyp", ref: str = "ref",
+                group_cols: Sequence[str] = ()) -> DataFrame:
+    """Corpus chrF (one row, or one per ``group_cols`` value in one pass)."""
+    st = chrf_stats(df, id_col, hyp, ref, group_cols)
+    per_n = st.groupBy(*group_cols, "n").agg(F.sum("hyp").alias("hyp"), F.sum("ref").alias("ref"),
+                                             F.sum("match").alias("match"))
     e = _chrf_from_sums(F.col("hyp"), F.col("ref"), F.col("match"))
-    return per_n.agg(_f_beta(e["prec"], e["rec"], e["k"]).alias("chrf"))
+    return per_n.groupBy(*group_cols).agg(_f_beta(e["prec"], e["rec"], e["k"]).alias("chrf"))
 
 
 # BLEU ------------------------------------------------------------------------
 
-def bleu_stats(df: DataFrame, id_col: str = "pair_id", hyp: str = "hyp", ref: str = "ref") -> DataFrame:
-    """One row of corpus sums: correct_n, total_n (n = 1..4), sys_len, ref_len."""
-    tok = df.select(id_col, tokenize_13a(hyp).alias("_ht"), tokenize_13a(ref).alias("_rt"))
-    st = ngram_match_stats(tok, id_col, word_ngrams("_ht"), word_ngrams("_rt"))
+def bleu_stats(df: DataFrame, id_col: str = "pair_id", hyp: str = "hyp", ref: str = "ref",
+               group_cols: Sequence[str] = ()) -> DataFrame:
+    """Corpus sums (per group): correct_n, total_n (n = 1..4), sys_len, ref_len."""
+    tok = df.select(id_col, *group_cols, tokenize_13a(hyp).alias("_ht"), tokenize_13a(ref).alias("_rt"))
+    st = ngram_match_stats(tok, id_col, word_ngrams("_ht"), word_ngrams("_rt"), group_cols)
     def total(c, n):
         return F.coalesce(F.sum(F.when(F.col("n") == n, F.col(c))), F.lit(0)).cast("bigint")
     # Unigram totals are the token counts, so lengths need no second pass.
-    return st.agg(*[total("match", n).alias(f"correct_{n}") for n in range(1, BLEU_ORDER + 1)],
+    return st.groupBy(*group_cols).agg(
+                  *[total("match", n).alias(f"correct_{n}") for n in range(1, BLEU_ORDER + 1)],
                   *[total("hyp", n).alias(f"total_{n}") for n in range(1, BLEU_ORDER + 1)],
                   total("hyp", 1).alias("sys_len"), total("ref", 1).alias("ref_len"))
 
 
-def bleu_from_stats(stats: DataFrame) -> DataFrame:
+def bleu_from_stats(stats: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
     """Corpus BLEU with exponential smoothing of zero-match orders and brevity penalty."""
     logs = []
     zeros = F.lit(0)
@@ -184,10 +194,12 @@ def bleu_from_stats(stats: DataFrame) -> DataFrame:
                 F.when(sys_len > 0, F.exp(1 - ref_len / sys_len)).otherwise(0.0)).otherwise(1.0)
     geo = F.exp(sum(logs[1:], logs[0]) / BLEU_ORDER)
     score = F.when(no_total | no_match, 0.0).otherwise(bp * geo)
-    return stats.select(score.alias("bleu"), "sys_len", "ref_len",
+    return stats.select(*group_cols, score.alias("bleu"), "sys_len", "ref_len",
                         *[f"correct_{n}" for n in range(1, BLEU_ORDER + 1)],
                         *[f"total_{n}" for n in range(1, BLEU_ORDER + 1)])
 
 
-def corpus_bleu(df: DataFrame, id_col: str = "pair_id", hyp: str = "hyp", ref: str = "ref") -> DataFrame:
-    return bleu_from_stats(bleu_stats(df, id_col, hyp, ref))
+def corpus_bleu(df: DataFrame, id_col: str = "pair_id", hyp: str = "hyp", ref: str = "ref",
+                group_cols: Sequence[str] = ()) -> DataFrame:
+    """Corpus BLEU (one row, or one per ``group_cols`` value in one pass)."""
+    return bleu_from_stats(bleu_stats(df, id_col, hyp, ref, group_cols), group_cols)

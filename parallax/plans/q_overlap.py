@@ -6,6 +6,7 @@ the following turn as reference, over whole texts.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from parallax import constants as K
@@ -177,12 +178,21 @@ def g06(spark, sf):
 UNION ALL SELECT * FROM (SELECT 'best' AS kind, pair_id, chrf FROM sent
                          ORDER BY chrf DESC, pair_id DESC LIMIT 5)""")
 def g07(spark, sf):
-    s = sentence_scores(spark, sf)
-    worst = M.ranked(s, [F.col("chrf"), F.col("pair_id")], 5).select(
-        F.lit("worst").alias("kind"), "pair_id", "chrf")
-    best = M.ranked(s, [F.col("chrf").desc(), F.col("pair_id").desc()], 5).select(
-        F.lit("best").alias("kind"), "pair_id", "chrf")
-    return worst.unionByName(best)
+    return worst_and_best(sentence_scores(spark, sf), 5)
+
+
+def worst_and_best(scores, k: int, id_col: str = "pair_id", score: str = "chrf"):
+    """The k lowest (score, id) and the k highest (score desc, id desc)
+    rows in one pass: each row is offered to both lists with mirrored sort
+    keys and ``row_number() <= k`` per list runs as a WindowGroupLimit that
+    keeps k rows per task before the (two-key) shuffle."""
+    both = scores.select(id_col, score, F.explode(F.array(F.lit("worst"), F.lit("best"))).alias("kind"))
+    worst = F.col("kind") == "worst"
+    k1 = F.when(worst, F.col(score)).otherwise(-F.col(score))
+    k2 = F.when(worst, F.col(id_col)).otherwise(-F.col(id_col))
+    w = Window.partitionBy("kind").orderBy(k1, k2)
+    return (both.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
+            .select("kind", id_col, score))
 
 
 def _j02_sql():

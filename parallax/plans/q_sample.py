@@ -152,3 +152,23 @@ def flagship(spark, sf):
 
 
 query("a02_dataset_statistics", A2_SQL)(flagship)
+
+
+@query("j01_negatives_distinct_text",
+       S.with_(SPLIT) + """,
+lg AS (SELECT *, lag(tgt) OVER (PARTITION BY split ORDER BY split_pos) AS prev FROM splits),
+isl AS (SELECT *, sum(CASE WHEN prev IS NULL OR prev <> tgt THEN 1 ELSE 0 END)
+                  OVER (PARTITION BY split ORDER BY split_pos ROWS UNBOUNDED PRECEDING) AS run FROM lg),
+ends AS (SELECT split, run, max(split_pos) AS e FROM isl GROUP BY split, run),
+x AS (SELECT i.*, ends.e FROM isl i JOIN ends ON i.split = ends.split AND i.run = ends.run),
+fs AS (SELECT split, e AS first_end, tgt AS first_tgt FROM x WHERE split_pos = 0),
+nr AS (SELECT split, max(run) AS nruns FROM isl GROUP BY split),
+qq AS (SELECT x.split, x.pair_id AS src_pair_id,
+              CASE WHEN x.e + 1 < x.split_n THEN x.e + 1 WHEN fs.first_tgt <> x.tgt THEN 0
+                   WHEN nr.nruns > 1 THEN fs.first_end + 1 END AS q
+       FROM x JOIN fs ON x.split = fs.split JOIN nr ON x.split = nr.split)
+SELECT qq.split, qq.src_pair_id, b.pair_id AS tgt_pair_id
+FROM qq JOIN splits b ON b.split = qq.split AND b.split_pos = qq.q""")
+def j01_distinct(spark, sf):
+    return P.mismatched_negatives(split_pairs(spark, sf), avoid_equal_text=True).select(
+        "split", "src_pair_id", "tgt_pair_id")

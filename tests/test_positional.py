@@ -62,3 +62,39 @@ def test_detection_examples_balanced_no_self_pairs(spark):
 def test_single_row_split_has_no_negative(spark):
     df = spark.createDataFrame([(1, "a", "b", "dev", 0, 1)], "pair_id long, src string, tgt string, split string, split_pos long, split_n long")
     assert P.mismatched_negatives(df).count() == 0
+
+
+def _brute_next_distinct(texts):
+    n = len(texts)
+    out = {}
+    for p in range(n):
+        for k in range(1, n):
+            q = (p + k) % n
+            if texts[q] != texts[p]:
+                out[p] = q
+                break
+    return out
+
+
+@pytest.mark.parametrize("texts", [
+    ["a", "a", "b", "a", "a"],            # last run wraps past an equal first run
+    ["a", "b", "b", "b", "c", "a", "a"],
+    ["x", "x", "x"],                      # all equal: no negatives
+    ["p", "q"],
+])
+def test_avoid_equal_text_matches_brute_force(spark, texts):
+    n = len(texts)
+    rows = [("train", p, n, 100 + p, f"s{p}", t) for p, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "split string, split_pos long, split_n long, pair_id long, src string, tgt string")
+    got = {r.src_pair_id - 100: r.tgt_pair_id - 100
+           for r in P.mismatched_negatives(df, avoid_equal_text=True).collect()}
+    assert got == _brute_next_distinct(texts)
+
+
+def test_avoid_equal_text_on_real_pairs(spark):
+    from parallax.plans.q_sample import split_pairs
+    from conftest import SF_SMALL
+    s = split_pairs(spark, SF_SMALL)
+    neg = P.mismatched_negatives(s, avoid_equal_text=True)
+    pos_tgt = s.select(F.col("pair_id").alias("src_pair_id"), F.col("tgt").alias("own"))
+    assert neg.join(pos_tgt, "src_pair_id").filter("tgt = own").count() == 0

@@ -71,14 +71,16 @@ def array_ngrams(arr, max_n: int, sep: str) -> Column:
     return F.concat(*parts)
 
 
-def characters(c) -> Column:
-    """Code points of a string as an array (empty string -> empty array)."""
-    s = _col(c)
-    return F.when(F.length(s) > 0, F.split(s, "")).otherwise(F.array().cast("array<string>"))
-
+def char_ngram_strings(c, max_n: int = CHRF_ORDER) -> Column:
+    """array<string> of all overlapping character n-grams, n = 1..max_n.
 
-def char_ngrams(chars, max_n: int = CHRF_ORDER) -> Column:
-    return array_ngrams(chars, max_n, "")
+    One regex scan per order: a zero-width lookahead ``(?=(.{n}))`` matches
+    at every position and captures the next n code points, so extraction
+    runs in the (codegen'd) regex engine instead of one lambda call per gram.
+    The gram's length is its order, so no tag is needed."""
+    s = _col(c)
+    return F.flatten(F.array(*[F.regexp_extract_all(s, F.lit("(?s)(?=(.{%d}))" % n), 1)
+                              for n in range(1, max_n + 1)]))
 
 
 def word_ngrams(tokens, max_n: int = BLEU_ORDER) -> Column:
@@ -116,15 +118,34 @@ def ngram_match_stats(df: DataFrame, id_col: str, hyp_grams: Column, ref_grams:
 
 # chrF ------------------------------------------------------------------------
 
+def _tagged_strings(hyp_grams: Column, ref_grams: Column) -> Column:
+    """One array of (gram, side) structs built natively (arrays_zip, no
+    lambda): side 1 = hypothesis, 2 = reference, 0 = sentinel."""
+    def zipped(arr: Column, side: int) -> Column:
+        return F.arrays_zip(arr.alias("g"), F.array_repeat(F.lit(side), F.size(arr)).alias("t"))
+    sentinel = F.array(F.struct(F.lit("").alias("g"), F.lit(0).alias("t")))
+    return F.concat(zipped(hyp_grams, 1), zipped(ref_grams, 2), sentinel)
+
+
 def chrf_stats(df: DataFrame, id_col: str = "pair_id", hyp: str = "hyp", ref: str = "ref",
                group_cols: Sequence[str] = ()) -> DataFrame:
     """Per (id, n) chrF statistics; hyp counts are 0 where the reference has
-    no n-gram of that order."""
-    # Split into characters before the exchange: the n-gram lambdas then read
-    # a plain array column instead of re-running regex/substring per position.
-    pre = df.select(id_col, *group_cols, characters(strip_all_whitespace(hyp)).alias("_h"),
-                    characters(strip_all_whitespace(ref)).alias("_r"))
-    st = ngram_match_stats(pre, id_col, char_ngrams("_h"), char_ngrams("_r"), group_cols)
+    no n-gram of that order.
+
+    Whitespace is stripped before the exchange (so the regexes read a plain
+    column); grams are exploded after it, inside the id's partition."""
+    keys = [id_col, *group_cols]
+    n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pre = df.select(*keys, strip_all_whitespace(hyp).alias("_h"), strip_all_whitespace(ref).alias("_r"))
+    parted = pre.repartition(n_parts, id_col)
+    g = parted.select(*keys, F.explode(_tagged_strings(char_ngram_strings("_h"),
+                                                       char_ngram_strings("_r"))).alias("t"))
+    per_gram = (g.groupBy(*keys, F.col("t.g").alias("g"))
+                .agg(F.sum((F.col("t.t") == 1).cast("int")).alias("hc"),
+                     F.sum((F.col("t.t") == 2).cast("int")).alias("rc")))
+    st = (per_gram.groupBy(*keys, F.length("g").alias("n"))
+          .agg(F.sum("hc").alias("hyp"), F.sum("rc").alias("ref"),
+               F.sum(F.least("hc", "rc")).alias("match")))
     return st.withColumn("hyp", F.when(F.col("ref") > 0, F.col("hyp")).otherwise(0))
 
 

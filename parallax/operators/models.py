@@ -160,6 +160,22 @@ def train_pair_classifier(examples: DataFrame, reg_params: Sequence[float] = (0.
 
 # M1 / M2 ---------------------------------------------------------------------
 
+def overlap_logits_loader():
+    """A model loader for ``predict_batch_udf``: called once per executor
+    Python process, returns a function from numpy batches of (src, tgt) to
+    class logits [incorrect, correct] (the token-overlap baseline)."""
+    import numpy as np
+
+    def predict(src, tgt):
+        out = np.empty((len(src), 2), dtype=np.float64)
+        for i, (s, t) in enumerate(zip(src, tgt)):
+            a, b = set(str(s).split()), set(str(t).split())
+            score = len(a & b) / len(a) if a else 0.0
+            out[i] = (1.0 - score, score)
+        return out
+    return predict
+
+
 def score_detection(df: DataFrame, model=None, loader: Callable | None = None) -> DataFrame:
     """Batch detection over a table: a fitted pipeline's ``transform`` by
     default, or a vectorised model from ``loader`` (called once per executor

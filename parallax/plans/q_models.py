@@ -241,3 +241,13 @@ def m01(spark, sf):
     ex, model, _ = trained_detector(spark, sf)
     return MD.score_detection(ex.filter(F.col("split") == "test"), model).select(
         "example_id", "label", "pred", "label_pred", "confidence")
+
+
+@query("m01_score_detection_batch_udf")
+def m01_udf(spark, sf):
+    """M1 through the pluggable vectorised harness (predict_batch_udf, Arrow
+    batches) with the built-in overlap loader, over the test examples."""
+    ex = build_detection_examples(split_pairs(spark, sf).filter(F.col("split") == "test"))
+    return MD.score_detection(ex.select("example_id", "src", "tgt", "label"),
+                              loader=MD.overlap_logits_loader).select(
+        "example_id", "label", "label_pred", "confidence")

@@ -22,7 +22,7 @@ def test_entry_runs(spark):
 
 def test_every_oracle_has_a_query():
     assert set(E.oracle_sql()) <= set(E.queries())
-    assert len(E.queries()) >= 86
+    assert len(E.queries()) >= 87
 
 
 @pytest.fixture(scope="module")

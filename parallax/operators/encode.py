@@ -42,13 +42,15 @@ def encode(df: DataFrame, key: str, text_cols: Sequence[str], vocab: DataFrame,
            suffix: str = "_ids") -> DataFrame:
     """Token ids for each text column, in order; unknown tokens -> UNK_ID.
 
-    All columns are exploded as one tagged array, joined to the vocabulary
+    All columns are exploded as one tagged array (arrays_zip), joined to the vocabulary
     once (AQE broadcasts a small vocabulary and splits hot tokens of a big
     one) and regrouped by the row key into ordered arrays. Each group is a
     single row's tokens.
     """
-    tagged = F.concat(*[
-        F.transform(T.whitespace_tokens(c), _tag(i)) for i, c in enumerate(text_cols)])
+    def tagged_side(i: int, c: str):
+        toks = T.whitespace_tokens(c)
+        return F.arrays_zip(F.array_repeat(F.lit(i), F.size(toks)).alias("side"), toks.alias("token"))
+    tagged = F.concat(*[tagged_side(i, c) for i, c in enumerate(text_cols)])
     ex = df.select(key, F.posexplode_outer(tagged).alias("pos", "t"))
     ex = ex.select(key, "pos", F.col("t.side").alias("side"), F.col("t.token").alias("token"))
     v = vocab.select(F.col("token").alias("_tok"), F.col("id").cast("int").alias("_id"))
@@ -57,12 +59,8 @@ def encode(df: DataFrame, key: str, text_cols: Sequence[str], vocab: DataFrame,
     aggs = [F.array_sort(F.collect_list(F.when(F.col("side") == i, item))).alias(f"_a{i}")
             for i in range(len(text_cols))]
     g = j.groupBy(key).agg(*aggs)
-    return g.select(key, *[F.transform(f"_a{i}", lambda x: x["id"]).alias(c + suffix)
-                           for i, c in enumerate(text_cols)])
-
-
-def _tag(side: int):
-    return lambda tok: F.struct(F.lit(side).alias("side"), tok.alias("token"))
+    # array<struct>["id"] extracts the field natively (no per-token lambda).
+    return g.select(key, *[F.col(f"_a{i}")["id"].alias(c + suffix) for i, c in enumerate(text_cols)])
 
 
 # V4

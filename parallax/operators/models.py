@@ -96,7 +96,7 @@ def translate(df: DataFrame, key: str, tokens: str, lexicon: DataFrame, out: str
     j = ex.join(lx, ex.tok == lx._s, "left")
     item = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("_t", "tok").alias("w")))
     g = j.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("_a"))
-    return g.select(key, F.array_join(F.transform("_a", lambda x: x["w"]), " ").alias(out))
+    return g.select(key, F.array_join(F.col("_a")["w"], " ").alias(out))
 
 
 # M6 --------------------------------------------------------------------------

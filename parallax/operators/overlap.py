@@ -53,24 +53,6 @@ def strip_all_whitespace(c) -> Column:
     return F.regexp_replace(_col(c), f"{K.JWS_CLASS}+", "")
 
 
-# One-argument lambdas only: Spark reads a two-argument lambda as (x, index).
-def _gram_at(arr: Column, n: int, sep: str):
-    return lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(arr, i, n), sep).alias("g"))
-
-
-def array_ngrams(arr, max_n: int, sep: str) -> Column:
-    """array<struct<n, g>> of all n-grams (n = 1..max_n) of an array of
-    units, joined with ``sep``. Slicing an array is O(n) per gram, so a text
-    of L units costs O(L * max_n), never O(L^2)."""
-    a = _col(arr)
-    parts = []
-    for n in range(1, max_n + 1):
-        grams = F.transform(F.sequence(F.lit(1), F.size(a) - n + 1), _gram_at(a, n, sep))
-        parts.append(F.when(F.size(a) >= n, grams).otherwise(
-            F.array().cast("array<struct<n:int,g:string>>")))
-    return F.concat(*parts)
-
-
 def char_ngram_strings(c, max_n: int = CHRF_ORDER) -> Column:
     """array<string> of all overlapping character n-grams, n = 1..max_n.
 
@@ -83,39 +65,6 @@ def char_ngram_strings(c, max_n: int = CHRF_ORDER) -> Column:
                               for n in range(1, max_n + 1)]))
 
 
-def word_ngrams(tokens, max_n: int = BLEU_ORDER) -> Column:
-    return array_ngrams(tokens, max_n, " ")
-
-
-def _tagged(hyp_grams: Column, ref_grams: Column) -> Column:
-    h = F.transform(hyp_grams, lambda x: F.struct(x["n"].alias("n"), x["g"].alias("g"),
-                                                   F.lit(1).alias("h"), F.lit(0).alias("r")))
-    r = F.transform(ref_grams, lambda x: F.struct(x["n"].alias("n"), x["g"].alias("g"),
-                                                   F.lit(0).alias("h"), F.lit(1).alias("r")))
-    # A zero sentinel (n = 0) gives every row at least one group, so rows
-    # with no n-grams still come out (scoring 0) without a join back.
-    sentinel = F.array(F.struct(F.lit(0).alias("n"), F.lit("").alias("g"),
-                                F.lit(0).alias("h"), F.lit(0).alias("r")))
-    return F.concat(h, r, sentinel)
-
-
-def ngram_match_stats(df: DataFrame, id_col: str, hyp_grams: Column, ref_grams: Column,
-                      group_cols: Sequence[str] = ()) -> DataFrame:
-    """(id, [groups], n, hyp, ref, match): per-row clipped n-gram match
-    statistics; ``group_cols`` (e.g. a system name) must be fixed per id."""
-    keys = [id_col, *group_cols]
-    # An explicit partition count: AQE would otherwise coalesce the compact
-    # text rows into a few tasks although each row explodes ~12x per char.
-    n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parted = df.repartition(n_parts, id_col)
-    g = parted.select(*keys, F.explode(_tagged(hyp_grams, ref_grams)).alias("t"))
-    per_gram = (g.groupBy(*keys, F.col("t.n").alias("n"), F.col("t.g").alias("g"))
-                .agg(F.sum("t.h").alias("hc"), F.sum("t.r").alias("rc")))
-    return (per_gram.groupBy(*keys, "n")
-            .agg(F.sum("hc").alias("hyp"), F.sum("rc").alias("ref"),
-                 F.sum(F.least("hc", "rc")).alias("match")))
-
-
 # chrF ------------------------------------------------------------------------
 
 def _tagged_strings(hyp_grams: Column, ref_grams: Column) -> Column:
@@ -185,18 +134,45 @@ def corpus_chrf(df: DataFrame, id_col: str = "pair_id", hyp: str = "hyp", ref: s
 
 # BLEU ------------------------------------------------------------------------
 
+def word_ngram_strings(joined, max_n: int = BLEU_ORDER) -> Column:
+    """array<string> of all word n-grams (n = 1..max_n) of a text whose
+    tokens are joined by single spaces: a lookahead anchored at each token
+    start captures the next n tokens (one regex scan per order)."""
+    s = _col(joined)
+    return F.flatten(F.array(*[
+        F.regexp_extract_all(s, F.lit("(?<![^ ])(?=([^ ]+" + "(?: [^ ]+)" * (n - 1) + "))"), 1)
+        for n in range(1, max_n + 1)]))
+
+
 def bleu_stats(df: DataFrame, id_col: str = "pair_id", hyp: str = "hyp", ref: str = "ref",
                group_cols: Sequence[str] = ()) -> DataFrame:
-    """Corpus sums (per group): correct_n, total_n (n = 1..4), sys_len, ref_len."""
-    tok = df.select(id_col, *group_cols, tokenize_13a(hyp).alias("_ht"), tokenize_13a(ref).alias("_rt"))
-    st = ngram_match_stats(tok, id_col, word_ngrams("_ht"), word_ngrams("_rt"), group_cols)
+    """Corpus sums (per group): correct_n, total_n (n = 1..4), sys_len, ref_len.
+
+    13a tokens (which never contain whitespace) are joined by single spaces
+    before the exchange; word n-grams are then extracted by regex inside
+    the id's partition, and a gram's order is its number of spaces + 1."""
+    keys = [id_col, *group_cols]
+    n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tok = df.select(*keys, F.array_join(tokenize_13a(hyp), " ").alias("_h"),
+                    F.array_join(tokenize_13a(ref), " ").alias("_r"))
+    parted = tok.repartition(n_parts, id_col)
+    g = parted.select(*keys, F.explode(_tagged_strings(word_ngram_strings("_h"),
+                                                       word_ngram_strings("_r"))).alias("t"))
+    per_gram = (g.groupBy(*keys, F.col("t.g").alias("g"))
+                .agg(F.sum((F.col("t.t") == 1).cast("int")).alias("hc"),
+                     F.sum((F.col("t.t") == 2).cast("int")).alias("rc")))
+    order = F.when(F.col("g") == "", 0).otherwise(F.size(F.split(F.col("g"), " ")))
+    st = (per_gram.groupBy(*keys, order.alias("n"))
+          .agg(F.sum("hc").alias("hyp"), F.sum("rc").alias("ref"),
+               F.sum(F.least("hc", "rc")).alias("match")))
+
     def total(c, n):
         return F.coalesce(F.sum(F.when(F.col("n") == n, F.col(c))), F.lit(0)).cast("bigint")
     # Unigram totals are the token counts, so lengths need no second pass.
     return st.groupBy(*group_cols).agg(
-                  *[total("match", n).alias(f"correct_{n}") for n in range(1, BLEU_ORDER + 1)],
-                  *[total("hyp", n).alias(f"total_{n}") for n in range(1, BLEU_ORDER + 1)],
-                  total("hyp", 1).alias("sys_len"), total("ref", 1).alias("ref_len"))
+        *[total("match", n).alias(f"correct_{n}") for n in range(1, BLEU_ORDER + 1)],
+        *[total("hyp", n).alias(f"total_{n}") for n in range(1, BLEU_ORDER + 1)],
+        total("hyp", 1).alias("sys_len"), total("ref", 1).alias("ref_len"))
 
 
 def bleu_from_stats(stats: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:

@@ -84,3 +84,16 @@ def test_scan_prunes_columns(spark):
     df = E.queries()["t07_english_ratio"](spark, SF_SMALL)
     plan = _plan(df)
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+
+
+TRAINS_WHILE_BUILDING = {"m01_score_detection", "m03_pair_classifier_report"}
+
+
+@pytest.mark.parametrize("name", sorted(set(E.queries()) - TRAINS_WHILE_BUILDING))
+def test_plans_stay_in_jvm_without_cross_joins(spark, name):
+    plan = _plan(E.queries()[name](spark, SF_SMALL))
+    assert "BatchEvalPython" not in plan           # no row-at-a-time Python UDF anywhere
+    assert "CartesianProduct" not in plan
+    assert "BroadcastNestedLoopJoin" not in plan
+    if name != "m01_score_detection_batch_udf":    # the one Arrow-batched model harness
+        assert "ArrowEvalPython" not in plan and "MapInPandas" not in plan

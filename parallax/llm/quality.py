@@ -17,10 +17,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parallax.llm.common import fresh_name, white_words, whole_text
+from parallax.llm.common import WHITE, fresh_name, white_words, whole_text
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-            "n_lines", "n_upper", "n_letters")
+            "n_lines", "n_upper")
 
 
 @dataclass(frozen=True)
@@ -46,7 +46,7 @@ RULES: tuple[Rule, ...] = (
     Rule("symbol_ratio", lambda m: m("n_symbols") * 10 > m("n_words")),
     Rule("duplicate_lines", lambda m: m("n_dup_lines") * 10 > m("n_lines") * 5),
     Rule("word_length", lambda m: (m("word_chars") < m("n_words") * 2) | (m("word_chars") > m("n_words") * 20)),
-    Rule("upper_case", lambda m: m("n_upper") * 2 > m("n_letters")),
+    Rule("upper_case", lambda m: m("n_upper") * 2 > m("word_chars")),
 )
 BASE = Policy("base", ("few_words", "repeated_words"))
 POLICIES = {p.version: p for p in (
@@ -62,16 +62,19 @@ def mask_of(names: Sequence[str], rules: Sequence[Rule] = RULES) -> int:
     return sum(bits[n] for n in set(names))
 
 
-def repeated_words(words: Column) -> Column:
+def word_windows(words: Column) -> Column:
+    """A hash of every three consecutive words, in order."""
+    first = F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(0)))
+    return F.transform(first, lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))
+
+
+def repeated_words(words: Column, windows: Column) -> Column:
     """Words that lie in a 3-word window found twice or more.
 
-    Windows are hashed and the hashes sorted with their positions; equal
-    neighbours are confirmed on the words themselves. Rows without an equal pair
-    of hashes (most) stop before the sort.
+    The windows' hashes are sorted with their positions; equal neighbours are
+    confirmed on the words themselves. Rows whose hashes all differ stop before
+    the sort.
     """
-    n = F.size(words)
-    windows = F.transform(F.sequence(F.lit(0), n - 3),
-                          lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
     tagged = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
     def same(a: Column, b: Column) -> Column:
@@ -86,26 +89,25 @@ def repeated_words(words: Column) -> Column:
 
     # a one-element transform binds the sorted array once for all its uses
     counted = F.get(F.transform(F.array(tagged), repeats), F.lit(0))
-    return F.when(n < 3, 0).when(F.size(F.array_distinct(windows)) == F.size(windows), 0).otherwise(counted)
+    return F.when(F.size(F.array_distinct(windows)) == F.size(windows), 0).otherwise(counted)
 
 
 def measured(docs: DataFrame, text: str, out: str) -> DataFrame:
     """docs with one struct column of all measurements (long)."""
-    t, w, lines = (fresh_name(docs, s) for s in ("text", "words", "lines"))
+    t, w, win, lines = (fresh_name(docs, s) for s in ("text", "words", "windows", "lines"))
     keep = list(docs.columns)
     df = docs.withColumn(t, whole_text(F.col(f"`{text}`")))
     df = df.withColumn(w, white_words(F.col(t))).withColumn(
-        lines, F.filter(F.split(F.col(t), "\n"), lambda x: F.length(F.btrim(x, F.lit(" \t\n\x0b\f\r"))) > 0))
-    size = F.length(F.col(t))
+        lines, F.filter(F.split(F.col(t), "\n"), lambda x: F.length(F.btrim(x, F.lit(WHITE))) > 0))
+    df = df.withColumn(win, word_windows(F.col(w)))
     values = {
         "n_words": F.size(w),
-        "word_chars": size - F.regexp_count(F.col(t), F.lit(r"[ \t\n\x0B\f\r]")),
+        "word_chars": F.length(F.array_join(w, "")),
         "n_symbols": F.regexp_count(F.col(t), F.lit(r"[#*$%&|<>]")),
         "n_dup_lines": F.size(lines) - F.size(F.array_distinct(F.col(lines))),
-        "n_repeat_words": repeated_words(F.col(w)),
+        "n_repeat_words": repeated_words(F.col(w), F.col(win)),
         "n_lines": F.size(lines),
         "n_upper": F.regexp_count(F.col(t), F.lit(r"\p{Lu}")),
-        "n_letters": F.regexp_count(F.col(t), F.lit(r"\p{L}")),
     }
     return df.select(*[F.col(f"`{c}`") for c in keep],
                      F.struct(*[values[m].cast("long").alias(m) for m in MEASURES]).alias(out))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parallax.llm import chat, licences, quality, secrets
+from parallax.llm import chat, licences, quality, secrets, wumanber
 from parallax.llm.common import load
 
 
@@ -38,6 +38,14 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         secrets.spelled(F.col("findings")).alias("spans"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = wumanber.find_leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+                        (F.size("spans") > 0).alias("contaminated"))
+
+
 def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licences.scan_licences(load(spark, sf_dir, "documents"))
 
@@ -62,6 +70,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_secret_scan": op2_secret_scan,
+    "op8_decontaminate": op8_decontaminate,
     "op9_licence_scan": op9_licence_scan,
     "op10_quality_rules": op10_quality_rules,
 }

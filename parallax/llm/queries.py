@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parallax.llm import chat, licences, quality, secrets, wumanber
+from parallax.llm import bpe_count, chat, licences, packing, quality, secrets, wumanber
 from parallax.llm.common import load
 
 
@@ -38,6 +38,20 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         secrets.spelled(F.col("findings")).alias("spans"))
 
 
+def op4_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = bpe_count.count_tokens(load(spark, sf_dir, "documents"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
+
+
+def packed_digest(pieces: DataFrame) -> DataFrame:
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
+                         "sequence_id", "offset")
+
+
+def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_digest(packing.pack_documents(load(spark, sf_dir, "documents")))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = wumanber.find_leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
@@ -70,6 +84,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_secret_scan": op2_secret_scan,
+    "op4_token_count": op4_token_count,
+    "op7_pack": op7_pack,
     "op8_decontaminate": op8_decontaminate,
     "op9_licence_scan": op9_licence_scan,
     "op10_quality_rules": op10_quality_rules,

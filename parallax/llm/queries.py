@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parallax.llm import bpe_count, chat, licences, packing, quality, secrets, wumanber
+from parallax.llm import bpe_count, chat, licences, packing, quality, secrets, simhash, wumanber
 from parallax.llm.common import load
 
 
@@ -38,6 +38,11 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         secrets.spelled(F.col("findings")).alias("spans"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(load(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op4_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = bpe_count.count_tokens(load(spark, sf_dir, "documents"))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
@@ -84,6 +89,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_secret_scan": op2_secret_scan,
+    "op3_simhash": op3_simhash,
     "op4_token_count": op4_token_count,
     "op7_pack": op7_pack,
     "op8_decontaminate": op8_decontaminate,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parallax.llm import bpe_count, chat, licences, packing, quality, repeats, secrets, simhash, wumanber
+from parallax.llm import bpe_count, chat, licences, packing, quality, repeats, secrets, simhash, toxicity, wumanber
 from parallax.llm.common import load
 
 
@@ -48,6 +48,19 @@ def op4_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+
+    def fold(key: str):
+        return F.crc32(F.col(key).cast("string").cast("binary")) % 5
+
+    sample = toxicity.training_sample(docs, load(spark, sf_dir, "labels"), usable=fold("key") != 0)
+    scored = toxicity.score_documents(docs, toxicity.fit_sample(sample))
+    return scored.select("doc_id", F.coalesce(fold("doc_id") == 0, F.lit(False)).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"),
+                         F.size("sentences").cast("long").alias("n_offending"))
+
+
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeats.remove_repeats(load(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
@@ -98,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scan": op2_secret_scan,
     "op3_simhash": op3_simhash,
     "op4_token_count": op4_token_count,
+    "op5_toxicity": op5_toxicity,
     "op6_repeats": op6_repeats,
     "op7_pack": op7_pack,
     "op8_decontaminate": op8_decontaminate,

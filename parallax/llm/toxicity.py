@@ -35,6 +35,7 @@ MOST_CHARS = 50_000
 LEAST_DOCUMENTS = 3  # documents a word or stem must be in to become a feature
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 WORD = re.compile(r"[^\W_]+")
+MOST_CACHED = 500_000  # words whose weight a task remembers
 STEMS = (4, 5)  # prefix lengths that are features beside the word itself
 
 
@@ -43,10 +44,27 @@ def sentences_of(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in SENTENCE.finditer(text) if not m.group().isspace()]
 
 
-def features_of(sentence: str) -> set[str]:
-    """The words of a sentence, and their stems as prefixes (inflected languages)."""
-    found = set(WORD.findall(sentence.lower()))
-    return found | {f"{w[:n]}-" for w in found for n in STEMS if len(w) > n}
+def features_of(word: str) -> list[str]:
+    """A word, and its stems as prefixes (inflected languages)."""
+    return [word, *(f"{word[:n]}-" for n in STEMS if len(word) > n)]
+
+
+def words_of(sentence: str) -> set[str]:
+    return set(WORD.findall(sentence.lower()))
+
+
+class WordWeights(dict):
+    """word > sum of its features' weights, filled on demand and bounded."""
+
+    def __init__(self, weights: dict[str, float]):
+        super().__init__()
+        self.weights = weights
+
+    def __missing__(self, word: str) -> float:
+        if len(self) >= MOST_CACHED:
+            self.clear()
+        value = self[word] = sum(self.weights.get(f, 0.0) for f in features_of(word))
+        return value
 
 
 @dataclass(frozen=True)
@@ -54,17 +72,23 @@ class Model:
     bias: float
     weights: dict[str, float]
 
-    def sentence(self, sentence: str) -> float:
-        """Log odds of one sentence."""
-        get = self.weights.get
-        return self.bias + sum(get(w, 0.0) for w in features_of(sentence))
+    def scorer(self) -> "Scorer":
+        return Scorer(self)
+
+
+class Scorer:
+    """Scores texts with a model; one per task, for its cache of words."""
+
+    def __init__(self, model: Model):
+        self.bias, self.words = model.bias, WordWeights(model.weights)
 
     def score(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
         """The document's probability, and (start, end, probability) of its sentences above one half."""
         spans = sentences_of(text)
         if not spans:
             return 0.0, []
-        odds = np.array([self.sentence(text[a:b]) for a, b in spans])
+        value = self.words.__getitem__
+        odds = np.array([self.bias + sum(map(value, words_of(text[a:b]))) for a, b in spans])
         worst = [(a, b, float(1 / (1 + np.exp(-z)))) for (a, b), z in zip(spans, odds.tolist()) if z > 0]
         return float(-np.expm1(-np.logaddexp(0, odds).sum())), worst
 
@@ -72,14 +96,15 @@ class Model:
 NO_MODEL = Model(-np.inf, {})
 
 
-def fit(texts: Sequence[str], labels: Sequence[int], rounds: int = 300, rate: float = 0.1,
-        shrink: float = 1e-5) -> Model:
+def fit(texts: Sequence[str], labels: Sequence[int], rounds: int = 150, rate: float = 0.2,
+        shrink: float = 1e-4) -> Model:
     """Noisy-or over sentences, by Adam on the mean log loss of the documents.
 
-    ``shrink`` pulls the weights of words that explain little to zero.
+    Words can only speak for an offence, never against one: weights stay at zero or above,
+    and ``shrink`` takes a constant off them, which clears those that explain little.
     """
-    bags = [[features_of(t[a:b]) for a, b in sentences_of(t)] for t in texts]
-    in_docs = Counter(w for bag in bags for w in set().union(*bag))
+    bags = [[words_of(t[a:b]) for a, b in sentences_of(t)] for t in texts]
+    in_docs = Counter(f for bag in bags for f in {f for w in set().union(*bag) for f in features_of(w)})
     vocabulary = {w: i for i, w in enumerate(sorted(w for w, n in in_docs.items() if n >= LEAST_DOCUMENTS))}
     keep = [i for i, bag in enumerate(bags) if bag]
     y = np.array([labels[i] for i in keep], float)
@@ -88,7 +113,7 @@ def fit(texts: Sequence[str], labels: Sequence[int], rounds: int = 300, rate: fl
     word, sentence, doc = [], [], []
     for d, i in enumerate(keep):
         for bag in bags[i]:
-            ids = [vocabulary[w] for w in bag if w in vocabulary]
+            ids = [vocabulary[f] for w in bag for f in features_of(w) if f in vocabulary]
             word += ids
             sentence += [len(doc)] * len(ids)
             doc.append(d)
@@ -105,10 +130,11 @@ def fit(texts: Sequence[str], labels: Sequence[int], rounds: int = 300, rate: fl
         push = np.where(y > 0, -clean / np.maximum(1 - clean, 1e-9), 1.0) / len(y)
         by_odds = push[doc] / (1 + np.exp(-odds))
         grad = np.concatenate((np.bincount(word, by_odds[sentence], len(vocabulary)), [by_odds.sum()]))
-        grad[:-1] += shrink * w[:-1]
+        grad[:-1] += shrink
         mean = 0.9 * mean + 0.1 * grad
         square = 0.999 * square + 0.001 * grad ** 2
         w -= rate * (mean / (1 - 0.9 ** step)) / (np.sqrt(square / (1 - 0.999 ** step)) + 1e-8)
+        np.maximum(w[:-1], 0, out=w[:-1])
     return Model(float(w[-1]), {v: float(w[i]) for v, i in vocabulary.items() if abs(w[i]) > 1e-3})
 
 
@@ -141,10 +167,11 @@ def score_documents(docs: DataFrame, model: Model, key: str = "doc_id", text: st
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
     def scored(batches):
+        scorer = shared.value.scorer()
         for batch in batches:
             scores, found = [], []
             for t in batch.column(1):
-                score, worst = shared.value.score(t.as_py())
+                score, worst = scorer.score(t.as_py())
                 scores.append(score)
                 found.append([{"start": a, "end": b, "score": p} for a, b, p in worst])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(found, kind)],

@@ -93,7 +93,11 @@ def repeated_words(words: Column, windows: Column) -> Column:
 
 
 def measured(docs: DataFrame, text: str, out: str) -> DataFrame:
-    """docs with one struct column of all measurements (long)."""
+    """docs with one struct column of all measurements (long).
+
+    The one-row explode keeps a later filter from being pushed below the
+    measurements, where each rule would measure again.
+    """
     t, w, win, lines = (fresh_name(docs, s) for s in ("text", "words", "windows", "lines"))
     keep = list(docs.columns)
     df = docs.withColumn(t, whole_text(F.col(f"`{text}`")))
@@ -110,7 +114,7 @@ def measured(docs: DataFrame, text: str, out: str) -> DataFrame:
         "n_upper": F.regexp_count(F.col(t), F.lit(r"\p{Lu}")),
     }
     return df.select(*[F.col(f"`{c}`") for c in keep],
-                     F.struct(*[values[m].cast("long").alias(m) for m in MEASURES]).alias(out))
+                     F.explode(F.array(F.struct(*[values[m].cast("long").alias(m) for m in MEASURES]))).alias(out))
 
 
 def failure_bits(measures: str, rules: Sequence[Rule] = RULES) -> Column:

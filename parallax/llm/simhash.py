@@ -86,7 +86,9 @@ def filing_masks(blocks: int = BLOCKS, most: int = MOST_BITS) -> list[int]:
 
 
 def links(fingerprints: DataFrame, most: int = MOST_BITS, blocks: int = BLOCKS) -> DataFrame:
-    """Distinct fingerprints (``fp``) > pairs (a, b) at ``most`` or fewer differing bits, a < b."""
+    """Distinct fingerprints (``fp``) > pairs (a, b) at ``most`` or fewer differing bits, a < b.
+
+    A pair that agrees in more runs than it must comes once for each choice of them."""
     tabled = fingerprints.select("fp", distance_table(F.col("fp")).alias("pivots"))
     files = F.array(*[F.struct(F.lit(i).alias("file"), F.col("fp").bitwiseAND(F.lit(m)).alias("kept"))
                       for i, m in enumerate(filing_masks(blocks, most))])
@@ -97,7 +99,7 @@ def links(fingerprints: DataFrame, most: int = MOST_BITS, blocks: int = BLOCKS)
     met = one.join(two, (F.col("x.file") == F.col("y.file")) & (F.col("x.kept") == F.col("y.kept"))
                    & (F.col("x.fp") < F.col("y.fp")) & (apart <= most)
                    & (F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= most))
-    return met.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
+    return met.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
 
 
 def components_of(marked: DataFrame, order: Column, most: int = MOST_BITS, blocks: int = BLOCKS) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parallax import constants as K
@@ -17,6 +17,15 @@ def drop_missing(df: DataFrame, cols: Sequence[str] = ("src", "tgt")) -> DataFra
     return df.dropna(subset=list(cols))
 
 
+def evaluated_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """df with computed columns that later filters and columns read instead of evaluating
+    them again: a one-row explode, below which the optimiser pushes no filter."""
+    made = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_made")
+    kept = [c for c in df.columns if c not in columns]
+    out = df.select(*kept, made).select(*kept, *[F.col("_made")[n].alias(n) for n in columns])
+    return out.select(*df.columns, *[n for n in columns if n not in df.columns])
+
+
 # F2
 def drop_empty(df: DataFrame, cols: Sequence[str] = ("src", "tgt")) -> DataFrame:
     cond = None
@@ -46,8 +55,7 @@ def preprocess_pairs(df: DataFrame, normalize: bool = False, hard_drop_english:
                      cols: Sequence[str] = ("src", "tgt")) -> DataFrame:
     """F1 > T6 on both sides > F2 > F3 (> F4): one narrow stage, no shuffle."""
     out = drop_missing(df, cols)
-    for c in cols:
-        out = out.withColumn(c, T.clean_text(c, normalize))
+    out = evaluated_once(out, {c: T.clean_text(c, normalize) for c in cols})
     out = flag_mostly_english(drop_empty(out, cols), cols)
     return drop_flagged(out) if hard_drop_english else out
 
@@ -63,8 +71,7 @@ def validate_request(df: DataFrame, text_col: str = "slang", out_text: str = "sl
 
 # J4
 def pair_turns(conversations: DataFrame, src_role: str = "user",
-               tgt_role: str = "assistant", pair_key_scale: int = 1000,
-               how: str = "inner") -> DataFrame:
+               tgt_role: str = "assistant", how: str = "inner") -> DataFrame:
     """Parallel rows from adjacent turns: a ``src_role`` turn and the
     ``tgt_role`` turn right after it in the same conversation.
 
@@ -72,6 +79,8 @@ def pair_turns(conversations: DataFrame, src_role: str = "user",
     over conv_id: a single huge conversation is then spread over many
     partitions instead of landing in one task. ``how="left"`` keeps
     source turns with no answer (target null), i.e. the raw pair table.
+    ``pair_id`` is "conversation:turn" of the source turn, so no two pairs
+    share one however long a conversation is.
     """
     u = (conversations.filter(F.col("role") == src_role)
          .select("conv_id", F.col("turn"), F.col("text").alias("src"),
@@ -80,6 +89,6 @@ def pair_turns(conversations: DataFrame, src_role: str = "user",
          .select(F.col("conv_id").alias("_c"), F.col("turn").alias("_t"),
                  F.col("text").alias("tgt")))
     return (u.join(a, (u.conv_id == a._c) & (u._next == a._t), how)
-            .select((F.col("conv_id") * pair_key_scale + F.col("turn")).alias("pair_id"),
+            .select(F.concat(F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string")).alias("pair_id"),
                     "conv_id", "turn", "src", "tgt"))
 

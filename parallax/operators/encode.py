@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from parallax import constants as K
 from parallax.functions import arrays as V
 from parallax.functions import text as T
-from parallax.operators.positional import ordered_positions
+from parallax.sources.io import written
+from parallax.operators.positional import sorted_positions
 
 # FIXED VALUES: special token ids.
 PAD_ID, EOS_ID, UNK_ID = 0, 1, 2
@@ -24,16 +25,14 @@ FIRST_TOKEN_ID = 3
 # V1
 def build_vocabulary(texts: DataFrame, text_col: str = "text", min_count: int = 1) -> DataFrame:
     """(token, count, id). Counting is a partial aggregation (hot tokens are
-    combined map-side); the global rank by (count desc, token) uses buckets
-    (count, 2-char token prefix), so the many count-1 tokens still spread
-    over many tasks."""
+    combined map-side) and written once; the global rank by (count desc, token)
+    uses a bounded number of buckets, which split tokens of one count by token."""
     toks = texts.select(F.explode(T.whitespace_tokens(text_col)).alias("token"))
     counts = toks.groupBy("token").agg(F.count(F.lit(1)).alias("count"))
     if min_count > 1:
         counts = counts.filter(F.col("count") >= min_count)
-    b = counts.withColumn("_cb", F.col("count")).withColumn("_tb", F.substring("token", 1, 2))
-    ranked = ordered_positions(b, [F.col("count").desc(), F.col("token")], ["_cb", "_tb"],
-                               out="_rank", bucket_order=[F.col("_cb").desc(), F.col("_tb")])
+    counts = written(counts.withColumn("_less", -F.col("count")), "token-counts")
+    ranked = sorted_positions(counts, ["_less", "token"], "_rank")
     return ranked.select("token", "count", (F.col("_rank") + FIRST_TOKEN_ID).alias("id"))
 
 

@@ -62,7 +62,8 @@ def route(df: DataFrame) -> DataFrame:
 def retraining_set(train_pairs: DataFrame, feedback: DataFrame) -> DataFrame:
     """One (src, tgt) per source text: a valid correction beats a confirmed
     high-quality output, which beats the training pair; within a kind the
-    latest feedback wins (then the larger id).
+    latest feedback wins (then the larger id), of equal training sources
+    the smallest target.
 
     Chosen with a grouped min over an ordering struct, which combines
     map-side: a source repeated millions of times never lands whole in one task.
@@ -78,7 +79,7 @@ def retraining_set(train_pairs: DataFrame, feedback: DataFrame) -> DataFrame:
         F.lit(2).alias("prio"), (-ts_us).alias("nts"), (-F.col("event_id")).alias("nid"),
         F.lit("confirmed").alias("origin"))
     base = train_pairs.select("src", "tgt", F.lit(3).alias("prio"), F.lit(0).cast("bigint").alias("nts"),
-                              (-F.col("pair_id")).alias("nid"), F.lit("train").alias("origin"))
+                              F.lit(0).cast("bigint").alias("nid"), F.lit("train").alias("origin"))
     allrows = corr.unionByName(conf).unionByName(base)
     best = allrows.groupBy("src").agg(F.min(F.struct("prio", "nts", "nid", "tgt", "origin")).alias("m"))
     return best.select("src", F.col("m.tgt").alias("tgt"), F.col("m.origin").alias("origin"))

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parallax.operators.positional import ordered_positions
+from parallax.operators.positional import sorted_positions
 
 
 def _cnt(cond: Column) -> Column:
@@ -47,8 +47,11 @@ def dataset_statistics(generation: DataFrame, detection: DataFrame) -> DataFrame
 
 
 # A3
-def accuracy(df: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFrame:
-    return df.agg(F.avg((F.col(pred) == F.col(gold)).cast("double")).alias("accuracy"))
+def accuracy(df: DataFrame, columns: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+    """One row; ``columns`` names each accuracy and its (gold, pred) columns."""
+    columns = columns or {"accuracy": ("gold", "pred")}
+    return df.agg(*[F.avg((F.col(pred) == F.col(gold)).cast("double")).alias(name)
+                    for name, (gold, pred) in columns.items()])
 
 
 # A4
@@ -125,18 +128,16 @@ def error_rate(df: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFra
 
 
 # A7
-def mean_and_median(df: DataFrame, value: str, bucket: Column | None = None) -> DataFrame:
+def mean_and_median(df: DataFrame, value: str) -> DataFrame:
     """Mean and exact interpolated median without gathering values in one task.
 
     Distinct values are counted first (map-side combine, so a hot value
     costs nothing), then positioned by a bucketed prefix sum of their
-    counts; only the one or two middle values are picked out.
-    ``bucket`` is an order-preserving coarsening of the value (default floor).
+    counts, in at most a fixed number of buckets; only the one or two middle
+    values are picked out.
     """
     d = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_w"))
-    d = d.withColumn("_vb", bucket if bucket is not None else F.floor(F.col(value)))
-    pos = ordered_positions(d, [F.col(value)], ["_vb"], out="_start", size_col="_n",
-                            weight_col="_w")
+    pos = sorted_positions(d, [value], "_start", size_col="_n", weight_col="_w")
     lo_k = F.floor((F.col("_n") - 1) / 2)
     hi_k = F.ceil((F.col("_n") - 1) / 2)
     covers = lambda k: (F.col("_start") <= k) & (k < F.col("_start") + F.col("_w"))
@@ -164,12 +165,16 @@ def mean_of_batch_means(row_losses: DataFrame, position: str, batch_size: int,
 
 # J3
 def compare_models(metrics: DataFrame, base: str = "zero_shot", tuned: str = "fine_tuned") -> DataFrame:
-    """Join tidy (task, model, metric, value) rows of two models; add the gain."""
-    a = metrics.filter(F.col("model") == base).select(
-        "task", "metric", F.col("value").alias(base))
-    b = metrics.filter(F.col("model") == tuned).select(
-        "task", "metric", F.col("value").alias(tuned))
-    return a.join(b, ["task", "metric"]).withColumn("gain", F.col(tuned) - F.col(base))
+    """Tidy (task, model, metric, value) rows of two models side by side, and the gain;
+    (task, metric) that only one of them has are left out. The metrics are read once."""
+    def of(model: str) -> Column:
+        return F.max(F.when(F.col("model") == model, F.col("value")))
+
+    both = metrics.groupBy("task", "metric").agg(
+        of(base).alias(base), of(tuned).alias(tuned),
+        F.count_if(F.col("model") == base).alias("_b"), F.count_if(F.col("model") == tuned).alias("_t"))
+    return both.filter((F.col("_b") > 0) & (F.col("_t") > 0)).select(
+        "task", "metric", base, tuned, (F.col(tuned) - F.col(base)).alias("gain"))
 
 
 # A13
@@ -178,8 +183,3 @@ def comparison_table(metrics: DataFrame, models: Sequence[str] = ("zero_shot", "
     p = metrics.groupBy("task", "metric").pivot("model", list(models)).agg(F.first("value"))
     return p.withColumn("gain", F.col(models[1]) - F.col(models[0]))
 
-
-def ranked(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
-    """Top-k by an explicit order (TakeOrderedAndProject)."""
-    return df.orderBy(*order).limit(k)
-

@@ -56,12 +56,12 @@ def strip_all_whitespace(c) -> Column:
 def char_ngram_strings(c, max_n: int = CHRF_ORDER) -> Column:
     """array<string> of all overlapping character n-grams, n = 1..max_n.
 
-    One regex scan per order: a zero-width lookahead ``(?=(.{n}))`` matches
-    at every position and captures the next n code points, so extraction
+    One regex scan per order: ``(?=(.{n})).`` consumes one code point at a
+    time (also outside the BMP) and captures the n from there, so extraction
     runs in the (codegen'd) regex engine instead of one lambda call per gram.
     The gram's length is its order, so no tag is needed."""
     s = _col(c)
-    return F.flatten(F.array(*[F.regexp_extract_all(s, F.lit("(?s)(?=(.{%d}))" % n), 1)
+    return F.flatten(F.array(*[F.regexp_extract_all(s, F.lit("(?s)(?=(.{%d}))." % n), 1)
                               for n in range(1, max_n + 1)]))
 
 

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from parallax import constants as K
 from parallax.operators.positional import shuffle_order
 
+# Buckets a split is cut into for running sums: the carry has at most as many rows per split.
+CARRY_ROWS = 1024
+
 
 # J1
 def mismatched_negatives(pairs: DataFrame, avoid_equal_text: bool = False) -> DataFrame:
@@ -46,7 +49,7 @@ def _negatives_with_distinct_text(pairs: DataFrame) -> DataFrame:
                     F.col("tgt").alias("_prev"))
     x = p.join(prev, (p.split == prev._s) & (p.split_pos == prev._k), "left").drop("_s", "_k")
     x = x.withColumn("_start", (F.col("_prev").isNull() | (F.col("_prev") != F.col("tgt"))).cast("int"))
-    x = x.withColumn("_b", F.floor(F.col("split_pos") / 4096))
+    x = x.withColumn("_b", F.floor(F.col("split_pos") * CARRY_ROWS / F.col("split_n")))
     x = prefix_scan(x, F.col("_start"), "sum", "_run", ["split"], [F.col("split_pos")], "_b")
     runs = x.groupBy("split", "_run").agg(F.max("split_pos").alias("_end"))
     x = x.join(runs, ["split", "_run"])
@@ -54,7 +57,7 @@ def _negatives_with_distinct_text(pairs: DataFrame) -> DataFrame:
     first = x.filter(F.col("split_pos") == 0).select(
         F.col("split").alias("_fs"), F.col("_end").alias("_first_end"), F.col("tgt").alias("_first_tgt"))
     nruns = runs.groupBy(F.col("split").alias("_ns")).agg(F.max("_run").alias("_nruns"))
-    x = (x.join(F.broadcast(first), x.split == first._fs).join(F.broadcast(nruns), x.split == nruns._ns)
+    x = (x.join(first, x.split == first._fs).join(nruns, x.split == nruns._ns)
          .drop("_fs", "_ns"))
     nxt = F.col("_end") + 1
     q = (F.when(nxt < F.col("split_n"), nxt)
@@ -85,7 +88,7 @@ def build_detection_examples(pairs: DataFrame, seed: int = K.SEED,
     """Balanced examples per split: positives + J1 negatives, with a seeded
     shuffled ``row_order`` inside each split (G3)."""
     ex = union_examples(positives(pairs), mismatched_negatives(pairs, avoid_equal_text))
-    ex = ex.withColumn("example_id", F.col("src_pair_id") * 2 + F.col("label"))
+    ex = ex.withColumn("example_id", F.concat(F.col("src_pair_id").cast("string"), F.lit("/"), F.col("label").cast("string")))
     return shuffle_order(ex, "example_id", seed, partition_cols=["split"])
 
 

@@ -69,6 +69,37 @@ def ordered_positions(df: DataFrame, order_by: Sequence[Column], bucket_cols: Se
             .drop("_rn", "_off", *renamed))
 
 
+# At most this many buckets, whatever the data; and rows the bounds are picked from.
+BUCKETS = 64
+BOUND_SAMPLE = 64 * BUCKETS
+
+
+def order_bucket(df: DataFrame, order_by: Sequence[str], buckets: int = BUCKETS,
+                 sample: int = BOUND_SAMPLE) -> Column:
+    """A bucket number that follows the ascending order of the columns.
+
+    Bounds are quantiles of the ``sample`` rows with the smallest hash, a bounded
+    number; a row's bucket is how many bounds lie below it. Bounds only place
+    rows: all are numbered, and rows with equal leading columns are split by the
+    following ones. The last column should tell rows apart.
+    """
+    rows = (df.select(*order_by).orderBy(F.xxhash64(*order_by), *order_by).limit(sample)
+            .orderBy(*order_by).collect())
+    picked = sorted({len(rows) * i // buckets for i in range(1, buckets)} if rows else ())
+    own = F.struct(*[F.col(c) for c in order_by])
+    kinds = [df.schema[c].dataType for c in order_by]
+    bounds = [F.struct(*[F.lit(rows[i][c]).cast(k).alias(c) for c, k in zip(order_by, kinds)]) for i in picked]
+    return sum(((b < own).cast("int") for b in bounds), F.lit(0))
+
+
+def sorted_positions(df: DataFrame, order_by: Sequence[str], out: str = "pos", **options) -> DataFrame:
+    """0-based position of each row in the ascending order of columns, over at most
+    ``BUCKETS`` buckets of about the same size. df is read twice: a costly one
+    should be written first."""
+    bucketed = df.withColumn("_ob", order_bucket(df, order_by))
+    return ordered_positions(bucketed, [F.col(c) for c in order_by], ["_ob"], out=out, **options).drop("_ob")
+
+
 # G1 ------------------------------------------------------------------------
 
 def random_key(id_col: str, seed: int = K.SEED) -> Column:
@@ -79,13 +110,14 @@ def random_key(id_col: str, seed: int = K.SEED) -> Column:
 def random_positions(df: DataFrame, id_col: str, seed: int = K.SEED,
                      partition_cols: Sequence[str] = (), out: str = "pos",
                      size_col: str | None = None, bucket_chars: int = 4,
-                     few_groups: bool = True) -> DataFrame:
+                     few_groups: bool = False) -> DataFrame:
     """Seeded random permutation position (0-based) of each row.
 
     Buckets are the first ``bucket_chars`` hex digits of the md5 key, so at
     most 16**bucket_chars buckets per group, each holding a uniform slice of
-    the rows (the key is a hash, so no bucket is hot). With few groups the
-    offset table is bounded and broadcast.
+    the rows (the key is a hash, so no bucket is hot). Spark picks the join with
+    the offset table by its size; ``few_groups`` (a known small number) asks
+    for a broadcast.
     """
     keyed = (df.withColumn("_h", random_key(id_col, seed))
                .withColumn("_b", F.substring("_h", 1, bucket_chars)))

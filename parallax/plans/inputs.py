@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parallax.functions import arrays as V
 from parallax.functions import text as T
 from parallax.operators.curate import pair_turns
 
@@ -28,15 +29,35 @@ def ar_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", T.transliterate_to_arabic("text").alias("text"))
 
 
-# EMB predictions: gold = label, logits = first k dims as DOUBLE, pred = argmax.
+# EMB predictions: gold = label, logits = V7 head over all dimensions, pred = argmax.
+DIMENSIONS = 64
+
+
+def head_weights(classes: int) -> tuple[list[list[float]], list[float]]:
+    """Literal weights and biases of the head, from a rule: small, different per class and dimension."""
+    return ([[((31 * c + 17 * i + 5) % 23 - 11) / 16 for i in range(DIMENSIONS)] for c in range(classes)],
+            [(c % 3 - 1) / 8 for c in range(classes)])
+
+
 def emb_predictions(spark: SparkSession, sf_dir: str, binary: bool = False) -> DataFrame:
     k = 2 if binary else 10
     emb = table(spark, sf_dir, "embeddings")
-    logits = F.transform(F.slice("embedding", 1, k), lambda x: x.cast("double"))
+    logits = V.linear_head(F.transform("embedding", lambda x: x.cast("double")), *head_weights(k))
     gold = (F.col("label") % 2) if binary else F.col("label")
-    out = emb.select("vec_id", gold.cast("int").alias("gold"), logits.alias("logits"))
-    return out.withColumn(
-        "pred", (F.array_position("logits", F.array_max("logits")) - 1).cast("int"))
+    # the one-row explode keeps the head from being evaluated again by each use of the logits
+    out = emb.select("vec_id", gold.cast("int").alias("gold"), F.explode(F.array(logits)).alias("logits"))
+    return out.withColumn("pred", V.argmax("logits"))
+
+
+def emb_both_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both views of each embedding in one row: (gold, logits, pred) of ten classes and of two."""
+    emb = table(spark, sf_dir, "embeddings")
+    h = F.transform("embedding", lambda x: x.cast("double"))
+    out = emb.select("vec_id", F.col("label").cast("int").alias("gold"), (F.col("label") % 2).cast("int").alias("gold_binary"),
+                     F.explode(F.array(F.struct(V.linear_head(h, *head_weights(10)).alias("ten"),
+                                                V.linear_head(h, *head_weights(2)).alias("two")))).alias("z"))
+    return out.select("vec_id", "gold", "gold_binary", F.col("z.ten").alias("logits"), F.col("z.two").alias("logits_binary"),
+                      V.argmax("z.ten").alias("pred"), V.argmax("z.two").alias("pred_binary"))
 
 
 # EMB candidates: one row per (group, candidate) from the embedding vector.

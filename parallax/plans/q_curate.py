@@ -15,7 +15,7 @@ from parallax.plans.q_sample import CURATED, curated_pairs
 from parallax.plans.registry import query
 
 RAW_PAIRS = """raw_pairs AS (
-  SELECT u.conv_id * 1000 + u.turn AS pair_id, u.text AS src, a.text AS tgt
+  SELECT u.conv_id || ':' || u.turn AS pair_id, u.text AS src, a.text AS tgt
   FROM (SELECT * FROM conversations WHERE role = 'user') u
   LEFT JOIN (SELECT * FROM conversations WHERE role = 'assistant') a
     ON a.conv_id = u.conv_id AND a.turn = u.turn + 1)"""
@@ -33,8 +33,8 @@ def f01(spark, sf):
        S.with_(S.AR_DOCS) + f"SELECT doc_id, clean FROM (SELECT doc_id, {S.clean('text')} AS clean "
        "FROM ar_docs) WHERE length(clean) > 0")
 def f02(spark, sf):
-    d = I.ar_documents(spark, sf).select("doc_id", T.clean_text("text").alias("clean"))
-    return C.drop_empty(d, ["clean"])
+    d = C.evaluated_once(I.ar_documents(spark, sf), {"clean": T.clean_text("text")})
+    return C.drop_empty(d, ["clean"]).select("doc_id", "clean")
 
 
 @query("f03_flag_mostly_english",
@@ -44,9 +44,9 @@ def f03(spark, sf):
 
 
 @query("f04_drop_mostly_english",
-       S.with_(CURATED) + "SELECT pair_id FROM curated WHERE NOT mostly_english")
+       S.with_(CURATED) + "SELECT pair_id, src, tgt, mostly_english FROM curated WHERE NOT mostly_english")
 def f04(spark, sf):
-    return C.drop_flagged(curated_pairs(spark, sf)).select("pair_id")
+    return C.drop_flagged(curated_pairs(spark, sf)).select("pair_id", "src", "tgt", "mostly_english")
 
 
 @query("f09_validate_request",

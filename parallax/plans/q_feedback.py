@@ -57,9 +57,12 @@ def f08(spark, sf):
 
 
 @query("st2_feedback_routes_batch",
-       S.with_(REASON_SQL) + "SELECT route, count(*) AS n FROM r GROUP BY route")
+       S.with_(REASON_SQL) + "SELECT event_id, egyptian_arabic, generated_msa, user_label, user_rating, "
+       "corrected_msa, epoch_us(ts) AS ts_us, reason, route FROM r")
 def st2(spark, sf):
-    return FB.route(feedback(spark, sf)).groupBy("route").agg(F.count(F.lit(1)).alias("n"))
+    return FB.route(feedback(spark, sf)).select(
+        "event_id", "egyptian_arabic", "generated_msa", "user_label", "user_rating", "corrected_msa",
+        F.unix_micros("ts").alias("ts_us"), "reason", "route")
 
 
 @query("st3_daily_feedback_batch",
@@ -83,7 +86,7 @@ cand AS (
   SELECT egyptian_arabic, generated_msa, 2, -epoch_us(ts), -event_id, 'confirmed'
   FROM r WHERE reason IS NULL AND user_rating >= 4 AND user_label = 'correct'
   UNION ALL
-  SELECT src, tgt, 3, 0, -pair_id, 'train' FROM splits WHERE split = 'train')
+  SELECT src, tgt, 3, 0, 0, 'train' FROM splits WHERE split = 'train')
 SELECT src, tgt, origin FROM (
   SELECT *, row_number() OVER (PARTITION BY src ORDER BY prio, nts, nid, tgt, origin) AS rn FROM cand)
 WHERE rn = 1""")

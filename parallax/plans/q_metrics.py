@@ -50,13 +50,8 @@ def head_predictions(spark, sf):
        "avg(CAST(b.pred = b.gold AS DOUBLE)) AS accuracy_binary "
        "FROM emb_pred a JOIN emb_bin b ON a.vec_id = b.vec_id")
 def a03(spark, sf):
-    a = I.emb_predictions(spark, sf)
-    b = I.emb_predictions(spark, sf, binary=True).select(
-        "vec_id", F.col("gold").alias("gold_b"), F.col("pred").alias("pred_b"))
-    both = a.join(b, "vec_id")
-    return both.agg(
-            F.avg((F.col("pred") == F.col("gold")).cast("double")).alias("accuracy"),
-            F.avg((F.col("pred_b") == F.col("gold_b")).cast("double")).alias("accuracy_binary"))
+    return M.accuracy(I.emb_both_predictions(spark, sf), {"accuracy": ("gold", "pred"),
+                                                          "accuracy_binary": ("gold_binary", "pred_binary")})
 
 
 @query("a04_confusion_counts",

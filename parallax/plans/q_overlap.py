@@ -13,11 +13,12 @@ from parallax import constants as K
 from parallax.operators import metrics as M
 from parallax.operators import overlap as O
 from parallax.operators.pairing import align
-from parallax.operators.positional import ordered_positions
+from parallax.operators.positional import sorted_positions
 from parallax.functions import text as T
 from parallax.plans import inputs as I
 from parallax.plans import sqlfrag as S
 from parallax.plans.registry import query
+from parallax.sources.io import written
 
 
 def scored_pairs(spark, sf):
@@ -150,19 +151,13 @@ def a10(spark, sf):
 @query("a07_mean_median_chrf",
        S.with_(SENT_SQL) + "SELECT avg(chrf) AS mean, median(chrf) AS median FROM sent")
 def a07(spark, sf):
-    return M.mean_and_median(sentence_scores(spark, sf), "chrf")
+    return M.mean_and_median(written(sentence_scores(spark, sf), "scores"), "chrf")
 
 
 def sorted_by_score(scores, id_col="pair_id", score="chrf"):
-    """Rank rows by (score asc, id asc) with a bucketed global position.
-
-    Buckets are (score rounded down to 2 dp, id range) so a hot score value
-    (say thousands of zeros) still spreads over many tasks.
-    """
-    b = scores.withColumn("_sb", F.floor(F.col(score) * 100)) \
-              .withColumn("_ib", F.floor(F.col(id_col) / 65536))
-    return ordered_positions(b, [F.col(score), F.col(id_col)], ["_sb", "_ib"], out="rank") \
-        .drop("_sb", "_ib")
+    """Rank rows by (score asc, id asc). The scores are written once, as the
+    bucket bounds and the ranks both read them; a hot score is split by id."""
+    return sorted_positions(written(scores.select(id_col, score), "scores"), [score, id_col], "rank")
 
 
 @query("g06_sort_by_chrf",
@@ -188,9 +183,8 @@ def worst_and_best(scores, k: int, id_col: str = "pair_id", score: str = "chrf")
     keeps k rows per task before the (two-key) shuffle."""
     both = scores.select(id_col, score, F.explode(F.array(F.lit("worst"), F.lit("best"))).alias("kind"))
     worst = F.col("kind") == "worst"
-    k1 = F.when(worst, F.col(score)).otherwise(-F.col(score))
-    k2 = F.when(worst, F.col(id_col)).otherwise(-F.col(id_col))
-    w = Window.partitionBy("kind").orderBy(k1, k2)
+    w = Window.partitionBy("kind").orderBy(F.when(worst, F.col(score)).otherwise(-F.col(score)),
+                                           F.when(worst, F.col(id_col)), F.when(~worst, F.col(id_col)).desc())
     return (both.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
             .select("kind", id_col, score))
 

@@ -62,9 +62,9 @@ ex AS (
   SELECT split, pair_id AS src_pair_id, pair_id AS tgt_pair_id, src, tgt, 1 AS label FROM splits
   UNION ALL SELECT * FROM neg),
 examples AS (
-  SELECT *, src_pair_id * 2 + label AS example_id,
+  SELECT *, src_pair_id || '/' || label AS example_id,
          row_number() OVER (PARTITION BY split
-                            ORDER BY {S.rkey('src_pair_id * 2 + label')}, src_pair_id * 2 + label) - 1
+                            ORDER BY {S.rkey("src_pair_id || '/' || label")}, src_pair_id || '/' || label) - 1
            AS row_order
   FROM ex)"""
 
@@ -121,11 +121,11 @@ def g03(spark, sf):
 
 
 @query("g04_union_examples",
-       S.with_(EXAMPLES) + "SELECT split, label, count(*) AS n FROM ex GROUP BY split, label")
+       S.with_(EXAMPLES) + "SELECT split, src_pair_id, tgt_pair_id, src, tgt, CAST(label AS INTEGER) AS label FROM ex")
 def g04(spark, sf):
     pairs = split_pairs(spark, sf)
-    ex = P.union_examples(P.positives(pairs), P.mismatched_negatives(pairs))
-    return ex.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"))
+    return P.union_examples(P.positives(pairs), P.mismatched_negatives(pairs)).select(
+        "split", "src_pair_id", "tgt_pair_id", "src", "tgt", F.col("label").cast("int").alias("label"))
 
 
 @query("g05_detection_examples",

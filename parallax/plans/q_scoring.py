@@ -84,9 +84,12 @@ def v07(spark, sf):
 
 
 @query("v08_softmax",
-       S.with_(S.emb_pred()) + f"SELECT vec_id, {sql_softmax('logits')} AS probs FROM emb_pred")
+       S.with_(S.emb_pred()) + f"""SELECT vec_id, i - 1 AS class_index, probs[i] AS prob
+FROM (SELECT vec_id, probs, unnest(range(1, len(probs) + 1)) AS i
+      FROM (SELECT vec_id, {sql_softmax('logits')} AS probs FROM emb_pred))""")
 def v08(spark, sf):
-    return I.emb_predictions(spark, sf).select("vec_id", V.softmax("logits").alias("probs"))
+    p = I.emb_predictions(spark, sf).select("vec_id", F.posexplode(V.softmax("logits")).alias("class_index", "prob"))
+    return p.withColumn("class_index", F.col("class_index").cast("bigint"))
 
 
 @query("v09_argmax",
@@ -118,10 +121,9 @@ def v11(spark, sf):
        {sql_logsumexp('b.logits')} - b.logits[b.gold + 1] AS ce_binary
        FROM emb_pred a JOIN emb_bin b ON a.vec_id = b.vec_id""")
 def v12(spark, sf):
-    a = I.emb_predictions(spark, sf).select("vec_id", V.cross_entropy("logits", "gold").alias("ce"))
-    b = I.emb_predictions(spark, sf, binary=True).select(
-        "vec_id", V.cross_entropy("logits", "gold").alias("ce_binary"))
-    return a.join(b, "vec_id")
+    return I.emb_both_predictions(spark, sf).select(
+        "vec_id", V.cross_entropy("logits", "gold").alias("ce"),
+        V.cross_entropy("logits_binary", "gold_binary").alias("ce_binary"))
 
 
 @query("f05_misclassified",

@@ -22,14 +22,13 @@ from parallax.sources import io as IO
                    for c in ("src", "tgt")) + " FROM raw_pairs")
 def s01(spark, sf):
     raw = C.pair_turns(I.table(spark, sf, "conversations"), how="left").select(
-        F.col("pair_id").cast("string").alias("pair_id"),
-        F.col("src").alias("egyptian_arabic"), F.col("tgt").alias("formal_arabic"))
+        "pair_id", F.col("src").alias("egyptian_arabic"), F.col("tgt").alias("formal_arabic"))
     path = IO.scratch_path(spark, "raw-csv")
     (raw.write.mode("overwrite").option("header", True).option("escape", '"')
         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
     back = IO.load_raw(spark, path, ("pair_id", "egyptian_arabic", "formal_arabic"),
                        ("pair_id", "src", "tgt"))
-    return back.select(F.col("pair_id").cast("bigint").alias("pair_id"), "src", "tgt")
+    return back.select("pair_id", "src", "tgt")
 
 
 @query("s02_s03_split_roundtrip",

@@ -85,7 +85,7 @@ def rkey(id_expr: str, seed: int = K.SEED) -> str:
 # Views over the driver tables, mirroring parallax.plans.inputs -------------
 
 CONV_PAIRS = """conv_pairs AS (
-  SELECT u.conv_id * 1000 + u.turn AS pair_id, u.conv_id, u.turn, u.text AS src, a.text AS tgt
+  SELECT u.conv_id || ':' || u.turn AS pair_id, u.conv_id, u.turn, u.text AS src, a.text AS tgt
   FROM conversations u JOIN conversations a
     ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
   WHERE u.role = 'user' AND a.role = 'assistant')"""
@@ -94,13 +94,16 @@ AR_DOCS = f"""ar_docs AS (SELECT doc_id, {translit('text')} AS text FROM documen
 
 
 def emb_pred(binary: bool = False, name: str = "emb_pred") -> str:
-    k = 2 if binary else 10
+    from parallax.plans.inputs import head_weights
+    weights, bias = head_weights(2 if binary else 10)
+    logits = ", ".join(" + ".join(f"{w!r}::DOUBLE * e[{i + 1}]" for i, w in enumerate(row)) + f" + {b!r}::DOUBLE"
+                       for row, b in zip(weights, bias))
     gold = "label % 2" if binary else "label"
     return f"""{name} AS (
   SELECT vec_id, gold, logits, CAST(list_position(logits, list_max(logits)) - 1 AS INTEGER) AS pred
-  FROM (SELECT vec_id, CAST({gold} AS INTEGER) AS gold,
-               list_transform(embedding[1:{k}], lambda x: CAST(x AS DOUBLE)) AS logits
-        FROM embeddings))"""
+  FROM (SELECT vec_id, gold, [{logits}] AS logits
+        FROM (SELECT vec_id, CAST({gold} AS INTEGER) AS gold,
+                     list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)))"""
 
 
 EMB_CAND = """emb_cand AS (

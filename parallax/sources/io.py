@@ -27,6 +27,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/scratch/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder, reread: evaluated once, and kept
+    when executors are lost."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 # S1
 def load_raw(spark: SparkSession, path: str, columns: Sequence[str] = ("egyptian_arabic", "formal_arabic"),
              rename: Sequence[str] = ("src", "tgt"), na_values: Sequence[str] = NA_VALUES) -> DataFrame:

@@ -6,8 +6,8 @@
   ceil(i * m / n) (diagonal alignment, linear in sentence length - no
   all-pairs expansion); the lexicon keeps the most frequent target per
   source word; translation maps each token and keeps the order.
-* M3 pair classifier: ``pyspark.ml`` hashing features of both sides and of
-  their shared tokens, logistic regression picked by dev accuracy.
+* M3 pair classifier: naive Bayes over the tokens of both sides and their shared
+  tokens, from grouped counts; ``pyspark.ml`` logistic regression is an option.
 * M1/M2: batch scoring harnesses; M6: untrained baselines on the same inputs.
 """
 
@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parallax.functions import text as T
+from parallax.operators.curate import evaluated_once
 
 ADD_K = 0.1
 OVERLAP_THRESHOLD = 0.5
@@ -49,24 +50,26 @@ class BigramLM:
         pair_counts = bg.groupBy("v", "w").agg(F.count(F.lit(1)).alias("c_vw"))
         context_counts = bg.groupBy("v").agg(F.count(F.lit(1)).alias("c_v"))
         # Distinct training tokens + 1 for unseen words, as a scalar subquery.
-        vsize = train.select(F.explode(tokens).alias("t")).agg(
-            (F.count_distinct("t") + 1).alias("n")).scalar()
+        vsize = train.select(F.explode(tokens).alias("t")).groupBy("t").count().agg(
+            (F.count(F.lit(1)) + 1).alias("n")).scalar()
         return cls(pair_counts, context_counts, vsize, k)
 
-    def row_loss(self, df: DataFrame, key: str, tokens: str, from_index: Column | None = None) -> DataFrame:
-        """(key, row_loss, n_scored): mean -log p over the row's bigrams; with
+    def row_loss(self, df: DataFrame, keys: str | Sequence[str], tokens: str,
+                 from_index: Column | None = None) -> DataFrame:
+        """(keys, row_loss, n_scored): mean -log p over the row's bigrams; with
         ``from_index`` only bigrams whose right token index (1-based) is
         greater than it are scored (target-only loss)."""
-        ex = df.select(key, *([from_index.alias("_from")] if from_index is not None else []),
+        keys = [keys] if isinstance(keys, str) else list(keys)
+        ex = df.select(*keys, *([from_index.alias("_from")] if from_index is not None else []),
                        F.explode(_bigrams(F.col(tokens))).alias("b"))
         if from_index is not None:
             ex = ex.filter(F.col("b.i") >= F.col("_from"))
-        ex = ex.select(key, F.col("b.v").alias("v"), F.col("b.w").alias("w"))
+        ex = ex.select(*keys, F.col("b.v").alias("v"), F.col("b.w").alias("w"))
         j = (ex.join(self.pair_counts, ["v", "w"], "left")
                .join(self.context_counts, ["v"], "left"))
         p = ((F.coalesce("c_vw", F.lit(0)) + self.k)
              / (F.coalesce("c_v", F.lit(0)) + self.k * self.vocab_size))
-        return j.groupBy(key).agg(F.avg(-F.log(p)).alias("row_loss"),
+        return j.groupBy(*keys).agg(F.avg(-F.log(p)).alias("row_loss"),
                                   F.count(F.lit(1)).alias("n_scored"))
 
 
@@ -89,14 +92,24 @@ def train_lexicon(train: DataFrame, src_tokens: str, tgt_tokens: str) -> DataFra
     return best.select("s", F.col("m.t").alias("t"), (-F.col("m.nc")).alias("count"))
 
 
-def translate(df: DataFrame, key: str, tokens: str, lexicon: DataFrame, out: str = "translation") -> DataFrame:
-    """Token-by-token lexicon translation (unknown words copied), order kept."""
-    ex = df.select(key, F.posexplode_outer(tokens).alias("pos", "tok"))
+def translate(df: DataFrame, key: str, tokens: str, lexicon: DataFrame, out: str = "translation",
+              keep: Sequence[str] = ()) -> DataFrame:
+    """Token-by-token lexicon translation (unknown words copied), order kept.
+
+    ``keep`` names columns that come back beside the key. They ride on the row's
+    first token only, so nothing is joined back to the input.
+    """
+    ex = df.select(key, F.struct(*keep).alias("_keep") if keep else F.lit(None).alias("_keep"),
+                   F.posexplode_outer(tokens).alias("pos", "tok"))
+    first = F.coalesce(F.col("pos"), F.lit(0)) == 0
+    ex = ex.withColumn("_keep", F.when(first, F.col("_keep"))) if keep else ex.drop("_keep")
     lx = lexicon.select(F.col("s").alias("_s"), F.col("t").alias("_t"))
     j = ex.join(lx, ex.tok == lx._s, "left")
     item = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("_t", "tok").alias("w")))
-    g = j.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("_a"))
-    return g.select(key, F.array_join(F.col("_a")["w"], " ").alias(out))
+    kept = [F.first("_keep", ignorenulls=True).alias("_keep")] if keep else []
+    g = j.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("_a"), *kept)
+    return g.select(key, *[F.col("_keep")[c].alias(c) for c in keep],
+                    F.array_join(F.col("_a")["w"], " ").alias(out))
 
 
 # M6 --------------------------------------------------------------------------
@@ -122,19 +135,56 @@ def echo_generator(df: DataFrame, src: str = "src", out: str = "generated") -> D
 # M3 --------------------------------------------------------------------------
 
 def pair_features(df: DataFrame, src: str = "src", tgt: str = "tgt") -> DataFrame:
-    """Prefixed token bags: source words, target words, and shared words."""
+    """Prefixed token bags: source words, target words, shared words, and how many are shared."""
     s, t = T.whitespace_tokens(src), T.whitespace_tokens(tgt)
     shared = F.array_intersect(s, t)
     feats = F.concat(F.transform(s, lambda x: F.concat(F.lit("s:"), x)),
                      F.transform(t, lambda x: F.concat(F.lit("t:"), x)),
                      F.transform(shared, lambda x: F.concat(F.lit("x:"), x)),
-                     F.array(F.concat(F.lit("n:"), F.least(F.size(shared), F.lit(10)).cast("string"))))
+                     F.array(F.concat(F.lit("n:"), F.size(shared).cast("string"))))
     return df.withColumn("features_raw", feats)
 
 
+SMOOTHING = 1.0
+
+
+class TokenLogOdds:
+    """Pair classifier from grouped counts (naive Bayes over ``pair_features``): the
+    log odds of label 1 are the sum of its features' log odds."""
+
+    def __init__(self, counts: DataFrame, totals: DataFrame, smoothing: float = SMOOTHING):
+        self.counts, self.totals, self.smoothing = counts, totals, smoothing
+
+    @classmethod
+    def fit(cls, examples: DataFrame, smoothing: float = SMOOTHING) -> "TokenLogOdds":
+        feats = pair_features(examples).select("label", F.explode("features_raw").alias("feature"))
+        counts = feats.groupBy("feature").agg(F.count_if(F.col("label") == 1).alias("c1"),
+                                              F.count_if(F.col("label") == 0).alias("c0"))
+        totals = counts.agg(F.sum("c1").alias("n1"), F.sum("c0").alias("n0"), F.count(F.lit(1)).alias("v"))
+        return cls(counts, totals, smoothing)
+
+    def score(self, df: DataFrame, key: str, keep: Sequence[str] = ()) -> DataFrame:
+        """(key, keep, log_odds); features never seen in training are even."""
+        a = self.smoothing
+        n1, n0, v = (self.totals.select(c).scalar() for c in ("n1", "n0", "v"))
+        odds = self.counts.select(F.col("feature").alias("_f"), (
+            F.log((F.col("c1") + a) / (n1 + a * v)) - F.log((F.col("c0") + a) / (n0 + a * v))).alias("_odds"))
+        ex = pair_features(df).select(key, *keep, F.explode("features_raw").alias("_x"))
+        even = F.log(F.lit(a) / (n1 + a * v)) - F.log(F.lit(a) / (n0 + a * v))
+        return (ex.join(odds, F.col("_x") == F.col("_f"), "left")
+                .groupBy(key, *keep).agg(F.sum(F.coalesce("_odds", even)).alias("log_odds")))
+
+
+def judged(scored: DataFrame) -> DataFrame:
+    """log_odds > pred, label_pred and the confidence of the prediction (4 decimals)."""
+    pred = (F.col("log_odds") > 0).cast("int")
+    return (scored.withColumn("pred", pred).withColumn("label_pred", T.label_name(F.col("pred")))
+            .withColumn("confidence", F.round(1 / (1 + F.exp(-F.abs("log_odds"))), 4)))
+
+
 def train_pair_classifier(examples: DataFrame, reg_params: Sequence[float] = (0.0, 0.01, 0.1),
                           num_features: int = 1 << 18, max_iter: int = 50):
-    """Fit one model per regularisation value on the train split, keep the
+    """The option to ``TokenLogOdds``: fit one logistic regression per regularisation value on the train split, keep the
     one with the best dev accuracy (first wins ties). Returns (model, dev_acc)."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
@@ -146,8 +196,7 @@ def train_pair_classifier(examples: DataFrame, reg_params: Sequence[float] = (0.
     best, best_acc = None, -1.0
     for reg in reg_params:
         pipe = Pipeline(stages=[
-            HashingTF(inputCol="features_raw", outputCol="features", numFeatures=num_features,
-                      binary=True),
+            HashingTF(inputCol="features_raw", outputCol="features", numFeatures=num_features),
             LogisticRegression(featuresCol="features", labelCol="label_d", regParam=reg,
                                maxIter=max_iter)])
         model = pipe.fit(train)
@@ -160,32 +209,38 @@ def train_pair_classifier(examples: DataFrame, reg_params: Sequence[float] = (0.
 
 # M1 / M2 ---------------------------------------------------------------------
 
-def overlap_logits_loader():
-    """A model loader for ``predict_batch_udf``: called once per executor
-    Python process, returns a function from numpy batches of (src, tgt) to
-    class logits [incorrect, correct] (the token-overlap baseline)."""
+def overlap_logits(src: str = "src", tgt: str = "tgt") -> Column:
+    """Class logits [incorrect, correct] of the token-overlap baseline."""
+    score = token_overlap(T.whitespace_tokens(src), T.whitespace_tokens(tgt))
+    return F.array(1 - score, score)
+
+
+def length_logits_loader():
+    """An example of a model loader for ``predict_batch_udf``: called once per executor
+    Python process, it returns a function from numpy batches of (src, tgt) to class logits
+    [incorrect, correct]; this one compares the lengths of both texts, array by array."""
     import numpy as np
 
     def predict(src, tgt):
-        out = np.empty((len(src), 2), dtype=np.float64)
-        for i, (s, t) in enumerate(zip(src, tgt)):
-            a, b = set(str(s).split()), set(str(t).split())
-            score = len(a & b) / len(a) if a else 0.0
-            out[i] = (1.0 - score, score)
-        return out
+        a, b = (np.char.str_len(np.where(x == None, "", x).astype(str)) for x in (src, tgt))  # noqa: E711
+        score = np.minimum(a, b) / np.maximum(np.maximum(a, b), 1)
+        return np.stack((1.0 - score, score), axis=1)
     return predict
 
 
 def score_detection(df: DataFrame, model=None, loader: Callable | None = None) -> DataFrame:
-    """Batch detection over a table: a fitted pipeline's ``transform`` by
-    default, or a vectorised model from ``loader`` (called once per executor
-    process through ``predict_batch_udf``) returning class-1 logits."""
-    if loader is not None:
-        from pyspark.ml.functions import predict_batch_udf
-        from pyspark.sql.types import ArrayType, DoubleType
-        predict = predict_batch_udf(loader, return_type=ArrayType(DoubleType()), batch_size=256)
-        out = df.withColumn("logits", predict(F.col("src"), F.col("tgt")))
+    """Batch detection over a table: the native overlap scorer by default, a fitted
+    pipeline's ``transform``, or a vectorised model from ``loader`` (called once per
+    executor process through ``predict_batch_udf``) returning class logits."""
+    if model is None:
         from parallax.functions.arrays import detection_result
+        logits = overlap_logits()
+        if loader is not None:
+            from pyspark.ml.functions import predict_batch_udf
+            from pyspark.sql.types import ArrayType, DoubleType
+            predict = predict_batch_udf(loader, return_type=ArrayType(DoubleType()), batch_size=256)
+            logits = predict(F.col("src"), F.col("tgt"))
+        out = evaluated_once(df, {"logits": logits})
         r = out.withColumn("_r", detection_result("logits"))
         return r.withColumn("label_pred", F.col("_r.label")).withColumn(
             "confidence", F.col("_r.confidence")).drop("_r")
@@ -199,11 +254,12 @@ def score_detection(df: DataFrame, model=None, loader: Callable | None = None) -
 
 
 def generate(df: DataFrame, key: str, lexicon: DataFrame, src: str = "src",
-             out: str = "generated") -> DataFrame:
-    """Batch generation: prompt > lexicon translation > completion post-process."""
-    toks = df.select(key, T.whitespace_tokens(src).alias("_toks"))
-    tr = translate(toks, key, "_toks", lexicon, "_tr")
-    with_prompt = df.join(tr, key).withColumn("_prompt", T.generation_prompt(src, quoted=True))
-    return (with_prompt.withColumn(out, T.postprocess_completion(
-        F.concat("_prompt", "_tr"), F.col("_prompt"))).drop("_prompt", "_tr"))
-
+             out: str = "generated", keep: Sequence[str] = ()) -> DataFrame:
+    """Batch generation: prompt > lexicon translation > completion post-process.
+    Returns the key, the source, ``keep`` and ``out``; one regroup by key, no join back."""
+    kept = [src, *[c for c in keep if c != src]]
+    toks = df.select(key, *kept, T.whitespace_tokens(src).alias("_toks"))
+    tr = translate(toks, key, "_toks", lexicon, "_tr", kept)
+    prompt = tr.withColumn("_prompt", T.generation_prompt(src, quoted=True))
+    return prompt.withColumn(out, T.postprocess_completion(
+        F.concat("_prompt", "_tr"), F.col("_prompt"))).drop("_prompt", "_tr")

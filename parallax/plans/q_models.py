@@ -11,28 +11,29 @@ from parallax.operators import models as MD
 from parallax.operators import overlap as O
 from parallax.operators.pairing import build_detection_examples
 from parallax.plans import sqlfrag as S
-from parallax.plans.q_overlap import bleu_ctes, chrf_ctes
+from parallax.plans.q_metrics import report_sql
+from parallax.plans.q_overlap import _fbeta_sql, bleu_ctes, chrf_ctes
 from parallax.plans.q_sample import EXAMPLES, SPLIT, split_pairs
 from parallax.plans.registry import query
-from parallax.session import cut_lineage
+from parallax.sources.io import written
 
 
-def sequences(spark, sf):
+def _sequences(pairs):
     """Split pairs with full-sequence tokens (quoted prompt + target) and the prompt length."""
-    p = split_pairs(spark, sf)
     prompt = T.generation_prompt("src", quoted=True)
-    return p.select("pair_id", "split", "split_pos",
-                    T.whitespace_tokens(F.concat(prompt, F.col("tgt"))).alias("tokens"),
-                    F.size(T.whitespace_tokens(prompt)).alias("n_prompt"))
+    return pairs.select("pair_id", "split", "split_pos",
+                        T.whitespace_tokens(F.concat(prompt, F.col("tgt"))).alias("tokens"),
+                        F.size(T.whitespace_tokens(prompt)).alias("n_prompt"))
 
 
-def row_losses(spark, sf, target_only: bool = False):
-    seqs = sequences(spark, sf)
+def _row_losses(seqs, target_only: bool = False):
     lm = MD.BigramLM.fit(seqs.filter(F.col("split") == "train"), "tokens")
-    test = seqs.filter(F.col("split") == "test")
-    loss = lm.row_loss(test, "pair_id", "tokens",
+    return lm.row_loss(seqs.filter(F.col("split") == "test"), ["pair_id", "split_pos"], "tokens",
                        F.col("n_prompt") if target_only else None)
-    return loss.join(test.select("pair_id", "split_pos"), "pair_id")
+
+
+def row_losses(spark, sf, target_only: bool = False):
+    return _row_losses(_sequences(_split_stage(spark, sf)), target_only)
 
 
 # -- oracle views -----------------------------------------------------------
@@ -89,72 +90,118 @@ def _overlap_sql(a: str, b: str) -> str:
             "ELSE 0.0 END)")
 
 
-METRICS_SQL = EXAMPLES.replace("WITH ", "") + ",\n" + LEXICON_SQL.split(SPLIT + ",\n", 1)[1] + ",\n" + \
-    _translate_sql("(SELECT * FROM examples WHERE split = 'test')", "example_id", "src", "dex") + ",\n" + \
-    _translate_sql("(SELECT * FROM splits WHERE split = 'test')", "pair_id", "src", "gen") + f""",
-det AS (SELECT label,
-               CAST({_overlap_sql('src', 'tgt')} >= {MD.OVERLAP_THRESHOLD!r} AS INTEGER) AS zs,
-               CAST({_overlap_sql('tr', 'tgt')} >= {MD.OVERLAP_THRESHOLD!r} AS INTEGER) AS ft FROM dex),
-zs_p AS (SELECT pair_id, src AS hyp, tgt AS ref FROM gen),
-ft_p AS (SELECT pair_id, tr AS hyp, tgt AS ref FROM gen),
+FEATURES_SQL = f"""
+feats AS (
+  SELECT split, example_id, src, tgt, label, unnest(list_concat(list_concat(
+           list_transform(s, lambda x: 's:' || x), list_transform(t, lambda x: 't:' || x)), list_concat(
+           list_transform(list_distinct(list_intersect(s, t)), lambda x: 'x:' || x),
+           ['n:' || len(list_distinct(list_intersect(s, t)))]))) AS feature
+  FROM (SELECT *, {S.tokens('src')} AS s, {S.tokens('tgt')} AS t FROM examples)),
+fc AS (SELECT feature, count(*) FILTER (WHERE label = 1) AS c1, count(*) FILTER (WHERE label = 0) AS c0
+       FROM feats WHERE split = 'train' GROUP BY feature),
+ft AS (SELECT sum(c1)::DOUBLE + {MD.SMOOTHING!r} * count(*) AS m1, sum(c0)::DOUBLE + {MD.SMOOTHING!r} * count(*) AS m0 FROM fc),
+nb AS (
+  SELECT example_id, src, tgt, label, sum(ln((coalesce(c1, 0) + {MD.SMOOTHING!r}) / m1)
+                              - ln((coalesce(c0, 0) + {MD.SMOOTHING!r}) / m0)) AS log_odds
+  FROM feats LEFT JOIN fc USING (feature) CROSS JOIN ft WHERE split = 'test' GROUP BY ALL),
+nbj AS (
+  SELECT *, CAST(log_odds > 0 AS INTEGER) AS pred,
+         CASE WHEN log_odds > 0 THEN 'correct' ELSE 'incorrect' END AS label_pred,
+         round(1 / (1 + exp(-abs(log_odds))), 4) AS confidence FROM nb)"""
+
+ZERO_SQL = f"""
+zd AS (SELECT label, CAST({_overlap_sql('src', 'tgt')} >= {MD.OVERLAP_THRESHOLD!r} AS INTEGER) AS zs
+       FROM examples WHERE split = 'test'),
+zs_p AS (SELECT pair_id, src AS hyp, tgt AS ref FROM splits WHERE split = 'test'),
 {chrf_ctes('zs_p', 'zc_')},
 {bleu_ctes('zs_p', 'zb_')},
-{chrf_ctes('ft_p', 'fc_')},
-{bleu_ctes('ft_p', 'fb_')},
-metrics AS (
+zero AS (
   SELECT 'detection' AS task, 'zero_shot' AS model, 'accuracy' AS metric,
-         avg(CAST(zs = label AS DOUBLE)) AS value FROM det
-  UNION ALL SELECT 'detection', 'fine_tuned', 'accuracy', avg(CAST(ft = label AS DOUBLE)) FROM det
+         avg(CAST(zs = label AS DOUBLE)) AS value FROM zd
   UNION ALL SELECT 'generation', 'zero_shot', 'chrf', chrf FROM zc_chrf
   UNION ALL SELECT 'generation', 'zero_shot', 'bleu', bleu FROM zb_bleu
+  UNION ALL SELECT 'generation', 'zero_shot', 'perplexity', n::DOUBLE FROM vs)"""
+
+LM_PARTS = _lm_sql(False).split(SPLIT + ",\n", 1)[1]
+M6_SQL = EXAMPLES + ",\n" + LM_PARTS + "," + ZERO_SQL
+
+METRICS_SQL = M6_SQL + ",\n" + LEXICON_SQL.split(SPLIT + ",\n", 1)[1] + "," + FEATURES_SQL + ",\n" + \
+    _translate_sql("(SELECT * FROM splits WHERE split = 'test')", "pair_id", "src", "gen") + f""",
+ft_p AS (SELECT pair_id, tr AS hyp, tgt AS ref FROM gen),
+{chrf_ctes('ft_p', 'fc_')},
+{bleu_ctes('ft_p', 'fb_')},
+metrics AS (
+  SELECT * FROM zero
+  UNION ALL SELECT 'detection', 'fine_tuned', 'accuracy', avg(CAST(pred = label AS DOUBLE)) FROM nbj
   UNION ALL SELECT 'generation', 'fine_tuned', 'chrf', chrf FROM fc_chrf
-  UNION ALL SELECT 'generation', 'fine_tuned', 'bleu', bleu FROM fb_bleu)"""
+  UNION ALL SELECT 'generation', 'fine_tuned', 'bleu', bleu FROM fb_bleu
+  UNION ALL SELECT 'generation', 'fine_tuned', 'perplexity', exp(avg(row_loss)) FROM losses)"""
 
 
 # -- Spark side of the comparison ---------------------------------------------
 
 def lexicon(spark, sf):
-    p = split_pairs(spark, sf).filter(F.col("split") == "train")
+    return _lexicon(split_pairs(spark, sf))
+
+
+def _lexicon(pairs):
+    p = pairs.filter(F.col("split") == "train")
     toks = p.select(T.whitespace_tokens("src").alias("s"), T.whitespace_tokens("tgt").alias("t"))
     return MD.train_lexicon(toks, "s", "t")
 
 
-def metrics_table(spark, sf):
-    """Tidy (task, model, metric, value): zero-shot baselines (M6) against
-    the trained lexicon (M4) on the test split."""
-    pairs = split_pairs(spark, sf)
-    lex = lexicon(spark, sf)
-    # Examples are built split by split, so building them from the test split
-    # alone gives exactly the test examples.
-    ex = build_detection_examples(pairs.filter(F.col("split") == "test"))
-    ex_tr = MD.translate(ex.select("example_id", T.whitespace_tokens("src").alias("_t")),
-                         "example_id", "_t", lex, "tr")
-    det = ex.join(ex_tr, "example_id")
-    det = det.select("label",
-                     (MD.token_overlap(T.whitespace_tokens("src"), T.whitespace_tokens("tgt"))
-                      >= MD.OVERLAP_THRESHOLD).cast("int").alias("zs"),
-                     (MD.token_overlap(T.whitespace_tokens("tr"), T.whitespace_tokens("tgt"))
-                      >= MD.OVERLAP_THRESHOLD).cast("int").alias("ft"))
-    acc = det.agg(F.avg((F.col("zs") == F.col("label")).cast("double")).alias("zero_shot"),
-                  F.avg((F.col("ft") == F.col("label")).cast("double")).alias("fine_tuned"))
-    acc = acc.select(F.lit("detection").alias("task"), F.lit("accuracy").alias("metric"),
-                     F.stack(F.lit(2), F.lit("zero_shot"), "zero_shot", F.lit("fine_tuned"), "fine_tuned")
-                     .alias("model", "value"))
+def _tidy(df, task: str, metric: str, value: str, model: str):
+    return df.select(F.lit(task).alias("task"), F.lit(model).alias("model"), F.lit(metric).alias("metric"),
+                     F.col(value).cast("double").alias("value"))
+
+
+def _generation_metrics(scored, model: str):
+    """chrF and BLEU rows of (pair_id, hyp, ref)."""
+    return _tidy(O.corpus_chrf(scored), "generation", "chrf", "chrf", model).unionByName(
+        _tidy(O.corpus_bleu(scored), "generation", "bleu", "bleu", model))
+
+
+def _split_stage(spark, sf):
+    """The split pairs, written once: every part of the comparison reads them."""
+    return written(split_pairs(spark, sf), "splits")
+
+
+def zero_shot_metrics(pairs):
+    """M6: token overlap for detection, the echoed source for generation, and the perplexity
+    of an untrained (uniform) language model over the training vocabulary."""
+    test = pairs.filter(F.col("split") == "test")
+    det = MD.overlap_detector(build_detection_examples(test)).select("pred", F.col("label").alias("gold"))
+    echo = MD.echo_generator(test).select("pair_id", F.col("generated").alias("hyp"), F.col("tgt").alias("ref"))
+    seqs = _sequences(pairs)
+    vocab = seqs.filter(F.col("split") == "train").select(F.explode("tokens").alias("t")).groupBy("t").count().agg(
+        (F.count(F.lit(1)) + 1).alias("perplexity"))
+    return (_tidy(M.accuracy(det), "detection", "accuracy", "accuracy", "zero_shot")
+            .unionByName(_generation_metrics(echo, "zero_shot"))
+            .unionByName(_tidy(vocab, "generation", "perplexity", "perplexity", "zero_shot")))
+
+
+def trained_metrics(pairs):
+    """The trained pair classifier (M3), lexicon (M4) and language model (M5) on the test split."""
     test = pairs.filter(F.col("split") == "test")
-    tr = MD.translate(test.select("pair_id", T.whitespace_tokens("src").alias("_t")), "pair_id", "_t",
-                      lex, "tr")
-    gen = test.join(tr, "pair_id")
-    # Both systems in one n-gram pass per metric: id = pair_id * 2 + system.
-    both = (gen.select((F.col("pair_id") * 2).alias("uid"), F.lit("zero_shot").alias("model"),
-                       F.col("src").alias("hyp"), F.col("tgt").alias("ref"))
-            .unionByName(gen.select((F.col("pair_id") * 2 + 1).alias("uid"), F.lit("fine_tuned").alias("model"),
-                                    F.col("tr").alias("hyp"), F.col("tgt").alias("ref"))))
-    chrf = O.corpus_chrf(both, "uid", group_cols=["model"]).select(
-        F.lit("generation").alias("task"), F.lit("chrf").alias("metric"), "model", F.col("chrf").alias("value"))
-    bleu = O.corpus_bleu(both, "uid", group_cols=["model"]).select(
-        F.lit("generation").alias("task"), F.lit("bleu").alias("metric"), "model", F.col("bleu").alias("value"))
-    out = acc.unionByName(chrf).unionByName(bleu)
-    return out.select("task", "model", "metric", "value")
+    ex = build_detection_examples(pairs)
+    scored = MD.judged(detector(ex).score(ex.filter(F.col("split") == "test"), "example_id", ["label"]))
+    tr = MD.translate(test.select("pair_id", "tgt", T.whitespace_tokens("src").alias("_t")), "pair_id", "_t",
+                      _lexicon(pairs), "hyp", ["tgt"]).withColumnRenamed("tgt", "ref")
+    return (_tidy(M.accuracy(scored.select("pred", F.col("label").alias("gold"))),
+                  "detection", "accuracy", "accuracy", "fine_tuned")
+            .unionByName(_generation_metrics(tr, "fine_tuned"))
+            .unionByName(_tidy(M.perplexity(_row_losses(_sequences(pairs))), "generation", "perplexity",
+                               "perplexity", "fine_tuned")))
+
+
+def detector(examples):
+    return MD.TokenLogOdds.fit(examples.filter(F.col("split") == "train"))
+
+
+def metrics_table(spark, sf):
+    """Tidy (task, model, metric, value) of both systems on the test split."""
+    pairs = _split_stage(spark, sf)
+    return zero_shot_metrics(pairs).unionByName(trained_metrics(pairs))
 
 
 # -- queries ----------------------------------------------------------------
@@ -190,14 +237,15 @@ def m04(spark, sf):
 
 @query("m02_generate", S.with_(_generated_sql()) + "SELECT pair_id, generated FROM generated")
 def m02(spark, sf):
-    test = split_pairs(spark, sf).filter(F.col("split") == "test").select("pair_id", "src", "tgt")
-    return MD.generate(test, "pair_id", lexicon(spark, sf)).select("pair_id", "generated")
+    pairs = _split_stage(spark, sf)
+    test = pairs.filter(F.col("split") == "test").select("pair_id", "src", "tgt")
+    return MD.generate(test, "pair_id", _lexicon(pairs)).select("pair_id", "generated")
 
 
 @query("m06_zero_shot_baseline",
-       "WITH " + METRICS_SQL + "\nSELECT task, model, metric, value FROM metrics WHERE model = 'zero_shot'")
+       "WITH " + M6_SQL + "\nSELECT task, model, metric, value FROM zero")
 def m06(spark, sf):
-    return metrics_table(spark, sf).filter(F.col("model") == "zero_shot")
+    return zero_shot_metrics(_split_stage(spark, sf))
 
 
 @query("j03_compare_models",
@@ -219,35 +267,107 @@ def a13(spark, sf):
     return M.comparison_table(metrics_table(spark, sf))
 
 
-# M3 / M1: trained pyspark.ml classifier (no SQL oracle; rows-only check).
+# M3 / M1
+
+def detection_examples(spark, sf):
+    return written(build_detection_examples(_split_stage(spark, sf)).select(
+        "split", "example_id", "src", "tgt", "label"), "examples")
+
 
-def trained_detector(spark, sf):
-    ex = cut_lineage(build_detection_examples(split_pairs(spark, sf)).select(
-        "split", "example_id", "src", "tgt", "label"))
-    model, dev_acc = MD.train_pair_classifier(ex)
-    return ex, model, dev_acc
+def judged_test_examples(spark, sf, keep=("label",)):
+    """The trained classifier's verdicts on the test examples."""
+    ex = detection_examples(spark, sf)
+    return MD.judged(detector(ex).score(ex.filter(F.col("split") == "test"), "example_id", list(keep)))
 
 
-@query("m03_pair_classifier_report")
+@query("m03_pair_classifier_report",
+       "WITH " + EXAMPLES + "," + FEATURES_SQL + ",\nnbp AS (SELECT label AS gold, pred FROM nbj),\n"
+       + report_sql("nbp", {0: "incorrect", 1: "correct"}))
 def m03(spark, sf):
-    ex, model, _ = trained_detector(spark, sf)
-    scored = MD.score_detection(ex.filter(F.col("split") == "test"), model)
+    scored = judged_test_examples(spark, sf)
     return M.classification_report(scored.select(F.col("label").alias("gold"), "pred"),
                                    class_names={0: "incorrect", 1: "correct"})
 
 
-@query("m01_score_detection")
-def m01(spark, sf):
-    ex, model, _ = trained_detector(spark, sf)
-    return MD.score_detection(ex.filter(F.col("split") == "test"), model).select(
+@query("m03_pair_classifier_scores",
+       "WITH " + EXAMPLES + "," + FEATURES_SQL + "\nSELECT example_id, CAST(label AS INTEGER) AS label, pred, label_pred, confidence FROM nbj")
+def m03_scores(spark, sf):
+    return judged_test_examples(spark, sf).select(
         "example_id", "label", "pred", "label_pred", "confidence")
 
 
-@query("m01_score_detection_batch_udf")
+_OVERLAP = _overlap_sql("src", "tgt")
+
+
+@query("m01_score_detection",
+       S.with_(EXAMPLES) + f"""SELECT example_id, CAST(label AS INTEGER) AS label,
+       CASE WHEN o > 1 - o THEN 'correct' ELSE 'incorrect' END AS label_pred,
+       round(1 / (exp(least(o, 1 - o) - greatest(o, 1 - o)) + 1), 4) AS confidence
+FROM (SELECT *, {_OVERLAP} AS o FROM examples WHERE split = 'test')""")
+def m01(spark, sf):
+    """M1 by the native overlap scorer, over the test examples."""
+    ex = build_detection_examples(split_pairs(spark, sf).filter(F.col("split") == "test"))
+    return MD.score_detection(ex.select("example_id", "src", "tgt", "label")).select(
+        "example_id", "label", "label_pred", "confidence")
+
+
+@query("m01_score_detection_batch_udf",
+       S.with_(EXAMPLES) + """SELECT example_id, CAST(label AS INTEGER) AS label,
+       CASE WHEN o > 1 - o THEN 'correct' ELSE 'incorrect' END AS label_pred,
+       round(1 / (exp(least(o, 1 - o) - greatest(o, 1 - o)) + 1), 4) AS confidence
+FROM (SELECT *, least(length(src), length(tgt)) / greatest(length(src), length(tgt), 1) AS o
+      FROM examples WHERE split = 'test')""")
 def m01_udf(spark, sf):
     """M1 through the pluggable vectorised harness (predict_batch_udf, Arrow
-    batches) with the built-in overlap loader, over the test examples."""
+    batches) with the length loader, over the test examples."""
     ex = build_detection_examples(split_pairs(spark, sf).filter(F.col("split") == "test"))
     return MD.score_detection(ex.select("example_id", "src", "tgt", "label"),
-                              loader=MD.overlap_logits_loader).select(
+                              loader=MD.length_logits_loader).select(
         "example_id", "label", "label_pred", "confidence")
+
+
+# F5 / G7 over texts: what the trained classifier gets wrong, and the score table of generation.
+
+_ERRORS = "WITH " + EXAMPLES + "," + FEATURES_SQL + """,
+errors AS (
+  SELECT example_id, src, tgt, CASE WHEN label = 1 THEN 'correct' ELSE 'incorrect' END AS gold,
+         label_pred AS predicted, confidence FROM nbj WHERE pred <> label)
+"""
+
+
+def detection_errors(spark, sf):
+    judged = judged_test_examples(spark, sf, ("label", "src", "tgt"))
+    return judged.filter(F.col("pred") != F.col("label")).select(
+        "example_id", "src", "tgt", T.label_name(F.col("label")).alias("gold"),
+        F.col("label_pred").alias("predicted"), "confidence")
+
+
+@query("f05_detection_errors", _ERRORS + "SELECT * FROM errors")
+def f05_errors(spark, sf):
+    return detection_errors(spark, sf)
+
+
+@query("g07_first_errors", _ERRORS + "SELECT * FROM errors ORDER BY example_id LIMIT 5")
+def g07_first(spark, sf):
+    """The first five errors, by example id."""
+    return detection_errors(spark, sf).orderBy("example_id").limit(5)
+
+
+@query("s04_generation_scores",
+       S.with_(_generated_sql()) + f""",
+gp AS (SELECT pair_id, generated AS hyp, tgt AS ref FROM generated),
+{chrf_ctes('gp', 'gc_')},
+ga AS (SELECT pair_id, sum(CASE WHEN hyp > 0 AND ref > 0 THEN match / hyp ELSE 0 END) AS ps,
+              sum(CASE WHEN hyp > 0 AND ref > 0 THEN match / ref ELSE 0 END) AS rs,
+              sum(CASE WHEN hyp > 0 AND ref > 0 THEN 1 ELSE 0 END) AS k FROM gc_st GROUP BY pair_id)
+SELECT g.pair_id, g.src, g.tgt AS reference, g.generated,
+       round(coalesce({_fbeta_sql('ps', 'rs', 'k')}, 0.0), 2) AS chrf
+FROM generated g LEFT JOIN ga USING (pair_id)""")
+def s04_generation(spark, sf):
+    """The full score table of the generation test split."""
+    pairs = _split_stage(spark, sf)
+    test = pairs.filter(F.col("split") == "test").select("pair_id", "src", "tgt")
+    made = written(MD.generate(test, "pair_id", _lexicon(pairs), keep=["tgt"]), "generated")
+    scores = O.sentence_chrf(made.select("pair_id", F.col("generated").alias("hyp"), F.col("tgt").alias("ref")))
+    return made.join(scores, "pair_id").select("pair_id", "src", F.col("tgt").alias("reference"), "generated",
+                                               F.round("chrf", 2).alias("chrf"))

@@ -52,7 +52,7 @@ def evaluate_generation(spark: SparkSession, generation: DataFrame, out_dir: str
     IO.write_result(lex, f"{out_dir}/lexicon")
     lex = spark.read.parquet(f"{out_dir}/lexicon")
     test = generation.filter(F.col("split") == "test").select("pair_id", "src", "tgt")
-    generated = MD.generate(test, "pair_id", lex)
+    generated = IO.written(MD.generate(test, "pair_id", lex, keep=["tgt"]), "generated")
     scored_in = generated.select("pair_id", F.col("generated").alias("hyp"), F.col("tgt").alias("ref"))
     IO.write_result(O.sentence_chrf(scored_in).join(generated, "pair_id"), f"{out_dir}/generation_scores")
     scores = spark.read.parquet(f"{out_dir}/generation_scores")

@@ -38,12 +38,16 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster sets it to shared storage; only when it is unset (tests, local
-    runs) do we pick a fresh scratch folder of our own.
+    A cluster must set it to shared storage: a folder of our own would be a
+    different one on each machine. Only a local master, where there is one
+    machine, gets a fresh scratch folder when it is unset.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all "
+                               "executors share")
         current = tempfile.mkdtemp(prefix="parallax-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     if not sc.getCheckpointDir():

@@ -37,11 +37,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 # S1
 def load_raw(spark: SparkSession, path: str, columns: Sequence[str] = ("egyptian_arabic", "formal_arabic"),
-             rename: Sequence[str] = ("src", "tgt"), na_values: Sequence[str] = NA_VALUES) -> DataFrame:
+             rename: Sequence[str] = ("src", "tgt"), na_values: Sequence[str] = NA_VALUES,
+             multi_line: bool = True) -> DataFrame:
     """CSV with header; quoted cells may hold commas, doubled quotes and
     newlines. Fails if a required column is missing; selects by name;
-    ``na_values`` cells become null."""
-    df = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    ``na_values`` cells become null.
+
+    Cells with newlines can only be told apart from the start of a file, so each
+    file is one task; ``multi_line=False``, for files without such cells, lets Spark
+    split large files."""
+    df = (spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
           .option("inferSchema", False).csv(path))
     missing = [c for c in columns if c not in df.columns]
     if missing:
@@ -51,6 +56,25 @@ def load_raw(spark: SparkSession, path: str, columns: Sequence[str] = ("egyptian
                        for c, r in zip(columns, rename)])
 
 
+def with_row_key(df: DataFrame, columns: Sequence[str] = ("src", "tgt"), out: str = "pair_id") -> DataFrame:
+    """A key per row that depends on content only: the hash of the columns, and "-ordinal"
+    among equal rows.
+
+    Equal rows are counted first, combined before the shuffle, and multiplied
+    back from one row per content; no task sorts or numbers the copies of a hot row.
+    """
+    content = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+    counted = df.select(*columns, content.alias("_content")).groupBy("_content").agg(
+        *[F.first(c).alias(c) for c in columns], F.count(F.lit(1)).alias("_n"))
+    # copies in blocks, so that one content's copies are made by many rows
+    block = 1 << 16
+    blocks = counted.withColumn("_b", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / block))))
+    spread = blocks.repartition(F.col("_content"), F.col("_b"))
+    ordinal = F.explode(F.sequence(F.col("_b") * block, F.least((F.col("_b") + 1) * block, F.col("_n")) - 1))
+    return spread.withColumn("_i", ordinal).select(
+        F.concat(F.col("_content"), F.lit("-"), F.col("_i").cast("string")).alias(out), *columns)
+
+
 # S2
 def save_splits(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """One dataset partitioned by split (readers prune to the split they need).
@@ -85,13 +109,15 @@ def write_result(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 
 # S5
-def read_export(spark: SparkSession, path: str, fmt: str = "parquet", schema=None) -> DataFrame:
-    """An already-downloaded dataset export (parquet, csv or json); no network."""
+def read_export(spark: SparkSession, path: str, fmt: str = "parquet", schema=None,
+                multi_line: bool = True) -> DataFrame:
+    """An already-downloaded dataset export (parquet, csv or json); no network.
+    ``multi_line=False`` lets Spark split large CSV files without newlines in cells."""
     r = spark.read
     if schema is not None:
         r = r.schema(schema)
     if fmt == "csv":
-        return r.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+        return r.option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path)
     return r.format(fmt).load(path)
 
 

@@ -18,6 +18,11 @@ from parallax.operators import feedback as FB
 from parallax.operators import models as MD
 
 
+def write_batch(batch: DataFrame, out_dir: str, batch_id: int, *partitions: str) -> None:
+    """A micro-batch into its own ``batch_id=`` folder, in place of what an earlier try left there."""
+    batch.write.mode("overwrite").partitionBy(*partitions).parquet(f"{out_dir}/batch_id={batch_id}")
+
+
 # ST1 -------------------------------------------------------------------------
 
 def prepare_requests(requests: DataFrame, text_col: str = "slang") -> DataFrame:
@@ -30,10 +35,10 @@ def prepare_requests(requests: DataFrame, text_col: str = "slang") -> DataFrame:
 def answer_requests(prepared: DataFrame, key: str, lexicon: DataFrame) -> DataFrame:
     """Score valid requests (M2) and keep errors as a column: one output row
     per request with ``formal`` or ``error``."""
-    ok = prepared.filter(F.col("error").isNull())
-    gen = MD.generate(ok.select(key, F.col("clean").alias("src")), key, lexicon, "src", "formal")
-    return (prepared.join(gen.select(key, "formal"), key, "left")
-            .select(key, "formal", "error"))
+    # errors ride along as rows without tokens: one regroup by key, no join back
+    rows = prepared.select(key, F.when(F.col("error").isNull(), F.col("clean")).alias("src"), "error")
+    gen = MD.generate(rows, key, lexicon, "src", "formal", keep=["error"])
+    return gen.select(key, F.when(F.col("error").isNull(), F.col("formal")).alias("formal"), "error")
 
 
 def start_request_stream(spark: SparkSession, source_dir: str, schema, key: str, lexicon: DataFrame,
@@ -42,11 +47,7 @@ def start_request_stream(spark: SparkSession, source_dir: str, schema, key: str,
     prepared = prepare_requests(stream)
 
     def score_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()  # read twice: valid requests are scored, errors pass through
-        try:
-            answer_requests(batch, key, lexicon).write.mode("append").parquet(out_dir)
-        finally:
-            batch.unpersist()
+        write_batch(answer_requests(batch, key, lexicon), out_dir, batch_id)
 
     w = prepared.writeStream.foreachBatch(score_batch).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if available_now else w).start()
@@ -63,7 +64,7 @@ def start_feedback_router(spark: SparkSession, source_dir: str, schema, out_dir:
     routed = FB.route(FB.with_event_time(stream))
 
     def write_routes(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("append").partitionBy("route").parquet(out_dir)
+        write_batch(batch, out_dir, batch_id, "route")
 
     return (routed.writeStream.foreachBatch(write_routes).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

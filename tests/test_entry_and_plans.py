@@ -6,10 +6,13 @@ import pytest
 import __spark_entry__ as E
 from conftest import SF_SMALL
 from parallax.plans import inputs as I
+from parallax.plans.registry import ORACLE, QUERIES, load_all
 from parallax.operators import overlap as O
+from parallax.functions import text as T
 from parallax.operators import positional as G
 
 TABLES = ["events", "documents", "embeddings", "labels", "conversations"]
+load_all()
 
 
 def test_entry_runs(spark):
@@ -37,21 +40,21 @@ def _norm(rows, cols):
     import math
     order = sorted(range(len(cols)), key=lambda i: cols[i])
 
-    def n(v):
+    def n(v, nested=False):
         if isinstance(v, float):
-            return None if math.isnan(v) else round(v, 6)
-        if isinstance(v, (list, tuple)):
-            return tuple(n(x) for x in v)
+            return None if math.isnan(v) else v if nested else round(v, 6)
+        if isinstance(v, (list, tuple)):  # nested values are compared exactly, as the driver does
+            return tuple(n(x, True) for x in v)
         if hasattr(v, "isoformat"):
             return v.isoformat()
         return v
     return sorted((tuple(n(r[i]) for i in order) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_matches_oracle_small(spark, con, name):
-    sdf = E.queries()[name](spark, SF_SMALL)
-    res = con.execute(E.oracle_sql()[name])
+    sdf = QUERIES[name](spark, SF_SMALL)
+    res = con.execute(ORACLE[name])
     dcols = [d[0] for d in res.description]
     drows = res.fetchall()
     assert sorted(sdf.columns) == sorted(dcols)
@@ -80,18 +83,26 @@ def test_ngram_rows_never_shuffle(spark):
     assert "Exchange hashpartitioning(pair_id#" in plan
 
 
+def test_cleaning_is_evaluated_once(spark):
+    def chains(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().count("translate(")
+    docs = I.ar_documents(spark, SF_SMALL)
+    once = chains(docs.select(T.clean_text("text")))
+    assert chains(QUERIES["f02_drop_empty"](spark, SF_SMALL)) == once
+    pairs = I.conv_pairs(spark, SF_SMALL).select("src", "tgt")
+    both = chains(pairs.select(T.clean_text("src"), T.clean_text("tgt")))
+    assert chains(QUERIES["f03_flag_mostly_english"](spark, SF_SMALL)) == both
+
+
 def test_scan_prunes_columns(spark):
     df = E.queries()["t07_english_ratio"](spark, SF_SMALL)
     plan = _plan(df)
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
 
 
-TRAINS_WHILE_BUILDING = {"m01_score_detection", "m03_pair_classifier_report"}
-
-
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - TRAINS_WHILE_BUILDING))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_plans_stay_in_jvm_without_cross_joins(spark, name):
-    plan = _plan(E.queries()[name](spark, SF_SMALL))
+    plan = _plan(QUERIES[name](spark, SF_SMALL))
     assert "BatchEvalPython" not in plan           # no row-at-a-time Python UDF anywhere
     assert "CartesianProduct" not in plan
     assert "BroadcastNestedLoopJoin" not in plan

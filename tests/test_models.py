@@ -7,9 +7,18 @@ from parallax.operators import models as MD
 
 def test_score_detection_with_loader(spark):
     df = spark.createDataFrame([(1, "a b c", "a b c"), (2, "a b c", "x y z")], "example_id long, src string, tgt string")
-    out = {r.example_id: r for r in MD.score_detection(df, loader=MD.overlap_logits_loader).collect()}
+    df = df.unionByName(spark.createDataFrame([(3, None, "long text"), (4, "x", "y" * 9)], df.schema))
+    out = {r.example_id: r for r in MD.score_detection(df, loader=MD.length_logits_loader).collect()}
     assert out[1].label_pred == "correct" and out[1].confidence == 0.7311  # softmax([0, 1])
-    assert out[2].label_pred == "incorrect"
+    assert out[3].label_pred == "incorrect" and out[4].label_pred == "incorrect"
+
+
+def test_score_detection_native(spark):
+    df = spark.createDataFrame([(1, "a b c", "a b c"), (2, "a b c", "x y z"), (3, None, "None")],
+                               "example_id long, src string, tgt string")
+    out = {r.example_id: r for r in MD.score_detection(df).collect()}
+    assert out[1].label_pred == "correct" and out[1].confidence == 0.7311
+    assert out[2].label_pred == "incorrect" and out[3].label_pred == "incorrect"  # a null is no token
 
 
 def test_pair_classifier_learns_overlap(spark):
@@ -21,6 +30,9 @@ def test_pair_classifier_learns_overlap(spark):
         rows.append((split, i * 2 + 1, " ".join(words), " ".join(words), 1))
         rows.append((split, i * 2, " ".join(words), " ".join(other), 0))
     ex = spark.createDataFrame(rows, "split string, example_id long, src string, tgt string, label int")
+    lo = MD.judged(MD.TokenLogOdds.fit(ex.filter("split = 'train'")).score(
+        ex.filter("split = 'test'"), "example_id", ["label"]))
+    assert lo.agg(F.avg((F.col("pred") == F.col("label")).cast("double"))).first()[0] > 0.9
     model, dev_acc = MD.train_pair_classifier(ex, reg_params=(0.01,), num_features=1 << 12, max_iter=20)
     scored = MD.score_detection(ex.filter(F.col("split") == "test"), model)
     acc = scored.agg(F.avg((F.col("pred") == F.col("label")).cast("double"))).first()[0]

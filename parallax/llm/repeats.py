@@ -157,13 +157,13 @@ def _spread(doc: np.ndarray, at: np.ndarray) -> np.ndarray:
     return _mix(doc.astype(np.uint64) * np.uint64(31) + at.astype(np.uint64)) >> np.uint64(16)
 
 
-def _settled_phrases(parts: list) -> pa.RecordBatch:
+def _settled_phrases(parts: list, hot_at: int) -> pa.RecordBatch:
     trigger, content, first, to_trigger, to_last, k, v = (np.concatenate(x) for x in zip(*parts))
     order, new = _classes(trigger, content, k, first)
     kind = np.where(_repeated(order, new, k, first), REPEAT, COMPARE)
     # triggers with very many different phrases here
     begins = np.flatnonzero(np.concatenate(([True], trigger[order][1:] != trigger[order][:-1])))
-    many = np.add.reduceat(new.astype(np.int64), begins) >= HOT
+    many = np.add.reduceat(new.astype(np.int64), begins) >= hot_at
     hot = np.zeros(len(order), bool)
     hot[order] = np.repeat(many, np.diff(np.concatenate((begins, [len(order)]))))
     kind[hot & (kind == COMPARE)] = LOOK
@@ -178,7 +178,7 @@ def _settled_phrases(parts: list) -> pa.RecordBatch:
         pa.array(np.concatenate((at, np.full(n, SHARED << 14))))], names=["trigger", "content", "k", "v", "at"])
 
 
-def _phrases(batches):
+def _phrases(batches, hot_at: int, batch_bytes: int):
     """(k, v, data) > phrases, those of one batch already compared with each other."""
     for batch in batches:
         parts, size = [], 0
@@ -190,11 +190,11 @@ def _phrases(batches):
             n = len(found[0])
             parts.append((*found, np.full(n, k, np.int64), np.full(n, v, np.int64)))
             size += len(data)
-            if size >= BATCH:
-                yield _settled_phrases(parts)
+            if size >= batch_bytes:
+                yield _settled_phrases(parts, hot_at)
                 parts, size = [], 0
         if parts:
-            yield _settled_phrases(parts)
+            yield _settled_phrases(parts, hot_at)
 
 
 def _packed(batches):
@@ -273,8 +273,12 @@ def _removed(batches):
                                               pa.array(kept, pa.binary())], names=["key", "n_bytes", "spans", "kept"])
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: key, n_bytes, ``spans`` (removed runs of bytes), ``kept`` (the bytes left)."""
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", hot_at: int = HOT,
+                   batch_bytes: int = BATCH) -> DataFrame:
+    """One row per document: key, n_bytes, ``spans`` (removed runs of bytes), ``kept`` (the bytes left).
+
+    ``hot_at`` and ``batch_bytes`` say what is settled before the shuffle; results don't depend on them.
+    """
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("key"),
                        whole_text(F.col(f"`{text}`")).cast("binary").alias("data"))
     ids = rows.select(F.coalesce("key", F.lit(LAST)).alias("k"))
@@ -283,7 +287,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     version = F.xxhash64("data") if repeated else F.lit(0).cast("long")
     rows = rows.select("key", F.coalesce("key", F.lit(LAST)).alias("k"), version.alias("v"), "data")
 
-    found = rows.select("k", "v", "data").mapInArrow(_phrases, PHRASES)
+    found = rows.select("k", "v", "data").mapInArrow(
+        lambda b: _phrases(b, hot_at, batch_bytes), PHRASES)
     kind = F.col("at").bitwiseAND(F.lit(3 << 14))
     same = Window.partitionBy("trigger", "content").orderBy("k", F.shiftright("at", 16))
     ranked = found.withColumn("place", F.rank().over(same))

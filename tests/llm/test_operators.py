@@ -208,3 +208,9 @@ def test_toxicity_learns_and_locates(spark):
     assert right >= 0.98 * 300
     assert scorer.score("") == (0.0, []) and toxicity.fit([], []).scorer().score("x.")[0] == 0.0
     assert all(w >= 0 for w in model.weights.values())
+
+
+def test_token_ids_of_very_long_white_space():
+    tokens = packing._tokens(None, None)
+    for text in (" " * 1_000_000 + "x", "\n" * 300_000, "a" * 300_000, "<|endoftext|> <|endoftext|>"):
+        assert tokens.ids(text) == tokens.vocabulary.encode(text, add_special_tokens=False).ids

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parallax import constants as K
 from parallax.functions import arrays as V
 from parallax.functions import text as T
+from parallax.operators.curate import evaluated_once
 from parallax.sources.io import written
 from parallax.operators.positional import sorted_positions
 
@@ -38,28 +39,46 @@ def build_vocabulary(texts: DataFrame, text_col: str = "text", min_count: int =
 
 # V2
 def encode(df: DataFrame, key: str, text_cols: Sequence[str], vocab: DataFrame,
-           suffix: str = "_ids") -> DataFrame:
+           suffix: str = "_ids", constants: Sequence[str] = ()) -> DataFrame:
     """Token ids for each text column, in order; unknown tokens -> UNK_ID.
 
-    All columns are exploded as one tagged array (arrays_zip), joined to the vocabulary
-    once (AQE broadcasts a small vocabulary and splits hot tokens of a big
-    one) and regrouped by the row key into ordered arrays. Each group is a
-    single row's tokens.
+    All columns are exploded as one tagged array, joined to the vocabulary once (AQE
+    broadcasts a small vocabulary and splits hot tokens of a big one) and regrouped by
+    the row key into ordered arrays. Each group is a single row's tokens.
+
+    ``constants`` are words that (nearly) every row holds, such as a prompt template's:
+    their ids are looked up once, at most one per constant, and they ride with the row
+    instead of being joined and shuffled token by token.
     """
-    def tagged_side(i: int, c: str):
+    def side(i: int, c: str) -> Column:
         toks = T.whitespace_tokens(c)
         return F.arrays_zip(F.array_repeat(F.lit(i), F.size(toks)).alias("side"), toks.alias("token"))
-    tagged = F.concat(*[tagged_side(i, c) for i, c in enumerate(text_cols)])
-    ex = df.select(key, F.posexplode_outer(tagged).alias("pos", "t"))
-    ex = ex.select(key, "pos", F.col("t.side").alias("side"), F.col("t.token").alias("token"))
+
+    names = sorted(set(constants))
+    known = {r["token"]: r["id"] for r in vocab.filter(F.col("token").isin(names)).collect()} if names else {}
+    tagged = F.concat(*[side(i, c) for i, c in enumerate(text_cols)])
+    rows = evaluated_once(df.select(key, *text_cols), {"_all": F.transform(tagged, lambda t, i: F.struct(
+        i.alias("pos"), t["side"].alias("side"), t["token"].alias("token")))})
+    if names:
+        ids = F.create_map(*[F.lit(x) for w in names for x in (w, int(known.get(w, UNK_ID)))])
+        fixed = F.transform(F.filter("_all", lambda t: t["token"].isin(names)), lambda t: F.struct(
+            t["pos"].alias("pos"), t["side"].alias("side"), F.element_at(ids, t["token"]).alias("id")))
+        rest = F.filter("_all", lambda t: ~t["token"].isin(names))
+    else:
+        fixed, rest = F.array(), F.col("_all")
+    kind = "array<struct<pos:int,side:int,id:int>>"
+    ex = rows.select(key, fixed.cast(kind).alias("_fixed"), F.posexplode_outer(rest).alias("_n", "_t"))
+    ex = ex.select(key, F.when(F.coalesce("_n", F.lit(0)) == 0, F.col("_fixed")).alias("_fixed"), "_t.*")
     v = vocab.select(F.col("token").alias("_tok"), F.col("id").cast("int").alias("_id"))
     j = ex.join(v, ex.token == v._tok, "left")
-    item = F.struct(F.col("pos"), F.coalesce(F.col("_id"), F.lit(UNK_ID)).alias("id"))
-    aggs = [F.array_sort(F.collect_list(F.when(F.col("side") == i, item))).alias(f"_a{i}")
-            for i in range(len(text_cols))]
-    g = j.groupBy(key).agg(*aggs)
-    # array<struct>["id"] extracts the field natively (no per-token lambda).
-    return g.select(key, *[F.col(f"_a{i}")["id"].alias(c + suffix) for i, c in enumerate(text_cols)])
+    item = F.when(F.col("pos").isNotNull(), F.struct("pos", "side", F.coalesce("_id", F.lit(UNK_ID)).alias("id")))
+    g = j.groupBy(key).agg(F.collect_list(item).cast(kind).alias("_own"), F.first("_fixed", ignorenulls=True).alias("_fixed"))
+    g = g.select(key, F.array_sort(F.concat("_own", "_fixed")).alias("_a"))
+
+    def ids_of(i: int) -> Column:
+        return F.filter("_a", lambda t: t["side"] == i)["id"]
+
+    return g.select(key, *[ids_of(i).alias(c + suffix) for i, c in enumerate(text_cols)])
 
 
 # V4

@@ -23,7 +23,9 @@ def encoded_pairs(spark, sf):
     p = I.conv_pairs(spark, sf).select(
         "pair_id", T.generation_prompt("src").alias("gen_prompt"),
         T.detection_prompt("src", "tgt").alias("det_prompt"), "tgt")
-    return E.encode(p, "pair_id", ["gen_prompt", "det_prompt", "tgt"], vocabulary(spark, sf))
+    words = {w for t in (K.GEN_PROMPT, K.DET_PROMPT) for w in t.split() if "{" not in w}
+    return E.encode(p, "pair_id", ["gen_prompt", "det_prompt", "tgt"], E.written(vocabulary(spark, sf), "vocabulary"),
+                    constants=sorted(words))
 
 
 def generation_examples(spark, sf):

@@ -93,3 +93,14 @@ def test_cluster_without_shared_folder_is_an_error():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         checkpoint_dir(Session())
+
+
+def test_constants_are_encoded_like_any_word(spark):
+    """Template words ride with the row; ids and order are those of the join."""
+    vocab = spark.createDataFrame([(w, 1, i + 3) for i, w in enumerate("say the word now again".split())],
+                                  "token string, count long, id long")
+    rows = spark.createDataFrame([(1, "say the word now", "the x again"), (2, "say now", ""), (3, None, "x"), (4, "", None)],
+                                 "k long, a string, b string")
+    plain = E.encode(rows, "k", ["a", "b"], vocab).orderBy("k").collect()
+    assert plain == E.encode(rows, "k", ["a", "b"], vocab, constants=["say", "now", "absent"]).orderBy("k").collect()
+    assert [tuple(r) for r in plain[:2]] == [(1, [3, 4, 5, 6], [4, E.UNK_ID, 7]), (2, [3, 6], [])]

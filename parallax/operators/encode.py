@@ -40,7 +40,7 @@ def build_vocabulary(texts: DataFrame, text_col: str = "text", min_count: int =
 # V2
 def encode(df: DataFrame, key: str, text_cols: Sequence[str], vocab: DataFrame,
            suffix: str = "_ids", constants: Sequence[str] = ()) -> DataFrame:
-    """Token ids for each text column, in order; unknown tokens -> UNK_ID.
+    """Token ids for each text column, in order; unknown tokens -> UNK_ID, a null text -> no ids.
 
     All columns are exploded as one tagged array, joined to the vocabulary once (AQE
     broadcasts a small vocabulary and splits hot tokens of a big one) and regrouped by
@@ -51,7 +51,7 @@ def encode(df: DataFrame, key: str, text_cols: Sequence[str], vocab: DataFrame,
     instead of being joined and shuffled token by token.
     """
     def side(i: int, c: str) -> Column:
-        toks = T.whitespace_tokens(c)
+        toks = F.coalesce(T.whitespace_tokens(c), F.array().cast("array<string>"))
         return F.arrays_zip(F.array_repeat(F.lit(i), F.size(toks)).alias("side"), toks.alias("token"))
 
     names = sorted(set(constants))

@@ -103,4 +103,4 @@ def test_constants_are_encoded_like_any_word(spark):
                                  "k long, a string, b string")
     plain = E.encode(rows, "k", ["a", "b"], vocab).orderBy("k").collect()
     assert plain == E.encode(rows, "k", ["a", "b"], vocab, constants=["say", "now", "absent"]).orderBy("k").collect()
-    assert [tuple(r) for r in plain[:2]] == [(1, [3, 4, 5, 6], [4, E.UNK_ID, 7]), (2, [3, 6], [])]
+    assert [tuple(r) for r in plain] == [(1, [3, 4, 5, 6], [4, E.UNK_ID, 7]), (2, [3, 6], []), (3, [], [E.UNK_ID]), (4, [], [])]

@@ -67,3 +67,18 @@ def test_prompt_and_postprocess(spark):
     out = p.select("p", T.postprocess_completion(F.concat("p", "tgt"), F.col("p")).alias("c")).first()
     assert out.p == 'عامية: "ازيك"\nفصحى: '
     assert out.c == "اهلا"
+
+
+def test_character_sets_agree(spark):
+    """The classes, the literal characters and Java's property are the same sets."""
+    import sys
+
+    from parallax import constants as K
+
+    points = [c for c in range(1, sys.maxunicode + 1) if not 0xD800 <= c <= 0xDFFF]
+    df = spark.createDataFrame([(chr(c),) for c in points if c < 0x10000] + [("😀",)], "c string")
+    for cls, chars in ((K.DIACRITICS_CLASS, K.DIACRITIC_CHARS), (K.ARABIC_PUNCT_CLASS, K.ARABIC_PUNCT_CHARS),
+                       (K.WS_CLASS, K.WS_LITERAL), (K.JWS_CLASS, K.WS_LITERAL)):
+        got = {r.c for r in df.filter(F.col("c").rlike("^" + cls + "$")).collect()}
+        assert got == set(chars)
+    assert set(K.WS_LITERAL) == {chr(c) for c in points if chr(c).isspace()}

@@ -19,6 +19,7 @@ result row; empty tables give empty results.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from parallax.llm.common import whole_text
 
 MOST_DOCUMENTS = 4000
-MOST_CHARS = 50_000
+MOST_CHARS = 20_000
 LEAST_DOCUMENTS = 3  # documents a word or stem must be in to become a feature
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 WORD = re.compile(r"[^\W_]+")
@@ -49,8 +50,9 @@ def features_of(word: str) -> list[str]:
     return [word, *(f"{word[:n]}-" for n in STEMS if len(word) > n)]
 
 
-def words_of(sentence: str) -> set[str]:
-    return set(WORD.findall(sentence.lower()))
+def words_of(sentence: str) -> list[str]:
+    """Distinct words by first appearance, an order that is the same in every process."""
+    return list(dict.fromkeys(WORD.findall(sentence.lower())))
 
 
 class WordWeights(dict):
@@ -103,21 +105,22 @@ def fit(texts: Sequence[str], labels: Sequence[int], rounds: int = 150, rate: fl
     Words can only speak for an offence, never against one: weights stay at zero or above,
     and ``shrink`` takes a constant off them, which clears those that explain little.
     """
-    bags = [[words_of(t[a:b]) for a, b in sentences_of(t)] for t in texts]
-    in_docs = Counter(f for bag in bags for f in {f for w in set().union(*bag) for f in features_of(w)})
+    in_docs: Counter[str] = Counter()
+    for t in texts:
+        in_docs.update({f for a, b in sentences_of(t) for w in words_of(t[a:b]) for f in features_of(w)})
     vocabulary = {w: i for i, w in enumerate(sorted(w for w, n in in_docs.items() if n >= LEAST_DOCUMENTS))}
-    keep = [i for i, bag in enumerate(bags) if bag]
+    keep = [i for i, t in enumerate(texts) if sentences_of(t)]
     y = np.array([labels[i] for i in keep], float)
     if not len(y) or y.min() == y.max():
         return NO_MODEL if not len(y) or not y.max() else Model(0.0, {})
-    word, sentence, doc = [], [], []
+    word, sentence, doc = array("i"), array("i"), array("i")
     for d, i in enumerate(keep):
-        for bag in bags[i]:
-            ids = [vocabulary[f] for w in bag for f in features_of(w) if f in vocabulary]
-            word += ids
-            sentence += [len(doc)] * len(ids)
+        for a, b in sentences_of(texts[i]):
+            ids = [vocabulary[f] for w in words_of(texts[i][a:b]) for f in features_of(w) if f in vocabulary]
+            word.extend(ids)
+            sentence.extend([len(doc)] * len(ids))
             doc.append(d)
-    word, sentence, doc = np.array(word, np.int64), np.array(sentence, np.int64), np.array(doc, np.int64)
+    word, sentence, doc = (np.frombuffer(x, np.int32) if len(x) else np.zeros(0, np.int32) for x in (word, sentence, doc))
     w = np.zeros(len(vocabulary) + 1)
     w[-1] = -5.0
     mean, square = np.zeros_like(w), np.zeros_like(w)

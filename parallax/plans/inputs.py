@@ -89,7 +89,7 @@ def evt_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from parallax.operators.positional import ordered_positions
     ev = table(spark, sf_dir, "events").select(
         F.col("user_id").alias("run"), "ts", "event_id", F.col("value").alias("dev_loss"))
-    ev = ev.withColumn("_day", F.date_trunc("day", "ts"))
-    numbered = ordered_positions(ev, [F.col("ts"), F.col("event_id")], ["_day"],
+    ev = ev.withColumn("_hour", F.date_trunc("hour", "ts"))
+    numbered = ordered_positions(ev, [F.col("ts"), F.col("event_id")], ["_hour"],
                                  partition_cols=["run"], out="_p")
     return numbered.select("run", (F.col("_p") + 1).alias("epoch"), "dev_loss")

@@ -20,10 +20,6 @@ def _col(c: ColumnOrName) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _int_array(values: Sequence[int]) -> Column:
-    return F.array(*[F.lit(int(v)) for v in values])
-
-
 def array_sum(c: ColumnOrName) -> Column:
     return F.aggregate(_col(c), F.lit(0.0).cast("double"), lambda acc, x: acc + x)
 

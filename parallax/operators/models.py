@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parallax.functions import text as T
+from parallax.operators import rerank as R
 from parallax.operators.curate import evaluated_once
 
 ADD_K = 0.1
@@ -84,14 +85,27 @@ def _aligned_pairs(src: Column, tgt: Column) -> Column:
     ).otherwise(F.array().cast("array<struct<s:string,t:string>>"))
 
 
+def aligned_counts(train: DataFrame, src_tokens: str, tgt_tokens: str) -> DataFrame:
+    """(s, t, count) of all aligned word pairs."""
+    pairs = train.select(F.explode(_aligned_pairs(F.col(src_tokens), F.col(tgt_tokens))).alias("p"))
+    return pairs.groupBy("p.s", "p.t").agg(F.count(F.lit(1)).alias("count"))
+
+
 def train_lexicon(train: DataFrame, src_tokens: str, tgt_tokens: str) -> DataFrame:
     """(s, t, count): most frequent aligned target per source word (ties: smallest t)."""
-    pairs = train.select(F.explode(_aligned_pairs(F.col(src_tokens), F.col(tgt_tokens))).alias("p"))
-    counts = pairs.groupBy("p.s", "p.t").agg(F.count(F.lit(1)).alias("count"))
+    counts = aligned_counts(train, src_tokens, tgt_tokens)
     best = counts.groupBy("s").agg(F.min(F.struct((-F.col("count")).alias("nc"), "t")).alias("m"))
     return best.select("s", F.col("m.t").alias("t"), (-F.col("m.nc")).alias("count"))
 
 
+def reranked_lexicon(counts: DataFrame) -> DataFrame:
+    """(s, t): one target per source word drawn by W6 > W3 > W4 > W5 > pick from all its aligned
+    targets, with the log of the count as logit; a target that echoes its source counts as seen."""
+    cands = counts.select(F.col("s").alias(R.G), F.col("t").alias(R.C), F.log("count").alias("logit"))
+    echoes = cands.filter(F.col(R.G) == F.col(R.C)).select(R.G, R.C)
+    return R.rerank(cands, echoes).select(F.col(R.G).alias("s"), F.col(R.C).alias("t"))
+
+
 def translate(df: DataFrame, key: str, tokens: str, lexicon: DataFrame, out: str = "translation",
               keep: Sequence[str] = ()) -> DataFrame:
     """Token-by-token lexicon translation (unknown words copied), order kept.

@@ -14,6 +14,7 @@ from parallax.plans import sqlfrag as S
 from parallax.plans.q_metrics import report_sql
 from parallax.plans.q_overlap import _fbeta_sql, bleu_ctes, chrf_ctes
 from parallax.plans.q_sample import EXAMPLES, SPLIT, split_pairs
+from parallax.plans.q_runs import rerank_ctes
 from parallax.plans.registry import query
 from parallax.sources.io import written
 
@@ -242,6 +243,27 @@ def m02(spark, sf):
     return MD.generate(test, "pair_id", _lexicon(pairs)).select("pair_id", "generated")
 
 
+def _reranked_sql() -> str:
+    """The generated texts with the re-ranked lexicon in place of the most frequent targets."""
+    head, tail = _generated_sql().split("lexicon AS (", 1)
+    _, rest = tail.split("WHERE r = 1)", 1)
+    return head + f"""pen AS (SELECT s AS group_id, t AS candidate_id,
+               CASE WHEN s = t THEN ln(count) / {K.REPETITION_PENALTY!r} ELSE ln(count) END AS logit FROM cnt),
+{rerank_ctes().replace("t AS (SELECT", "tmp AS (SELECT", 1).replace("FROM t)", "FROM tmp)")},
+lexicon AS (SELECT group_id AS s, candidate_id AS t FROM picked)""" + rest
+
+
+@query("m02_generate_reranked", S.with_(_reranked_sql()) + "SELECT pair_id, generated FROM generated")
+def m02_reranked(spark, sf):
+    """M2 with each word's target drawn from all its candidates."""
+    pairs = _split_stage(spark, sf)
+    toks = pairs.filter(F.col("split") == "train").select(T.whitespace_tokens("src").alias("s"),
+                                                          T.whitespace_tokens("tgt").alias("t"))
+    lex = MD.reranked_lexicon(written(MD.aligned_counts(toks, "s", "t"), "aligned"))
+    test = pairs.filter(F.col("split") == "test").select("pair_id", "src")
+    return MD.generate(test, "pair_id", lex).select("pair_id", "generated")
+
+
 @query("m06_zero_shot_baseline",
        "WITH " + M6_SQL + "\nSELECT task, model, metric, value FROM zero")
 def m06(spark, sf):

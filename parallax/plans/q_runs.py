@@ -125,16 +125,13 @@ nuc AS (SELECT * FROM (SELECT *, coalesce(sum(prob) OVER (PARTITION BY group_id
        "FROM nuc")
 def w05(spark, sf):
     c = cands(spark, sf).withColumn("scaled", F.col("logit") / K.TEMPERATURE)
-    c = R.top_k(c, K.TOP_K, "scaled").withColumn(
-        "prob", F.exp(F.col("scaled") - F.max("scaled").over(R._by_group())))
-    c = R.renormalize(c)
+    c = R.temperature(R.top_k(c, K.TOP_K, "scaled"), 1.0, "scaled")
     return R.renormalize(R.nucleus(c)).select("group_id", "candidate_id", "prob")
 
 
-def _pick_sql() -> str:
-    body = PENALIZED_SQL.replace("FROM emb_cand c LEFT JOIN", "FROM emb_cand c LEFT JOIN")
-    return S.with_(body) + f""",
-t AS (SELECT *, logit / 0.7 AS x FROM pen),
+def rerank_ctes() -> str:
+    """Temperature > top-k > nucleus > cumulative probability and draw, over view ``pen``."""
+    return f"""t AS (SELECT *, logit / 0.7 AS x FROM pen),
 k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY x DESC, candidate_id) AS rank
       FROM t) WHERE rank <= {K.TOP_K}),
 kp AS {_softmax_sql2('x', 'k')},
@@ -144,11 +141,11 @@ np AS (SELECT group_id, candidate_id, prob / sum(prob) OVER (PARTITION BY group_
 cum AS (SELECT *, sum(p) OVER (PARTITION BY group_id ORDER BY p DESC, candidate_id
                ROWS UNBOUNDED PRECEDING) AS cp,
                CAST(('0x' || substr({S.rkey('group_id')}, 1, 13))::BIGINT AS DOUBLE) / {float(16 ** 13)!r} AS u
-        FROM np)
-SELECT group_id, arg_min(candidate_id, cp) AS candidate_id FROM cum WHERE cp > u GROUP BY group_id"""
+        FROM np),
+picked AS (SELECT group_id, arg_min(candidate_id, cp) AS candidate_id FROM cum WHERE cp > u GROUP BY group_id)"""
 
 
-@query("w05_rerank_sample", _pick_sql())
+@query("w05_rerank_sample", S.with_(PENALIZED_SQL, rerank_ctes()) + "SELECT group_id, candidate_id FROM picked")
 def w05_pick(spark, sf):
     c = cands(spark, sf)
     return R.rerank(c, R.previous_top(c))

@@ -3,9 +3,11 @@
 A template is a short run of licence words with mandatory key phrases. The index
 holds, per licence word, its postings (template, position in the template). Of a
 file only the licence words and their positions are read off. Each template is
-looked up by its rarest word in the corpus (highest IDF); postings are intersected
-by relative position, file position minus template position being one alignment;
-an alignment counts when the key phrases stand in full.
+looked up by the word of its key phrases that is rarest in the corpus (highest IDF).
+Only where that word stands is there a candidate, file position minus template
+position being its alignment; the licence words around it are intersected with the
+template by relative position, and the alignment counts when the key phrases stand in
+full. They hold the looked-up word, so results don't depend on which one it is.
 
 Native column functions only. Words are runs of digits, letters and non-ASCII
 characters, compared in lower case (A-Z). A null text has no words; repeated rows
@@ -47,6 +49,12 @@ class Template:
             bits |= ((1 << len(words)) - 1) << at
         return bits
 
+    @property
+    def lookup(self) -> tuple[str, ...]:
+        """The words it may be looked up by: those of its key phrases, without common ones if others are left."""
+        words = tuple(w for i, w in enumerate(self.words) if self.must >> i & 1)
+        return tuple(w for w in words if w not in COMMON) or words
+
 
 def phrase(label: str, text: str, base: bool = False) -> Template:
     return Template(label, text, (text,), base)
@@ -82,13 +90,17 @@ def index_words(templates: Sequence[Template]) -> list[str]:
     return sorted({w for t in templates for w in t.words})
 
 
+def lookup_words(templates: Sequence[Template]) -> list[str]:
+    return sorted({w for t in templates for w in t.lookup})
+
+
 def licence_terms(docs: DataFrame, key: str = "doc_id", text: str = "text",
                   templates: Sequence[Template] = TEMPLATES) -> DataFrame:
     """Per document: key, row_no, n_words, terms (its licence words with positions;
-    none where all of them are common ones). Written to the shared folder, so that
+    none where no template can be looked up by any of them). Written to the shared folder, so that
     row_no, which tells repeated rows apart, stays as it is."""
     vocabulary = index_words(templates)
-    rare = [w for w in vocabulary if w not in COMMON]
+    lookup = lookup_words(templates)
     t = F.col("text")
     body = F.regexp_replace(t, f"^{TERM_GAP}+|{TERM_GAP}+$", "")
     rows = docs.select(F.col(f"`{key}`").alias(key), whole_text(F.col(f"`{text}`")).alias("text"))
@@ -101,50 +113,58 @@ def licence_terms(docs: DataFrame, key: str = "doc_id", text: str = "text",
         F.struct(F.lower(w).alias("word"), i.alias("pos"))))
     rows = rows.withColumn("terms", F.filter(tagged, lambda x: x.isNotNull()))
     rows = rows.select(key, F.monotonically_increasing_id().alias("row_no"), F.size("words").cast("long").alias("n_words"),
-                       F.when(F.exists("terms", lambda x: x["word"].isin(*rare)), F.col("terms"))
+                       F.when(F.exists("terms", lambda x: x["word"].isin(*lookup)), F.col("terms"))
                        .otherwise(F.array().cast("array<struct<word:string,pos:int>>")).alias("terms"))
     return written(rows, "licence-terms")
 
 
 def idf(terms: DataFrame, templates: Sequence[Template] = TEMPLATES) -> dict[str, float]:
-    """log((1 + n) / (1 + df)) of every rare licence word over all documents. At most one
+    """log((1 + n) / (1 + df)) of every lookup word over all documents. At most one
     row per word of the templates reaches the driver."""
-    n = terms.count()
+    n, lookup = terms.count(), lookup_words(templates)
     counted = (terms.select(F.explode(F.array_distinct(F.col("terms.word"))).alias("word"))
-               .groupBy("word").agg(F.count(F.lit(1)).alias("df")))
+               .where(F.col("word").isin(*lookup)).groupBy("word").agg(F.count(F.lit(1)).alias("df")))
     df = {r["word"]: r["df"] for r in counted.collect()}
-    return {w: math.log((1 + n) / (1 + df.get(w, 0))) for w in index_words(templates) if w not in COMMON}
+    return {w: math.log((1 + n) / (1 + df.get(w, 0))) for w in lookup}
 
 
 def alignments(terms: DataFrame, templates: Sequence[Template] = TEMPLATES) -> DataFrame:
     """row_no, template (its number), start (word position in the file), score of every
-    alignment at which the looked-up word and all key phrases stand."""
+    alignment at which all key phrases stand. Candidates come from the looked-up words
+    alone; each reads the few terms around it, so no other term becomes a row."""
     weight = idf(terms, templates)
-    heavy = [max((w for w in t.words if w in weight), key=lambda w: (weight[w], w)) for t in templates]
+    heavy = [max(t.lookup, key=lambda w: (weight[w], w)) for t in templates]
+    # the key phrases stand in full: of a word's places in them, one is enough to look up by
+    place = [next(i for i, w in enumerate(t.words) if w == heavy[k] and t.must >> i & 1)
+             for k, t in enumerate(templates)]
+    longest = max(len(t.words) for t in templates)
+    bit = F.array(*[F.lit(1 << i).cast("long") for i in range(longest)])
 
     def postings(word: str) -> Column:
-        return F.array(*[F.struct(F.lit(k).alias("template"), F.lit(i).alias("offset"), F.lit(1 << i).cast("long").alias("bit"))
-                         for k, t in enumerate(templates) for i, w in enumerate(t.words) if w == word])
-
-    # terms x postings: a literal map of the template words, a row per posting of each term
-    index = F.create_map(*[x for w in index_words(templates) for x in (F.lit(w), postings(w))])
-    hits = terms.select("row_no", F.explode("terms").alias("t")).select("row_no", "t.word", "t.pos")
-    placed = hits.select("row_no", "pos", F.explode(F.element_at(index, F.col("word"))).alias("p"))
-    placed = placed.select("row_no", F.col("p.template").alias("template"),
-                           (F.col("pos") - F.col("p.offset")).alias("start"), F.col("p.bit").alias("bit"))
-    met = placed.groupBy("row_no", "template", "start").agg(
-        F.bit_or("bit").alias("bits"))
-
-    def of_template(values: Sequence) -> Column:
-        return F.get(F.array(*[F.lit(v) for v in values]), F.col("template"))
-
-    looked_up = of_template([sum(1 << i for i, w in enumerate(t.words) if w == heavy[k])
-                             for k, t in enumerate(templates)]).cast("long")
-    must = of_template([t.must for t in templates]).cast("long")
-    met = met.where((F.col("bits").bitwiseAND(looked_up) != 0) & (F.col("bits").bitwiseAND(must) == must))
-    size = of_template([len(t.words) for t in templates])
-    return met.select("row_no", "template", "start",
-                      (F.bit_count("bits") / size).cast("double").alias("score"))
+        return F.array(*[F.struct(F.lit(k).alias("template"), F.lit(place[k]).alias("offset"),
+                                  F.lit(t.must).cast("long").alias("must"),
+                                  F.array(*[F.lit(w) for w in t.words]).alias("words"))
+                         for k, t in enumerate(templates) if heavy[k] == word])
+
+    index = F.create_map(*[x for w in sorted(set(heavy)) for x in (F.lit(w), postings(w))])
+
+    def aligned(term: Column, at: Column, p: Column) -> Column:
+        """The template placed at a term: the bits of its words that stand there. Terms have
+        growing positions, so they are all among the ``longest`` terms to either side."""
+        start = term["pos"] - p["offset"]
+        first = F.greatest(at - longest, F.lit(0))
+        near = F.slice("terms", first + 1, F.lit(2 * longest + 1))
+        bits = F.aggregate(near, F.lit(0).cast("long"), lambda b, x: F.when(
+            F.get(p["words"], x["pos"] - start) == x["word"],
+            b.bitwiseOR(F.get(bit, x["pos"] - start))).otherwise(b))
+        return F.struct(p["template"].alias("template"), start.alias("start"), p["must"].alias("must"), bits.alias("bits"))
+
+    standing = F.transform("terms", lambda t, i: F.when(t["word"].isin(*sorted(set(heavy))), F.filter(
+        F.transform(F.element_at(index, t["word"]), lambda p: aligned(t, i, p)),
+        lambda m: m["bits"].bitwiseAND(m["must"]) == m["must"])))
+    met = terms.select("row_no", F.explode(F.flatten(F.filter(standing, lambda x: F.size(x) > 0))).alias("m"))
+    size = F.get(F.array(*[F.lit(len(t.words)) for t in templates]), F.col("m.template"))
+    return met.select("row_no", "m.template", "m.start", (F.bit_count("m.bits") / size).cast("double").alias("score"))
 
 
 def scan_licences(docs: DataFrame, key: str = "doc_id", text: str = "text",

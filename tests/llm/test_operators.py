@@ -183,6 +183,28 @@ def test_licence_templates(spark):
     assert got[4] == ([], 0.0) and got[5] == ([], 0.0) and got[6] == ([], 0.0)
 
 
+@pytest.mark.parametrize("extra", ["gnu", "general", "license", "version"])
+def test_licences_don_t_depend_on_what_is_rare(spark, extra):
+    """Every template whose key phrases stand in full is found, whichever of its words are frequent."""
+    texts = ["General Public License version 3", "under the General Public License, version 2.", "apache license version 2.0",
+             "GNU General Public License, version 3", "gnu general public", "mit license the mit license", "cc by nc cc by sa 4 0",
+             "License Version 3 Public", "general public license " * 50, "in source and binary forms", None]
+    everywhere = [w for w in ("gnu", "general", "license", "licensed", "apache", "mit", "nc", "sa") if w != extra]
+    rows = list(enumerate(texts)) + [(100 + i, " . ".join(reversed(everywhere))) for i in range(40)]
+    want = {}
+    for key, text in rows:
+        words, found = brute.terms(text), []
+        for t in licences.TEMPLATES:
+            for start in range(-len(t.words), len(words)):
+                met = [0 <= start + i < len(words) and words[start + i] == w for i, w in enumerate(t.words)]
+                if all(met[i] for i in range(len(met)) if t.must >> i & 1):
+                    found.append((start, start + len(met), t.label, t.base, sum(met) / len(met)))
+        want[key] = sorted(found)
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in licences.scan_licences(frame(spark, rows)).collect()}
+    assert got == want
+    assert [s[2] for s in got[0]] == ["gpl-3.0", "gpl"] and [s[2] for s in got[1]] == ["gpl-2.0", "gpl"]
+
+
 def test_toxicity_learns_and_locates(spark):
     rng = random.Random(7)
     plain = [f"word{i}" for i in range(300)]

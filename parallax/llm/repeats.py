@@ -17,7 +17,8 @@ splits by trigger and by content.
 Phrases are compared by 112 bits of rolling hashes with random byte values, strings by
 79 bits. Copies within one batch are settled there before anything is shuffled, and a
 trigger with very many different phrases in a batch (the rim of a common passage) goes
-straight to the sort by content, so no key gathers the rows of a hot passage.
+straight to the sort by content, so no key gathers the rows of a hot passage. Where keys
+repeat, equal rows of one key are taken once and what is found is joined back to all of them.
 
 The key must be an integer; rows are ordered by it, null last. Null texts count as empty.
 A string is a repeat if it also starts at a smaller key, or at the same key at a smaller
@@ -286,8 +287,14 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", hot
     # rows of one key are told apart by their content, which only repeated keys need
     version = F.xxhash64("data") if repeated else F.lit(0).cast("long")
     rows = rows.select("key", F.coalesce("key", F.lit(LAST)).alias("k"), version.alias("v"), "data")
-
-    found = rows.select("k", "v", "data").mapInArrow(
+    # equal rows have equal repeats: these are found on one of them and joined back to all, so that
+    # n copies neither gather under their phrases nor mark each other n times
+    once = rows
+    if repeated:
+        once = written(rows.groupBy("k", "v").agg(F.any_value("data").alias("data")), "repeat-texts")
+        once = once.select(F.col("k").alias("key"), "k", "v", "data")
+
+    found = once.select("k", "v", "data").mapInArrow(
         lambda b: _phrases(b, hot_at, batch_bytes), PHRASES)
     kind = F.col("at").bitwiseAND(F.lit(3 << 14))
     same = Window.partitionBy("trigger", "content").orderBy("k", F.shiftright("at", 16))
@@ -306,7 +313,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", hot
     kinds = StructType([StructField("key", LongType()), StructField("k", LongType(), False),
                         StructField("v", LongType(), False), StructField("data", BinaryType())])
     texts = rows.mapInArrow(_packed, kinds)
-    inside = marks.where(F.size("look") > 0).select("k", "v", "look").join(texts, ["k", "v"]) \
+    sources = once.mapInArrow(_packed, kinds) if repeated else texts
+    inside = marks.where(F.size("look") > 0).select("k", "v", "look").join(sources, ["k", "v"]) \
         .select("key", "k", "v", "data", "look").mapInArrow(_strings, STRINGS)
     same = Window.partitionBy("hash", F.col("at").bitwiseAND(F.lit(0x7FFF))).orderBy("k", F.shiftright("at", 16))
     inside = inside.withColumn("place", F.rank().over(same))

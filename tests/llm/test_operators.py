@@ -119,6 +119,27 @@ def test_repeats_hot_triggers(spark, hot_at, batch):
     assert got == Counter(brute.repeats(rows))
 
 
+def test_repeats_of_equal_rows_are_marked_once(spark, monkeypatch):
+    """Many copies of one row, whose phrases repeat an earlier document or share its triggers."""
+    rng = random.Random(6)
+
+    def prose(n):
+        return "".join(rng.choice("abcdefgh ") for _ in range(n))
+
+    early = prose(1500)
+    row = prose(120) + early[:700] + prose(120) + early[800:] + prose(90)
+    rows = [(1, early), (5, prose(300))] + [(9, row)] * 150 + [(9, row[:600]), (None, row)] + [(None, None)] * 3
+    tables, written = {}, repeats.written
+    monkeypatch.setattr(repeats, "written", lambda df, name: tables.setdefault(name, written(df, name)))
+    docs = frame(spark, rows).repartition(5)
+    got = Counter((r.doc_id, r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), brute.sha(bytes(r.kept)))
+                  for r in repeats.remove_repeats(docs, batch_bytes=4000).collect())
+    assert got == Counter(brute.repeats(rows))
+    for name in ("repeats", "look"):
+        marks = [list(r[0]) for r in tables["phrases"].where("k = 9").select(name).collect()]
+        assert any(marks) and all(len(m) == len(set(m)) for m in marks)
+
+
 def test_repeats_across_chunks(spark, monkeypatch):
     """Phrases cut at chunk borders still find their repeats."""
     rng = random.Random(9)

@@ -8,16 +8,15 @@ goes 99 bytes into the next. Equal strings have equal triggers, wherever they st
 Dictionary and parse. Distinct phrases are the dictionary, a phrase's occurrences in
 (document, position) order the parse. Of an equal phrase all occurrences but the first
 are repeats as a whole. Only dictionary phrases that share their trigger with a different
-phrase can hold further repeats: their suffixes, cut at 100 bytes, are sorted by content
-and then by the parse's order, and all but the first of equal ones are repeats. Ordering
-whole suffixes would tell no more, since a repeat is decided by the first 100 bytes; so
-the suffix arrays of dictionary and parse are kept only as these two sorts, which Spark
-splits by trigger and by content.
+phrase can hold further repeats: their 100-byte strings are grouped by a hash and ranked by
+(document, position), and all but the first of equal ones are repeats. No suffix arrays of
+dictionary or parse are built and nothing is sorted by content: a repeat is decided by
+exactly 100 bytes, so equality at that length, which hashes tell, replaces their order.
 
 Phrases are compared by 112 bits of rolling hashes with random byte values, strings by
 79 bits. Copies within one batch are settled there before anything is shuffled, and a
 trigger with very many different phrases in a batch (the rim of a common passage) goes
-straight to the sort by content, so no key gathers the rows of a hot passage. Where keys
+straight to its strings, so no key gathers the rows of a hot passage. Where keys
 repeat, equal rows of one key are taken once and what is found is joined back to all of them.
 
 The key must be an integer; rows are ordered by it, null last. Null texts count as empty.

@@ -34,6 +34,7 @@ TAILS = r"(/?s>|/?INST\]|</?SYS>>|</?ROLE[:>])"
 CONTROL = r"[<\[]" + TAILS
 ESCAPABLE = r"([<\[])(\\*)" + TAILS
 ESCAPED = r"([<\[])\\(\\*)" + TAILS
+BLOCK = 4096  # code points of a conversation among which the place of a span is counted off
 TURN = (r"(?s)\[INST\] .*? \[/INST\]|<s>.*?</s>|<<SYS>>\n.*?\n<</SYS>>\n"
         r"|<<ROLE:[^>]*>>\n.*?\n<</ROLE>>\n")
 
@@ -120,3 +121,23 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
     same = F.col("turns") == F.transform("source", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
     return whole.select("conv_id", "formatted", "loss_spans", "turns", "n_escaped",
                         F.coalesce(same, F.lit(False)).alias("identical"))
+
+
+def cut(text: Column, spans: Column, block: int = BLOCK) -> Column:
+    """The pieces of text at ``spans`` (code points), in their order. Each is taken from the
+    blocks it lies in, since finding a place in a string means counting from its start."""
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{block}}}"), 0)
+
+    def piece(b: Column, s: Column) -> Column:
+        first = (s["start"] / block).cast("int")
+        last = (s["end"] / block).cast("int")
+        near = F.array_join(F.slice(b, first + 1, last - first + 1), "")
+        return near.substr((s["start"] - first * block + 1).cast("int"), (s["end"] - s["start"]).cast("int"))
+
+    # blocks as a lambda's variable are made once, not for every span
+    return F.get(F.transform(F.array(blocks), lambda b: F.transform(spans, lambda s: piece(b, s))), 0)
+
+
+def loss_text(formatted: Column, loss_spans: Column) -> Column:
+    """All text under the loss mask, read off the formatted conversation and unescaped."""
+    return F.array_join(F.transform(cut(formatted, loss_spans), unescape), "")

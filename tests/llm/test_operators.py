@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import brute
-from parallax.llm import (chat, components, licences, packing, quality, repeats, secrets, simhash, toxicity, wumanber)
+from parallax.llm import (chat, components, licences, packing, quality, queries, repeats, secrets, simhash, toxicity,
+                          wumanber)
 
 
 def frame(spark, rows, schema="doc_id long, text string"):
@@ -65,6 +66,26 @@ def test_chat_spans_mark_the_assistant(spark):
     assert frame(spark, [("[INST] open",)], "t string").select(chat.parse(F.col("t"))).first()[0] is None
 
 
+def test_chat_digest_reads_the_mask(spark, monkeypatch):
+    """A mask that is off by one shows in the query's loss; pieces cross blocks and are not ASCII."""
+    rows = [(1, 0, "user", "é"), (1, 1, "assistant", "😀x</s>" * 9), (1, 2, "assistant", ""), (1, 3, "tool", "c"), (1, 4, "assistant", "d")]
+    done = chat.format_conversations(frame(spark, rows, "conv_id long, turn long, role string, text string"))
+    for block in (1, 3, 7, 4096):
+        got = done.select(chat.cut(F.col("formatted"), F.col("loss_spans"), block).alias("p"), "formatted", "loss_spans").first()
+        assert got.p == [got.formatted[s.start:s.end] for s in got.loss_spans]
+    folder = "/root/testdata/sf0.001"
+    right = {r.conv_id: r.loss_sha256 for r in queries.op1_chat_format(spark, folder).collect()}
+    formatted = chat.format_conversations
+
+    def shifted(conversations):
+        off = F.transform("loss_spans", lambda s: F.struct((s["start"] + 1).alias("start"), (s["end"] + 1).alias("end")))
+        return formatted(conversations).withColumn("loss_spans", off)
+
+    monkeypatch.setattr(chat, "format_conversations", shifted)
+    wrong = {r.conv_id: r.loss_sha256 for r in queries.op1_chat_format(spark, folder).collect()}
+    assert right.keys() == wrong.keys() and right[-1] != wrong[-1] and right != wrong
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     rng = random.Random(3)
     ids = list(range(-500, 500))

@@ -11,7 +11,8 @@ The model is fitted on a sample of at most ``most_documents`` labelled documents
 texts. Scoring reads whole texts of all documents.
 
 Null texts count as empty and score by the bias alone (no sentence: 0). Labels that are
-null are not learned from; a document with several labels is learned from once for each.
+null are not learned from. A key counts as one document however often it stands in the tables:
+one of its texts is learned from, with both labels by their shares where its labels differ.
 Without any labelled document the score is 0 everywhere. Every input row gets its own
 result row; empty tables give empty results.
 """
@@ -98,12 +99,13 @@ class Scorer:
 NO_MODEL = Model(-np.inf, {})
 
 
-def fit(texts: Sequence[str], labels: Sequence[int], rounds: int = 150, rate: float = 0.2,
-        shrink: float = 1e-4) -> Model:
+def fit(texts: Sequence[str], labels: Sequence[int], weights: Sequence[float] | None = None, *,
+        rounds: int = 150, rate: float = 0.2, shrink: float = 1e-4) -> Model:
     """Noisy-or over sentences, by Adam on the mean log loss of the documents.
 
     Words can only speak for an offence, never against one: weights stay at zero or above,
     and ``shrink`` takes a constant off them, which clears those that explain little.
+    ``weights`` say how much each example counts in the mean.
     """
     in_docs: Counter[str] = Counter()
     for t in texts:
@@ -111,6 +113,7 @@ def fit(texts: Sequence[str], labels: Sequence[int], rounds: int = 150, rate: fl
     vocabulary = {w: i for i, w in enumerate(sorted(w for w, n in in_docs.items() if n >= LEAST_DOCUMENTS))}
     keep = [i for i, t in enumerate(texts) if sentences_of(t)]
     y = np.array([labels[i] for i in keep], float)
+    share = np.ones(len(y)) if weights is None else np.array([weights[i] for i in keep], float)
     if not len(y) or y.min() == y.max():
         return NO_MODEL if not len(y) or not y.max() else Model(0.0, {})
     word, sentence, doc = array("i"), array("i"), array("i")
@@ -130,7 +133,7 @@ def fit(texts: Sequence[str], labels: Sequence[int], rounds: int = 150, rate: fl
         none = np.bincount(doc, -np.logaddexp(0, odds), len(y))
         clean = np.exp(none)
         # d loss / d log(1 - p): 1 - 1 / p for toxic documents, else 1; the sentence's odds enter it as -p
-        push = np.where(y > 0, -clean / np.maximum(1 - clean, 1e-9), 1.0) / len(y)
+        push = np.where(y > 0, -clean / np.maximum(1 - clean, 1e-9), 1.0) * share / share.sum()
         by_odds = push[doc] / (1 + np.exp(-odds))
         grad = np.concatenate((np.bincount(word, by_odds[sentence], len(vocabulary)), [by_odds.sum()]))
         grad[:-1] += shrink
@@ -144,23 +147,27 @@ def fit(texts: Sequence[str], labels: Sequence[int], rounds: int = 150, rate: fl
 def training_sample(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text",
                     usable: Column | None = None, most_documents: int = MOST_DOCUMENTS,
                     most_chars: int = MOST_CHARS) -> DataFrame:
-    """(text, label) of the sample. Picked from the labels first, so that at most
-    ``most_documents`` rows are joined to the documents, and bounded again after the join."""
+    """(text, label) of the sample, one row per key; the label is the share of its labels above 0.
+    Picked from the labels first, so that at most ``most_documents`` keys are joined to the documents.
+    Copies of a key are combined before the limit, so they take no other document's place."""
     picked = labels.select(F.col(f"`{key}`").alias("key"), F.col(f"`{label}`").cast("int").alias("label"))
     picked = picked.where(F.col("key").isNotNull() & F.col("label").isNotNull())
     if usable is not None:
         picked = picked.where(usable)
-    order = [F.xxhash64("key"), F.col("key"), F.col("label")]
-    picked = picked.orderBy(*order).limit(most_documents)
+    picked = picked.groupBy("key").agg(F.avg((F.col("label") > 0).cast("double")).alias("label"))
+    picked = picked.orderBy(F.xxhash64("key"), "key").limit(most_documents)
     rows = docs.select(F.col(f"`{key}`").alias("key"), whole_text(F.col(f"`{text}`")).alias("text"))
     rows = rows.where(F.length("text") <= most_chars).join(F.broadcast(picked), "key")
-    return rows.orderBy(*order, F.xxhash64("text")).limit(most_documents).select("text", "label")
+    first = F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))
+    rows = rows.groupBy("key", "label").agg(first.alias("first"))
+    return rows.orderBy(F.xxhash64("key"), "key").select("first.text", "label")
 
 
 def fit_sample(sample: DataFrame, **options) -> Model:
     """The model of a bounded sample, fitted on the driver."""
-    rows = sample.collect()
-    return fit([r["text"] for r in rows], [int(r["label"] > 0) for r in rows], **options)
+    rows = [(r["text"], r["label"]) for r in sample.collect()]
+    examples = [(t, y, share) for t, label in rows for y, share in ((1, label), (0, 1 - label)) if share > 0]
+    return fit([t for t, _, _ in examples], [y for _, y, _ in examples], [w for _, _, w in examples], **options)
 
 
 def score_documents(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

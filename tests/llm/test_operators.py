@@ -274,6 +274,18 @@ def test_toxicity_learns_and_locates(spark):
     assert all(w >= 0 for w in model.weights.values())
 
 
+def test_toxicity_sample_is_of_documents(spark):
+    """A key that holds most labels and most document rows takes one place of the sample."""
+    keys = [r.id for r in spark.range(60).orderBy(F.xxhash64("id")).collect()]
+    hot = keys[0]
+    docs = [(k, f"text {k}.") for k in keys] + [(hot, f"copy {i}.") for i in range(50)]
+    labels = [(k, k % 2) for k in keys if k != hot] + [(hot, 1)] * 150 + [(hot, 0)] * 50 + [(None, 1), (3, None)]
+    sample = toxicity.training_sample(frame(spark, docs), frame(spark, labels, "doc_id long, toxic int"), most_documents=20)
+    got = [(r.text, r.label) for r in sample.collect()]
+    assert [g for g in got[1:]] == [(f"text {k}.", k % 2) for k in keys[1:20]]
+    assert got[0][1] == 0.75 and toxicity.fit_sample(sample, rounds=5).bias < 0
+
+
 def test_token_ids_of_very_long_white_space():
     tokens = packing._tokens(None, None)
     for text in (" " * 1_000_000 + "x", "\n" * 300_000, "a" * 300_000, "<|endoftext|> <|endoftext|>"):

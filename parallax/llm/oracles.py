@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from parallax.llm import chat, licences, quality, secrets
+from parallax.llm import chat, licences, quality, secrets, urls
 from parallax.llm.repeats import LAST, LENGTH
 from parallax.llm.wumanber import WINDOW
 
@@ -170,5 +170,113 @@ def op10() -> str:
     FROM b"""
 
 
+def op11() -> str:
+    rules = ", ".join(f"({quoted(h)}, {quoted(p)}, {quoted(v)})" for h, p, v in urls.SAMPLE_RULES)
+    return f"""
+    WITH r(rule_host, rule_path, says) AS (VALUES {rules}),
+    u AS (
+        SELECT row_number() OVER () AS rn, page_id,
+            CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    h AS (
+        SELECT rn, page_id, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+            translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host
+        FROM u),
+    b AS (
+        SELECT rn, arg_max({{'rule': rule_host || rule_path, 'says': says}}, length(rule_host) * 1000 + length(rule_path)) AS best
+        FROM h JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY rn)
+    SELECT page_id, host, path, best.rule AS rule, coalesce(best.says, 'allow') AS verdict
+    FROM h LEFT JOIN b USING (rn)"""
+
+
+#: crc32_of(hex digits of the bytes): the table by its rule, then one look-up a byte.
+CRC32 = """crc_table AS (
+        SELECT list(list_reduce(list_concat([i], [0, 0, 0, 0, 0, 0, 0, 0]),
+            lambda c, s: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY i) AS steps
+        FROM range(256) AS r(i))"""
+
+
+def crc32_of(hexed: str, steps: str = "steps") -> str:
+    codes = f"list_transform(range(0, length({hexed}) // 2), lambda k: ('0x' || substr({hexed}, 2 * k + 1, 2))::BIGINT)"
+    return (f"xor(4294967295, list_reduce(list_concat([4294967295], {codes}), "
+            f"lambda c, b: xor(c // 256, {steps}[xor(c % 256, b) + 1])))")
+
+
+def op12() -> str:
+    """A run of period q shows in windows of w words, q <= w <= 2q (16 words for the least):
+    where a window starts inside it, the next equal window starts q words further on, and
+    such starts stand side by side from the run's first word to w + q before its end."""
+    scales, last = [], 16
+    grams = []
+    for w in (2, 4, 8, 16, 32, 64, 128, 256, 512, 1024, 2048, 4096, 8192, 16384, 32768):
+        grams.append(f"g{w} AS (SELECT rn, i, hash(h, lead(h, {w // 2}) OVER (PARTITION BY rn ORDER BY i)) AS h "
+                     f"FROM g{w // 2} WHERE n >= {w} QUALIFY i + {w} <= n)".replace("SELECT rn, i,", "SELECT rn, i, n,"))
+        if w >= 16:
+            low = 1 if w == 16 else w // 2 + 1
+            scales.append(f"""
+            SELECT rn, i, {w} AS w, lead(i) OVER (PARTITION BY rn, h ORDER BY i) - i AS q
+            FROM g{w} WHERE n >= greatest(24, {3 * low}) QUALIFY q BETWEEN {low} AND {w}""")
+    return rf"""
+    WITH {CRC32},
+    d AS (
+        SELECT row_number() OVER () AS rn, doc_id, {crc32_of("hex(encode(doc_id::VARCHAR))")} AS h,
+            regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents, crc_table),
+    a AS (SELECT *, len(ws) AS n, CASE WHEN h % 10 = 0 AND len(ws) > 0 THEN (h // 10) % len(ws) END AS a FROM d),
+    p AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM a),
+    t AS MATERIALIZED (
+        SELECT rn, doc_id, n, CASE WHEN a IS NULL THEN ws
+            ELSE list_transform(range(0, n), lambda i: ws[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) END AS ws FROM p),
+    g1 AS (SELECT rn, i - 1 AS i, n, hash(ws[i]) AS h FROM (SELECT rn, n, ws, unnest(range(1, n + 1)) AS i FROM t)),
+    {", ".join(f"{x}".replace(" AS (", " AS MATERIALIZED (", 1) for x in grams)},
+    s AS ({" UNION ALL ".join(scales)}),
+    k AS (SELECT *, i - row_number() OVER (PARTITION BY rn, w, q ORDER BY i) AS island FROM s),
+    r AS (
+        SELECT rn, min(i) AS start, max(i) - min(i) + w + q AS length, q AS period FROM k GROUP BY rn, w, q, island
+        HAVING max(i) - min(i) + w + q >= greatest(24, 3 * q)),
+    f AS (
+        SELECT rn, count(*) AS n_runs, arg_min({{'start': start, 'length': length, 'period': period}},
+                {{'e': -(length::DOUBLE / period), 'start': start, 'period': period}}) AS best,
+            string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS told FROM r GROUP BY rn),
+    gone AS (SELECT DISTINCT rn, unnest(range(start + period, start + length)) AS i FROM r),
+    c AS (
+        SELECT rn, string_agg(word, ' ' ORDER BY i) AS kept
+        FROM (SELECT rn, i - 1 AS i, ws[i] AS word FROM (SELECT rn, ws, unnest(range(1, n + 1)) AS i FROM t)) ANTI JOIN gone USING (rn, i)
+        GROUP BY rn)
+    SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.start::BIGINT AS start, best.length::BIGINT AS length,
+        best.period::BIGINT AS period, (1000 * best.length // best.period)::BIGINT AS exponent_milli,
+        sha256(coalesce(told, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+    FROM t LEFT JOIN f USING (rn) LEFT JOIN c USING (rn)"""
+
+
+def op13() -> str:
+    return f"""
+    WITH RECURSIVE {CRC32},
+    x AS (
+        SELECT doc_id, regexp_extract_all({LOWER}, '[a-zÀ-ÿ]+') AS ws FROM documents),
+    o AS (SELECT doc_id, word, count(*) AS m FROM (SELECT doc_id, unnest(ws) AS word FROM x) GROUP BY ALL),
+    h AS (SELECT word, m, {crc32_of("hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || word))")} AS h FROM o, crc_table),
+    c AS (
+        SELECT CASE WHEN h % 199 = 0 THEN substr(word, 1, h % length(word)) || substr(word, h % length(word) + 2) ELSE word END AS word, m
+        FROM h),
+    v AS (SELECT word, sum(m)::BIGINT AS n FROM c WHERE length(word) >= 6 GROUP BY word HAVING sum(m) >= 5),
+    k AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS short
+        FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)),
+    e AS (
+        SELECT a.word AS one, b.word AS two FROM k AS a JOIN k AS b ON a.i = b.i AND a.short = b.short AND a.word != b.word
+        UNION SELECT k.word, v.word FROM k JOIN v ON k.short = v.word
+        UNION SELECT v.word, k.word FROM k JOIN v ON k.short = v.word),
+    f AS (
+        SELECT one AS word, count(*) AS n_near, max(n) AS most,
+            arg_min(two, {{'less': -n, 'word': hex(encode(two))}}) AS near FROM e JOIN v ON two = v.word GROUP BY one),
+    g AS (
+        SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 5 * v.n THEN near END AS form,
+            CASE WHEN most >= 5 * v.n THEN most END AS form_n FROM v LEFT JOIN f USING (word)),
+    up AS (
+        SELECT word, word AS root FROM g
+        UNION ALL SELECT up.word, g.form FROM up JOIN g ON up.root = g.word WHERE g.form IS NOT NULL),
+    last AS (SELECT up.word, up.root FROM up JOIN g ON up.root = g.word WHERE g.form IS NULL)
+    SELECT word, n, n_near, form, form_n, root FROM g JOIN last USING (word)"""
+
+
 ORACLE = {"op1_chat_format": op1(), "op2_secret_scan": op2(), "op6_repeats": op6(), "op8_decontaminate": op8(),
-          "op9_licence_scan": op9(), "op10_quality_rules": op10()}
+          "op9_licence_scan": op9(), "op10_quality_rules": op10(), "op11_url_filter": op11(), "op12_periodic_runs": op12(),
+          "op13_spelling_variants": op13()}

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parallax.llm import bpe_count, chat, licences, packing, quality, repeats, secrets, simhash, toxicity, wumanber
-from parallax.llm.common import load
+from parallax.llm import (bpe_count, chat, licences, packing, periodic, quality, repeats, secrets, simhash, spelling,
+                          toxicity, urls, wumanber)
+from parallax.llm.common import load, white_words
 from parallax.llm.oracles import HOSTILE, ORACLE  # noqa: F401
 
 
@@ -104,6 +105,46 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                        (~F.col("base_kept")).alias("base_failed"), "kept", "failure_bits")
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(list(urls.SAMPLE_RULES), "host string, path string, verdict string")
+    return urls.judge_urls(load(spark, sf_dir, "pages"), rules)
+
+
+def looped(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): one document in ten goes round in a loop from some word on.
+
+    With h the CRC-32 of the id, divisible by ten, and g = h // 10: from word a = g % n on the
+    n words repeat those from a to a + p, p = 1 + (n - a) // (3 + g % 8). Other texts stay."""
+    rows = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    words = F.when(F.col("h") % 10 == 0, white_words(F.coalesce("text", F.lit(""))))
+    rows = rows.withColumn("words", words).withColumn("n", F.size("words")).withColumn("g", F.floor(F.col("h") / 10))
+    rows = rows.withColumn("a", (F.col("g") % F.col("n")).cast("int"))
+    rows = rows.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    left = F.col("n") - F.col("a")
+    again = F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), F.ceil(left / F.col("p")).cast("int"))
+    turned = F.concat(F.slice("words", F.lit(1), F.col("a")), F.slice(F.flatten(again), F.lit(1), left))
+    return rows.select("doc_id", F.when(F.col("n") > 0, F.array_join(turned, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.collapse_runs(looped(load(spark, sf_dir, "documents")))
+    # runs come by start, then period: the first of greatest length over period stays
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), lambda b, r: F.when(
+        r["length"] * b["period"] > b["length"] * r["period"], r).otherwise(b))
+    told = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(
+        ",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    found = found.withColumn("best", best)
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(told, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = spelling.count_words(load(spark, sf_dir, "documents"), change=spelling.drop_one)
+    return spelling.group_variants(counts)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_secret_scan": op2_secret_scan,
@@ -115,4 +156,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_licence_scan": op9_licence_scan,
     "op10_quality_rules": op10_quality_rules,
+    "op11_url_filter": op11_url_filter,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_spelling_variants": op13_spelling_variants,
 }

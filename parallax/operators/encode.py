@@ -26,13 +26,13 @@ FIRST_TOKEN_ID = 3
 # V1
 def build_vocabulary(texts: DataFrame, text_col: str = "text", min_count: int = 1) -> DataFrame:
     """(token, count, id). Counting is a partial aggregation (hot tokens are
-    combined map-side) and written once; the global rank by (count desc, token)
-    uses a bounded number of buckets, which split tokens of one count by token."""
+    combined map-side); the global rank by (count desc, token) takes one range
+    exchange of the distinct tokens."""
     toks = texts.select(F.explode(T.whitespace_tokens(text_col)).alias("token"))
     counts = toks.groupBy("token").agg(F.count(F.lit(1)).alias("count"))
     if min_count > 1:
         counts = counts.filter(F.col("count") >= min_count)
-    counts = written(counts.withColumn("_less", -F.col("count")), "token-counts")
+    counts = counts.withColumn("_less", -F.col("count"))
     ranked = sorted_positions(counts, ["_less", "token"], "_rank")
     return ranked.select("token", "count", (F.col("_rank") + FIRST_TOKEN_ID).alias("id"))
 

@@ -6,10 +6,11 @@ corrected_msa, timestamp (ISO-8601 UTC string) [+ ts parsed].
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parallax import constants as K
+from parallax.sources.io import written
 
 FEEDBACK_COLUMNS = ("egyptian_arabic", "generated_msa", "user_label", "user_rating",
                     "corrected_msa", "timestamp")
@@ -64,25 +65,93 @@ def retraining_set(train_pairs: DataFrame, feedback: DataFrame) -> DataFrame:
     high-quality output, which beats the training pair; within a kind the
     latest feedback wins (then the larger id), of equal training sources
     the smallest target.
-
-    Chosen with a grouped min over an ordering struct, which combines
-    map-side: a source repeated millions of times never lands whole in one task.
     """
+    best = best_candidates(train_candidates(train_pairs).unionByName(feedback_candidates(feedback)))
+    return best.select("src", "tgt", "origin")
+
+
+CANDIDATE = ("prio", "nts", "nid", "tgt", "origin")  # the smallest wins
+
+
+def best_candidates(candidates: DataFrame) -> DataFrame:
+    """The winning candidate per source, by a grouped min over an ordering struct, which
+    combines map-side: a source repeated millions of times never lands whole in one task."""
+    best = candidates.groupBy("src").agg(F.min(F.struct(*CANDIDATE)).alias("m"))
+    return best.select("src", *[F.col(f"m.{c}").alias(c) for c in CANDIDATE])
+
+
+def train_candidates(train_pairs: DataFrame) -> DataFrame:
+    return train_pairs.select("src", F.lit(3).alias("prio"), F.lit(0).cast("bigint").alias("nts"),
+                              F.lit(0).cast("bigint").alias("nid"), "tgt", F.lit("train").alias("origin"))
+
+
+def feedback_candidates(feedback: DataFrame) -> DataFrame:
     fb = validity_reason(feedback).filter(F.col("reason").isNull())
     ts_us = F.coalesce(F.unix_micros(F.col("ts")), F.lit(0))
-    corr = corrections(fb).select(
-        F.col("egyptian_arabic").alias("src"), F.col("corrected_msa").alias("tgt"),
-        F.lit(1).alias("prio"), (-ts_us).alias("nts"), (-F.col("event_id")).alias("nid"),
-        F.lit("correction").alias("origin"))
+    order = [(-ts_us).alias("nts"), (-F.col("event_id")).alias("nid")]
+    corr = corrections(fb).select(F.col("egyptian_arabic").alias("src"), F.lit(1).alias("prio"), *order,
+                                  F.col("corrected_msa").alias("tgt"), F.lit("correction").alias("origin"))
     conf = high_quality(fb).filter(F.col("user_label") == K.LABEL_CORRECT).select(
-        F.col("egyptian_arabic").alias("src"), F.col("generated_msa").alias("tgt"),
-        F.lit(2).alias("prio"), (-ts_us).alias("nts"), (-F.col("event_id")).alias("nid"),
-        F.lit("confirmed").alias("origin"))
-    base = train_pairs.select("src", "tgt", F.lit(3).alias("prio"), F.lit(0).cast("bigint").alias("nts"),
-                              F.lit(0).cast("bigint").alias("nid"), F.lit("train").alias("origin"))
-    allrows = corr.unionByName(conf).unionByName(base)
-    best = allrows.groupBy("src").agg(F.min(F.struct("prio", "nts", "nid", "tgt", "origin")).alias("m"))
-    return best.select("src", F.col("m.tgt").alias("tgt"), F.col("m.origin").alias("origin"))
+        F.col("egyptian_arabic").alias("src"), F.lit(2).alias("prio"), *order,
+        F.col("generated_msa").alias("tgt"), F.lit("confirmed").alias("origin"))
+    return corr.unionByName(conf)
+
+
+class RetrainingTable:
+    """The retraining set as a table that grows by micro-batches of feedback.
+
+    Below ``path`` stand the winning candidates by bucket of their source and a ledger of
+    the micro-batches merged so far. A merge reads only batches that the ledger lacks,
+    rewrites only buckets that one of their sources falls in, and enters them in the ledger
+    last: a merge that broke off is done again from the start, and merging a candidate
+    twice changes nothing.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+        self.spark, self.path, self.buckets = spark, path, buckets
+
+    def _read(self, name: str, schema: str) -> DataFrame:
+        """A part of the table; one that no merge has written yet is empty."""
+        spark, path = self.spark, f"{self.path}/{name}"
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+        return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+
+    def candidates(self) -> DataFrame:
+        return self._read("best", "src string, prio int, nts bigint, nid bigint, tgt string, origin string, bucket int")
+
+    def merged_batches(self) -> DataFrame:
+        return self._read("ledger", "batch_id bigint").distinct()
+
+    def rows(self) -> DataFrame:
+        return self.candidates().select("src", "tgt", "origin")
+
+    def _merge(self, fresh: DataFrame) -> int:
+        """Buckets rewritten with the fresh candidates."""
+        bucket = F.pmod(F.xxhash64("src"), F.lit(self.buckets)).cast("int")
+        fresh = written(best_candidates(fresh).withColumn("bucket", bucket), "fresh")
+        touched = [r[0] for r in fresh.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+        if not touched:
+            return 0
+        old = self.candidates().where(F.col("bucket").isin(touched))
+        both = best_candidates(old.unionByName(fresh).drop("bucket")).withColumn("bucket", bucket)
+        # written aside first: it is read from the folders that are about to be replaced
+        both = written(both, "merged")
+        both.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(
+            f"{self.path}/best")
+        return len(touched)
+
+    def merge_pairs(self, train_pairs: DataFrame) -> int:
+        """Training pairs, which are in no ledger: merging them again changes nothing."""
+        return self._merge(train_candidates(train_pairs))
+
+    def merge_feedback(self, feedback: DataFrame) -> tuple[int, int]:
+        """Feedback rows with their ``batch_id`` > (batches merged, buckets rewritten)."""
+        unseen = written(feedback.select("batch_id").distinct().join(self.merged_batches(), "batch_id", "left_anti"), "unseen")
+        fresh = feedback.join(unseen, "batch_id", "left_semi")
+        touched = self._merge(feedback_candidates(fresh))
+        unseen.write.mode("append").parquet(f"{self.path}/ledger")
+        return unseen.count(), touched
 
 
 # ST3 (batch or stream)

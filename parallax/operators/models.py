@@ -66,12 +66,15 @@ class BigramLM:
         if from_index is not None:
             ex = ex.filter(F.col("b.i") >= F.col("_from"))
         ex = ex.select(*keys, F.col("b.v").alias("v"), F.col("b.w").alias("w"))
-        j = (ex.join(self.pair_counts, ["v", "w"], "left")
-               .join(self.context_counts, ["v"], "left"))
+        return self.log_probability(ex, "_lp").groupBy(*keys).agg(
+            F.avg(-F.col("_lp")).alias("row_loss"), F.count(F.lit(1)).alias("n_scored"))
+
+    def log_probability(self, pairs: DataFrame, out: str) -> DataFrame:
+        """pairs with columns v and w, and the log probability of w after v."""
+        j = pairs.join(self.pair_counts, ["v", "w"], "left").join(self.context_counts, ["v"], "left")
         p = ((F.coalesce("c_vw", F.lit(0)) + self.k)
              / (F.coalesce("c_v", F.lit(0)) + self.k * self.vocab_size))
-        return j.groupBy(*keys).agg(F.avg(-F.log(p)).alias("row_loss"),
-                                  F.count(F.lit(1)).alias("n_scored"))
+        return j.withColumn(out, F.log(p)).drop("c_vw", "c_v")
 
 
 # M4 --------------------------------------------------------------------------

@@ -11,6 +11,8 @@ task. Here the order is cut into coarse, order-preserving buckets:
 
 The count table is derived from the same exchange as the numbered rows, so
 Spark reuses that shuffle instead of scanning the input twice.
+
+Where the order has no such buckets of its own, one range exchange makes them.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parallax import constants as K
+from parallax.sources.io import written
 
 
 def ordered_positions(df: DataFrame, order_by: Sequence[Column], bucket_cols: Sequence[str],
@@ -92,12 +95,34 @@ def order_bucket(df: DataFrame, order_by: Sequence[str], buckets: int = BUCKETS,
     return sum(((b < own).cast("int") for b in bounds), F.lit(0))
 
 
-def sorted_positions(df: DataFrame, order_by: Sequence[str], out: str = "pos", **options) -> DataFrame:
-    """0-based position of each row in the ascending order of columns, over at most
-    ``BUCKETS`` buckets of about the same size. df is read twice: a costly one
-    should be written first."""
-    bucketed = df.withColumn("_ob", order_bucket(df, order_by))
-    return ordered_positions(bucketed, [F.col(c) for c in order_by], ["_ob"], out=out, **options).drop("_ob")
+IN_PARTITION = (1 << 33) - 1  # the bits of a monotonically increasing id below its partition's number
+
+
+def sorted_positions(df: DataFrame, order_by: Sequence[str], out: str = "pos", weight_col: str | None = None,
+                     size_col: str | None = None) -> DataFrame:
+    """0-based position of each row in the ascending order of columns.
+
+    Rows go through one range exchange, are sorted and numbered within their partitions
+    and written to the shared folder with these numbers; what precedes a partition is
+    added from a table with one row per partition. With ``weight_col`` (see
+    ``ordered_positions``) rows are numbered in at most ``BUCKETS`` buckets; df is then read
+    twice: a costly one should be written first."""
+    if weight_col:
+        bucketed = df.withColumn("_ob", order_bucket(df, order_by))
+        return ordered_positions(bucketed, [F.col(c) for c in order_by], ["_ob"], out=out, weight_col=weight_col,
+                                 size_col=size_col).drop("_ob")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col(c).asc_nulls_first() for c in order_by]
+    numbered = written(df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+                       .withColumn("_id", F.monotonically_increasing_id()), "sorted")
+    numbered = numbered.withColumn("_part", F.shiftright("_id", 33))
+    sizes = numbered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per partition
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
+                           *([F.sum("_n").over(Window.partitionBy()).alias(size_col)] if size_col else []))
+    return (numbered.join(F.broadcast(offsets), "_part")
+            .withColumn(out, F.col("_off") + F.col("_id").bitwiseAND(F.lit(IN_PARTITION))).drop("_id", "_part", "_off"))
 
 
 # G1 ------------------------------------------------------------------------

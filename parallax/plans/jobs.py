@@ -9,7 +9,9 @@ training and evaluation steps hand over files.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from parallax.functions import text as T
@@ -22,25 +24,52 @@ from parallax.operators import positional as G
 from parallax.sources import io as IO
 
 
+def write_curated_splits(spark: SparkSession, raw: DataFrame, path: str, key: str = "pair_id",
+                         cols: Sequence[str] = ("src", "tgt"), normalize: bool = False,
+                         hard_drop_english: bool = False) -> tuple[DataFrame, DataFrame]:
+    """raw > clean/flag > split > written by split; with the stage counts (A1) of that job.
+
+    The counts are observed while the jobs run that write: the cleaned rows once, which reads
+    the input once, then the splits. Should executors have been lost, tasks that ran again are
+    observed again; then the observed rows are more than the table's, and the counts are
+    taken from the tables instead."""
+    seen, clean, made = Observation("raw"), Observation("cleaned"), Observation("splits")
+    curated = C.preprocess_pairs(raw.observe(seen, F.count(F.lit(1)).alias("raw")), normalize, hard_drop_english, cols)
+    curated = IO.written(curated.observe(clean, F.count(F.lit(1)).alias("cleaned"), F.count_if("mostly_english").alias("flagged")),
+                         "curated")
+    splits = G.split_dataset(curated, key)
+    names = ("train", "dev", "test")
+    IO.save_splits(splits.observe(made, *[F.count_if(F.col("split") == n).alias(n) for n in names]), path)
+    written = spark.read.schema(splits.schema).parquet(path)
+    n = {**seen.get, **clean.get, **made.get}
+    if not written.count() == n["cleaned"] == sum(n[s] for s in names):
+        return written, M.stage_counts(raw, written)
+    stages = [(s, n[s]) for s in ("raw", "cleaned", "flagged", *names) if s not in names or n[s]]
+    return written, spark.createDataFrame(stages, "stage string, n bigint")
+
+
+def curate_file(spark: SparkSession, raw_csv: str, out_dir: str, normalize: bool = False,
+                avoid_equal_text: bool = False, multi_line: bool = True) -> dict[str, DataFrame]:
+    """The curation entry from a path: the raw CSV of pairs > row keys > ``prepare_corpus``."""
+    raw = IO.with_row_key(IO.load_raw(spark, raw_csv, multi_line=multi_line))
+    return prepare_corpus(spark, IO.written(raw, "raw"), out_dir, normalize, avoid_equal_text)
+
+
 def prepare_corpus(spark: SparkSession, raw: DataFrame, out_dir: str, normalize: bool = False,
                    avoid_equal_text: bool = False) -> dict[str, DataFrame]:
     """raw (pair_id, src, tgt) > clean/flag > split > write ``generation``;
     read it back > detection examples > write ``detection``.
 
     Both tables are partitioned by split, so a reader of one split prunes
-    the others. Returns the written tables and the stage counts."""
-    curated = C.preprocess_pairs(raw, normalize=normalize)
-    splits = G.split_dataset(curated, "pair_id")
-    gen_path = f"{out_dir}/generation"
-    IO.save_splits(splits.select("pair_id", "src", "tgt", "mostly_english", "split",
-                                 "split_pos", "split_n"), gen_path)
-    generation = spark.read.parquet(gen_path)
+    the others. Returns the written tables, the stage counts and the rows per split."""
+    generation, counts = write_curated_splits(spark, raw.select("pair_id", "src", "tgt"), f"{out_dir}/generation",
+                                              normalize=normalize)
     det_path = f"{out_dir}/detection"
     examples = P.build_detection_examples(generation, avoid_equal_text=avoid_equal_text)
     IO.save_splits(examples, det_path)
     detection = spark.read.parquet(det_path)
     stats = M.dataset_statistics(generation, detection)
-    return {"generation": generation, "detection": detection, "statistics": stats}
+    return {"generation": generation, "detection": detection, "counts": counts, "statistics": stats}
 
 
 def evaluate_generation(spark: SparkSession, generation: DataFrame, out_dir: str) -> dict[str, DataFrame]:

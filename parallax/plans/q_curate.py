@@ -12,7 +12,9 @@ from parallax.operators.metrics import stage_counts
 from parallax.plans import inputs as I
 from parallax.plans import sqlfrag as S
 from parallax.plans.q_sample import CURATED, curated_pairs
+from parallax.plans.jobs import write_curated_splits
 from parallax.plans.registry import query
+from parallax.sources.io import scratch_path
 
 RAW_PAIRS = """raw_pairs AS (
   SELECT u.conv_id || ':' || u.turn AS pair_id, u.text AS src, a.text AS tgt
@@ -79,3 +81,10 @@ def a01(spark, sf):
     raw = I.table(spark, sf, "documents").select("doc_id", "text")
     cur = C.preprocess_pairs(raw, cols=["text"])
     return stage_counts(raw, G.split_dataset(cur, "doc_id"))
+
+
+@query("a01_observed_counts", A1_SQL)
+def a01_observed(spark, sf):
+    """The counts as the job that cleans, splits and writes the documents observes them."""
+    raw = I.table(spark, sf, "documents").select("doc_id", "text")
+    return write_curated_splits(spark, raw, scratch_path(spark, "curated"), "doc_id", ["text"])[1]

@@ -9,7 +9,7 @@ from parallax.plans import inputs as I
 from parallax.plans import sqlfrag as S
 from parallax.plans.q_sample import SPLIT, split_pairs
 from parallax.plans.registry import query
-from parallax.sources.io import load_feedback
+from parallax.sources.io import load_feedback, scratch_path, written
 
 
 def feedback(spark, sf):
@@ -77,7 +77,7 @@ def st3(spark, sf):
     return s.select(F.unix_micros("day_start").alias("day_start_us"), "n", "mean_rating", "incorrect_rate")
 
 
-@query("g08_retraining_set",
+G08_SQL = (
        S.with_(SPLIT.replace("WITH ", "") + ",\n" + REASON_SQL) + """,
 cand AS (
   SELECT egyptian_arabic AS src, corrected_msa AS tgt, 1 AS prio, -epoch_us(ts) AS nts, -event_id AS nid,
@@ -90,6 +90,21 @@ cand AS (
 SELECT src, tgt, origin FROM (
   SELECT *, row_number() OVER (PARTITION BY src ORDER BY prio, nts, nid, tgt, origin) AS rn FROM cand)
 WHERE rn = 1""")
+
+
+@query("g08_retraining_set", G08_SQL)
 def g08(spark, sf):
     train = split_pairs(spark, sf).filter(F.col("split") == "train")
     return FB.retraining_set(train, feedback(spark, sf))
+
+
+@query("g08_retraining_increments", G08_SQL)
+def g08_increments(spark, sf):
+    """The set as a table that takes the training pairs, then feedback by micro-batches: the
+    second merge is given all batches and takes those it has not seen."""
+    table = FB.RetrainingTable(spark, scratch_path(spark, "retraining"))
+    table.merge_pairs(split_pairs(spark, sf).filter(F.col("split") == "train"))
+    batched = written(feedback(spark, sf).withColumn("batch_id", F.col("event_id") % 4), "batches")
+    table.merge_feedback(batched.where("batch_id < 2"))
+    table.merge_feedback(batched)
+    return table.rows()

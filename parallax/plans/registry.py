@@ -26,6 +26,6 @@ def query(name: str, sql: str | None = None) -> Callable[[QueryFn], QueryFn]:
 
 def load_all() -> None:
     """Import every query module so its registrations run."""
-    from parallax.plans import (q_curate, q_encode, q_feedback, q_metrics,  # noqa: F401
+    from parallax.plans import (q_curate, q_encode, q_feedback, q_learn, q_metrics,  # noqa: F401
                                 q_models, q_overlap, q_runs, q_sample, q_scoring,
                                 q_sources, q_streaming, q_text)

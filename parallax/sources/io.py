@@ -10,8 +10,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from parallax.functions import text as T
 from parallax.session import checkpoint_dir
@@ -56,6 +57,46 @@ def load_raw(spark: SparkSession, path: str, columns: Sequence[str] = ("egyptian
                        for c, r in zip(columns, rename)])
 
 
+BROKEN = "_corrupt_record"
+
+
+def csv_with_quarantine(spark: SparkSession, path: str, columns: Sequence[str],
+                        na_values: Sequence[str] = NA_VALUES) -> tuple[DataFrame, DataFrame]:
+    """(good rows, broken ones) of a CSV file with a header, one record a line.
+
+    A line is broken if it has more or fewer cells than the header, or a quote that is not
+    closed on it; it comes back whole as ``record``. Columns are bound by name; a header
+    that lacks one is an error. Lines equal to the first file's header are headers; empty
+    lines are no records. Both parts are read from one written table."""
+    names = spark.read.option("header", True).csv(path).columns
+    missing = [c for c in columns if c not in names]
+    if missing:
+        raise ValueError(f"CSV must have columns {list(columns)}; missing {missing}")
+    lines = spark.read.text(path).select(F.regexp_replace("value", "^\ufeff", "").alias("line"))
+    first = lines.first()
+    lines = lines.where((F.col("line") != (first["line"] if first else "")) & (F.length("line") > 0))
+    cells = ", ".join(f"c{i} string" for i in range(len(names)))
+    parsed = F.from_csv("line", f"{cells}, {BROKEN} string", {
+        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": BROKEN, "escape": '"'})
+    rows = lines.select("line", parsed.alias("r")).select(*[F.col(f"r.c{i}").alias(n) for i, n in enumerate(names)], F.when(
+        F.col(f"r.{BROKEN}").isNotNull() | (F.length(F.regexp_replace("line", '[^"]', "")) % 2 == 1), F.col("line")).alias(BROKEN))
+    return _parted(rows, [F.when(~F.col(c).isin(list(na_values)), F.col(c)).alias(c) for c in columns])
+
+
+def json_with_quarantine(spark: SparkSession, path: str, schema: StructType) -> tuple[DataFrame, DataFrame]:
+    """(good rows, broken ones) of a file of JSON lines; a line that is no object, or whose
+    values don't fit the schema, comes back whole as ``record``."""
+    rows = (spark.read.schema(StructType([*schema.fields, StructField(BROKEN, StringType())]))
+            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BROKEN).json(path))
+    return _parted(rows, [F.col(f"`{f.name}`") for f in schema.fields])
+
+
+def _parted(rows: DataFrame, columns: Sequence[Column]) -> tuple[DataFrame, DataFrame]:
+    # written with all its columns: a record counts as broken only where all are parsed
+    read = written(rows.withColumnRenamed(BROKEN, "record"), "quarantine")
+    return read.where("record is null").select(*columns), read.where("record is not null").select("record")
+
+
 def with_row_key(df: DataFrame, columns: Sequence[str] = ("src", "tgt"), out: str = "pair_id") -> DataFrame:
     """A key per row that depends on content only: the hash of the columns, and "-ordinal"
     among equal rows.

@@ -1,14 +1,15 @@
 """Structured Streaming jobs (ST1-ST3).
 
-Each stream applies the *same* DataFrame functions as the batch queries:
-stateless projections run on the stream itself; work that needs a join and a
-regroup (scoring) runs per micro-batch in ``foreachBatch``; the only state is
-ST3's de-duplication and daily windows, bounded by a watermark.
-Sinks and checkpoints live under caller-given (shared) paths.
+Each stream applies the *same* DataFrame functions as the batch queries.
+Requests are answered within the row while the lexicon is small enough to be
+broadcast, as a stateless append; beyond that a join and a regroup run per micro-batch
+in ``foreachBatch``. The only state is ST3's de-duplication and daily windows,
+bounded by a watermark. Sinks and checkpoints live under caller-given (shared) paths.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +17,9 @@ from parallax.functions import text as T
 from parallax.operators import curate as C
 from parallax.operators import feedback as FB
 from parallax.operators import models as MD
+from parallax.sources.io import written
 
+LEXICON_BYTES = 64 << 20  # what a broadcast lexicon may take in a worker
 
 def write_batch(batch: DataFrame, out_dir: str, batch_id: int, *partitions: str) -> None:
     """A micro-batch into its own ``batch_id=`` folder, in place of what an earlier try left there."""
@@ -32,24 +35,63 @@ def prepare_requests(requests: DataFrame, text_col: str = "slang") -> DataFrame:
              .withColumn("prompt", T.generation_prompt("clean", quoted=True)))
 
 
-def answer_requests(prepared: DataFrame, key: str, lexicon: DataFrame) -> DataFrame:
+def answer_requests(prepared: DataFrame, key: str, lexicon: DataFrame,
+                    lexicon_bytes: int = LEXICON_BYTES) -> DataFrame:
     """Score valid requests (M2) and keep errors as a column: one output row
     per request with ``formal`` or ``error``."""
+    shared = shared_lexicon(lexicon, lexicon_bytes)
+    if shared is not None:
+        return answer_in_row(prepared, key, shared)
     # errors ride along as rows without tokens: one regroup by key, no join back
     rows = prepared.select(key, F.when(F.col("error").isNull(), F.col("clean")).alias("src"), "error")
     gen = MD.generate(rows, key, lexicon, "src", "formal", keep=["error"])
     return gen.select(key, F.when(F.col("error").isNull(), F.col("formal")).alias("formal"), "error")
 
 
-def start_request_stream(spark: SparkSession, source_dir: str, schema, key: str, lexicon: DataFrame,
-                         out_dir: str, checkpoint: str, available_now: bool = True):
-    stream = spark.readStream.schema(schema).parquet(source_dir)
-    prepared = prepare_requests(stream)
+def shared_lexicon(lexicon: DataFrame, most_bytes: int = LEXICON_BYTES):
+    """The lexicon as a broadcast (s > t) if its words take at most ``most_bytes``, else None."""
+    words = lexicon.where(F.col("s").isNotNull()).select("s", "t")
+    words = written(words, "lexicon")
+    size = words.agg(F.sum(F.octet_length("s") + F.octet_length(F.coalesce("t", "s")) + 128)).first()[0] or 0
+    if size > most_bytes:
+        return None
+    return lexicon.sparkSession.sparkContext.broadcast({r["s"]: r["t"] for r in words.collect() if r["t"] is not None})
+
+
+def answer_in_row(prepared: DataFrame, key: str, shared) -> DataFrame:
+    """Each request answered on its own, without a shuffle: what a stateless stream can append."""
+    rows = prepared.select(key, F.when(F.col("error").isNull(), T.whitespace_tokens("clean")).alias("tokens"),
+                           F.when(F.col("error").isNull(), F.col("prompt")).alias("prompt"), "error")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
 
-    def score_batch(batch: DataFrame, batch_id: int) -> None:
-        write_batch(answer_requests(batch, key, lexicon), out_dir, batch_id)
+    def translated(batches):
+        words = shared.value
+        for batch in batches:
+            made = [None if t is None else " ".join([words.get(w, w) for w in t]) for t in batch.column(1).to_pylist()]
+            yield batch.set_column(1, "said", pa.array(made, pa.string()))
 
-    w = prepared.writeStream.foreachBatch(score_batch).option("checkpointLocation", checkpoint)
+    out = rows.mapInArrow(translated, f"`{key}` {kinds[key]}, said string, prompt string, error string")
+    formal = T.postprocess_completion(F.concat("prompt", "said"), F.col("prompt"))
+    return out.select(key, F.when(F.col("error").isNull(), formal).alias("formal"), "error")
+
+
+def start_request_stream(spark: SparkSession, source_dir: str, schema, key: str, lexicon: DataFrame,
+                         out_dir: str, checkpoint: str, available_now: bool = True,
+                         max_files_per_trigger: int | None = None, lexicon_bytes: int = LEXICON_BYTES):
+    """Requests to answers: a stateless append while the lexicon can be broadcast, else per micro-batch."""
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    prepared = prepare_requests(reader.parquet(source_dir))
+    shared = shared_lexicon(lexicon, lexicon_bytes)
+    if shared is not None:
+        w = answer_in_row(prepared, key, shared).writeStream.outputMode("append").format("parquet").option("path", out_dir)
+    else:
+        def score_batch(batch: DataFrame, batch_id: int) -> None:
+            write_batch(answer_requests(batch, key, lexicon, lexicon_bytes), out_dir, batch_id)
+
+        w = prepared.writeStream.foreachBatch(score_batch)
+    w = w.option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if available_now else w).start()
 
 

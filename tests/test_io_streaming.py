@@ -103,3 +103,58 @@ def test_request_stream_matches_batch(spark, tmp_dir):
     batch = sorted((r.doc_id, r.formal, r.error) for r in ST.answer_requests(ST.prepare_requests(docs), "doc_id", lex).collect())
     assert streamed == batch
     assert [e for d, _, e in streamed if d == -1][0] is not None
+
+
+def test_request_stream_is_stateless_or_per_batch(spark, tmp_dir):
+    """A lexicon that is too large to be broadcast is joined; answers are the same, and a
+    restart from the checkpoint adds nothing."""
+    docs = I.table(spark, SF_SMALL, "documents").select("doc_id", F.col("text").alias("slang"))
+    src = os.path.join(tmp_dir, "req2")
+    docs.repartition(3).write.parquet(src)
+    lex = spark.createDataFrame([("the", "ال"), ("of", None), (None, "x")], "s string, t string")
+    answers = []
+    for name, most in (("row", 1 << 20), ("join", 0)):
+        out, ck = os.path.join(tmp_dir, name), os.path.join(tmp_dir, "ck-" + name)
+        for _ in range(2):
+            ST.start_request_stream(spark, src, docs.schema, "doc_id", lex, out, ck, max_files_per_trigger=1,
+                                    lexicon_bytes=most).awaitTermination(120)
+        rows = spark.read.parquet(out).select("doc_id", "formal", "error").collect()
+        answers.append(sorted(rows, key=repr))
+        assert len(rows) == docs.count()
+    assert answers[0] == answers[1]
+    prepared = ST.prepare_requests(docs)
+    plan = ST.answer_in_row(prepared, "doc_id", ST.shared_lexicon(lex))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
+
+
+def test_retraining_table_grows_by_batches(spark, tmp_dir):
+    fb = FB.with_event_time(I.evt_feedback(spark, SF_SMALL)).withColumn("batch_id", F.col("event_id") % 5)
+    pairs = spark.createDataFrame([("u1", "one"), ("u1", "on"), ("only", "here")], "src string, tgt string")
+    table = FB.RetrainingTable(spark, os.path.join(tmp_dir, "retraining"), buckets=8)
+    assert table.rows().count() == 0
+    assert table.merge_pairs(pairs) >= 1
+    assert table.merge_feedback(fb.where("batch_id in (0, 3)"))[0] == 2
+    assert table.merge_feedback(fb)[0] == 3
+    assert table.merge_feedback(fb) == (0, 0)  # nothing unseen, nothing rewritten
+    one = table.merge_feedback(fb.where("event_id = 4").withColumn("batch_id", F.lit(99).cast("long")))
+    assert one == (1, 1)  # merging known rows again changes nothing, one bucket is rewritten
+    whole = FB.retraining_set(pairs, fb)
+    assert sorted(table.rows().collect()) == sorted(whole.collect())
+
+
+def test_quarantine_keeps_every_line(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "broken.csv")
+    with open(path, "w", encoding="utf-8") as f:
+        f.write('b,a\n1,x\n2\n3,y,z\n4,"open\n5,"q ""r"""\nNA,\n')
+    good, bad = IO.csv_with_quarantine(spark, path, ["a", "b"])
+    assert sorted(map(tuple, good.collect()), key=repr) == [('q "r"', "5"), ("x", "1"), (None, None)]
+    assert sorted(r.record for r in bad.collect()) == ["2", "3,y,z", '4,"open']
+    with pytest.raises(ValueError):
+        IO.csv_with_quarantine(spark, path, ["c"])
+    path = os.path.join(tmp_dir, "broken.json")
+    with open(path, "w") as f:
+        f.write('{"a":1,"s":"x"}\n{"a":"no","s":"y"}\n{"a":2\n[1]\n{"s":"only"}\n')
+    schema = spark.createDataFrame([], "a long, s string").schema
+    good, bad = IO.json_with_quarantine(spark, path, schema)
+    assert sorted(map(tuple, good.collect()), key=repr) == [(1, "x"), (None, "only")]
+    assert len(bad.collect()) == 3

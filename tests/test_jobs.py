@@ -5,7 +5,10 @@ from pyspark.sql import functions as F
 import __spark_entry__ as E
 from conftest import SF_SMALL
 from parallax.plans import inputs as I
-from parallax.plans.jobs import evaluate_generation, prepare_corpus
+from parallax.operators import curate as C
+from parallax.operators import metrics as M
+from parallax.operators import positional as G
+from parallax.plans.jobs import curate_file, evaluate_generation, prepare_corpus, write_curated_splits
 
 
 def test_prepare_then_evaluate(spark, tmp_dir):
@@ -21,3 +24,30 @@ def test_prepare_then_evaluate(spark, tmp_dir):
     assert ev["scores"].count() == n_test
     assert 0.0 <= ev["corpus_chrf"].first().chrf <= 100.0
     assert ev["mean_median"].first().median is not None
+
+
+def test_counts_are_observed_in_the_writing_job(spark, tmp_dir):
+    """One read of the input, the counts of ``stage_counts``."""
+    raw = I.table(spark, SF_SMALL, "documents").select("doc_id", "text")
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    _, counts = write_curated_splits(spark, raw.mapInArrow(counted, raw.schema), tmp_dir + "/splits", "doc_id", ["text"])
+    assert reads.value == raw.count()
+    want = M.stage_counts(raw, G.split_dataset(C.preprocess_pairs(raw, cols=["text"]), "doc_id"))
+    assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_curate_from_a_path(spark, tmp_dir):
+    path = tmp_dir + "/raw.csv"
+    with open(path, "w", encoding="utf-8-sig") as f:
+        f.write("formal_arabic,egyptian_arabic\n" + "".join(f"f{i},e {i}\n" for i in range(20)) + "NA,x\n")
+    out = curate_file(spark, path, tmp_dir + "/out")
+    counts = {r.stage: r.n for r in out["counts"].collect()}
+    assert counts == {"raw": 21, "cleaned": 20, "flagged": 0, "train": 16, "dev": 2, "test": 2}
+    assert out["detection"].count() == 40
+    assert {(r.src[0], r.tgt[0]) for r in out["generation"].collect()} == {("e", "f")}

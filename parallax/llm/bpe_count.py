@@ -28,7 +28,10 @@ from pyspark.sql import functions as F
 from parallax.llm.common import whole_text
 
 SPACE = "▁"
-CACHE_UNITS = 1_000_000  # remembered units per worker; memory only, counts don't depend on it
+# What a worker remembers: units of so many characters, and so many characters in all. Memory
+# only, counts don't depend on it.
+CACHED_UNIT = 64
+CACHED_CHARS = 8_000_000
 
 
 class PieceCounter(dict):
@@ -36,6 +39,7 @@ class PieceCounter(dict):
 
     def __init__(self, model_path: str):
         super().__init__()
+        self.held = 0  # characters
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=model_path)
@@ -57,12 +61,16 @@ class PieceCounter(dict):
         return SPACE + text.replace(" ", SPACE) if self.plain else self.model.normalize(text)
 
     def count(self, text: str) -> int:
-        if len(self) > CACHE_UNITS:
-            self.clear()
         return sum(map(self.__getitem__, self.units.findall(self.normalised(text))))
 
     def __missing__(self, unit: str) -> int:
-        n = self[unit] = self.merged(unit)
+        n = self.merged(unit)
+        if len(unit) <= CACHED_UNIT:
+            if self.held + len(unit) > CACHED_CHARS:
+                self.clear()
+                self.held = 0
+            self[unit] = n
+            self.held += len(unit)
         return n
 
     def merged(self, unit: str) -> int:

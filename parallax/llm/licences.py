@@ -1,6 +1,7 @@
 """Licence scans over a positional rare-token index.
 
-A template is a short run of licence words with mandatory key phrases. The index
+A template is a run of up to 63 words, a licence's name or the notice that files carry, with
+mandatory key phrases; what else of it stands at its place makes its score. The index
 holds, per licence word, its postings (template, position in the template). Of a
 file only the licence words and their positions are read off. Each template is
 looked up by the word of its key phrases that is rarest in the corpus (highest IDF).
@@ -35,6 +36,10 @@ class Template:
     key_phrases: tuple[str, ...]
     base: bool = False
 
+    def __post_init__(self):
+        if len(self.words) > 63:
+            raise ValueError("a template's places are the bits of a long: 63 words at most")
+
     @property
     def words(self) -> tuple[str, ...]:
         return tuple(self.text.split())
@@ -80,10 +85,41 @@ MORE: tuple[Template, ...] = (
     phrase("isc", "permission to use copy modify and or distribute this software"),
     phrase("public-domain", "released into the public domain"),
 )
-TEMPLATES = BASE + MORE
+# The notices that the licences ask files to carry, as words.
+NOTICES: tuple[Template, ...] = (
+    Template("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in "
+             "compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0",
+             ("apache license version 2 0", "in compliance with the license")),
+    Template("gpl-3.0-or-later", "this program is free software you can redistribute it and or modify it under the terms of "
+             "the gnu general public license as published by the free software foundation either version 3 of the license "
+             "or at your option any later version",
+             ("gnu general public license", "either version 3 of the license")),
+    Template("gpl-2.0-or-later", "this program is free software you can redistribute it and or modify it under the terms of "
+             "the gnu general public license as published by the free software foundation either version 2 of the license "
+             "or at your option any later version",
+             ("gnu general public license", "either version 2 of the license")),
+    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and "
+             "associated documentation files the software to deal in the software without restriction including without "
+             "limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software",
+             ("permission is hereby granted free of charge", "to deal in the software without restriction")),
+    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided "
+             "that the following conditions are met redistributions of source code must retain the above copyright notice "
+             "this list of conditions and the following disclaimer",
+             ("redistribution and use in source and binary forms", "must retain the above copyright notice")),
+    Template("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the "
+             "mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0",
+             ("mozilla public license v 2 0", "you can obtain one at")),
+    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is "
+             "hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+             ("distribute this software for any purpose", "this permission notice appear in all copies")),
+    Template("cc-by-sa", "this work is licensed under the creative commons attribution sharealike 4 0 international license "
+             "to view a copy of this license visit http creativecommons org licenses by sa 4 0",
+             ("creative commons attribution sharealike", "to view a copy of this license")),
+)
+TEMPLATES = BASE + MORE + NOTICES
 # Words too common in prose to look anything up by.
-COMMON = frozenset("0 2 3 4 a all and by copy forms free in into is of or public released source the this to under "
-                   "use version".split())
+COMMON = frozenset("0 2 3 4 a all and any at by can copy file for forms free if in into is may not of one or public "
+                   "released source that the this to under use v version was with without you your".split())
 
 
 def index_words(templates: Sequence[Template]) -> list[str]:

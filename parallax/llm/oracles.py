@@ -64,27 +64,27 @@ def op2() -> str:
 
 
 def op6() -> str:
-    """Every string of every document by its MD5; bytes as pairs of hex digits."""
+    """Every string of every document by its MD5, bytes as pairs of hex digits; starts of
+    repeats merge where they touch, and what is kept stands between the merged spans."""
     return f"""
-    WITH d AS (
+    WITH d AS MATERIALIZED (
         SELECT row_number() OVER () AS rn, doc_id, coalesce(doc_id, {LAST}) AS k,
             hex(encode(coalesce(text, ''))) AS h FROM documents),
-    p AS (SELECT rn, k, h, length(h) // 2 AS n, unnest(range(0, length(h) // 2)) AS s FROM d),
-    w AS (
-        SELECT rn, k, s, substr(h, 2 * s + 1, 2) AS byte,
-            CASE WHEN s + {LENGTH} <= n THEN md5_number(substr(h, 2 * s + 1, {2 * LENGTH})) END AS hash FROM p),
-    f AS (SELECT hash, min({{'k': k, 's': s}}) AS first FROM w WHERE hash IS NOT NULL GROUP BY hash),
-    x AS (
-        SELECT rn, s, byte, max(CASE WHEN {{'k': k, 's': s}} > first THEN s END) OVER (
-            PARTITION BY rn ORDER BY s ROWS BETWEEN {LENGTH - 1} PRECEDING AND CURRENT ROW) IS NOT NULL AS gone
-        FROM w LEFT JOIN f USING (hash)),
-    y AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY rn ORDER BY s), false) AS begins FROM x),
-    g AS (
-        SELECT rn, count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS n_spans,
-            string_agg(byte, '' ORDER BY s) FILTER (NOT gone) AS kept FROM y GROUP BY rn)
+    w AS MATERIALIZED (
+        SELECT rn, k, s, md5_number(substr(h, 2 * s + 1, {2 * LENGTH})) AS hash
+        FROM (SELECT rn, k, h, unnest(range(0, length(h) // 2 - {LENGTH} + 1)) AS s FROM d)),
+    f AS (SELECT hash, min({{'k': k, 's': s}}) AS first FROM w GROUP BY hash HAVING count(*) > 1),
+    r AS (SELECT DISTINCT rn, s FROM w JOIN f USING (hash) WHERE {{'k': k, 's': s}} > first),
+    b AS (SELECT rn, s, coalesce(s > {LENGTH} + lag(s) OVER (PARTITION BY rn ORDER BY s), true) AS begins FROM r),
+    i AS (SELECT rn, s, count(*) FILTER (begins) OVER (PARTITION BY rn ORDER BY s) AS island FROM b),
+    x AS (SELECT rn, min(s) AS a, max(s) + {LENGTH} AS z FROM i GROUP BY rn, island),
+    g AS (SELECT rn, a, z, coalesce(lag(z) OVER (PARTITION BY rn ORDER BY a), 0) AS since FROM x),
+    t AS (
+        SELECT rn, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans, max(z) AS last,
+            string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS kept FROM g JOIN d USING (rn) GROUP BY rn)
     SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
-        sha256(unhex(coalesce(kept, ''))) AS kept_sha256
-    FROM d LEFT JOIN g USING (rn)"""
+        sha256(unhex(coalesce(kept || substr(h, 2 * last + 1), h))) AS kept_sha256
+    FROM d LEFT JOIN t USING (rn)"""
 
 
 def op8() -> str:
@@ -111,27 +111,20 @@ def op8() -> str:
 
 
 def op9() -> str:
-    words = ", ".join(f"({k}, {i}, {quoted(w)}, {'true' if w in licences.COMMON else 'false'})"
-                      for k, t in enumerate(licences.TEMPLATES) for i, w in enumerate(t.words))
+    words = ", ".join(f"({k}, {i}, {quoted(w)})" for k, t in enumerate(licences.TEMPLATES) for i, w in enumerate(t.words))
     heads = ", ".join(f"({k}, {quoted(t.label)}, {'true' if t.base else 'false'}, {len(t.words)}, {t.must})"
                       for k, t in enumerate(licences.TEMPLATES))
     return f"""
     WITH d AS (
         SELECT row_number() OVER () AS rn, doc_id, regexp_extract_all({LOWER}, '{TERM}') AS ws FROM documents),
-    tw(k, off, word, common) AS (VALUES {words}),
+    tw(k, off, word) AS (VALUES {words}),
     th(k, label, base, size, must) AS (VALUES {heads}),
     p AS (SELECT rn, i - 1 AS pos, ws[i] AS word FROM (SELECT rn, ws, unnest(range(1, len(ws) + 1)) AS i FROM d)),
-    df AS (SELECT word, count(DISTINCT rn) AS n FROM p GROUP BY word),
-    heavy AS (
-        SELECT k, word FROM (
-            SELECT k, tw.word, row_number() OVER (PARTITION BY k ORDER BY coalesce(n, 0), tw.word DESC) AS r
-            FROM tw LEFT JOIN df USING (word) WHERE NOT common) WHERE r = 1),
     met AS (
-        SELECT rn, tw.k, pos - off AS start, bit_or(1::BIGINT << off) AS bits, count(*) AS n, bool_or(heavy.k IS NOT NULL) AS heavy_met
-        FROM p JOIN tw USING (word) LEFT JOIN heavy ON heavy.k = tw.k AND heavy.word = tw.word GROUP BY ALL),
+        SELECT rn, k, pos - off AS start, bit_or(1::BIGINT << off) AS bits FROM p JOIN tw USING (word) GROUP BY ALL),
     f AS (
         SELECT rn, start, label, base, bit_count(bits) / size AS score FROM met JOIN th USING (k)
-        WHERE heavy_met AND (bits & must) = must),
+        WHERE (bits & must) = must),
     g AS (
         SELECT rn, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word,
             max(start) FILTER (base) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,

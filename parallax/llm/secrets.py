@@ -6,6 +6,10 @@ found. A run scans only blob and rule-version pairs that the ledger lacks; equal
 texts are scanned once, whatever the number of paths that hold them. Findings
 go back to all paths by a join on the blob.
 
+Findings carry the rule version that made them. A run reports those of the versions it is
+given, so what a replaced version or a rule since taken out had found is kept in the ledger
+and no longer reported.
+
 Native column functions only. A null text counts as empty; empty tables give
 empty results; repeated rows and null paths each get their own result row.
 """
@@ -54,7 +58,8 @@ MORE_RULES: tuple[SecretRule, ...] = (
     SecretRule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", hint="PRIVATE KEY-----"),
 )
 RULES = BASE_RULES + MORE_RULES
-LEDGER_SCHEMA = "blob string, scanned array<string>, findings array<struct<start: int, kind: int, end: int>>"
+LEDGER_SCHEMA = "blob string, scanned array<string>, findings array<struct<start: int, rule: string, end: int>>"
+FEW_BLOBS = 100_000  # unseen blobs of a run on a ledger up to which their addresses (64 characters each) are broadcast
 
 
 def blob_of(text: Column) -> Column:
@@ -92,36 +97,58 @@ def scan_blobs(blobs: DataFrame, rules: Sequence[SecretRule] = RULES) -> DataFra
     rows = blobs.select("blob", "todo", F.explode_outer(found).alias("m")).select("blob", "todo", "m.*")
     order = Window.partitionBy("blob", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(order).cast("int"))
-    hit = F.when(F.col("ok"), F.struct((F.col("end") - F.col("len")).alias("start"), "kind", "end"))
+    key = F.get(_keys(rules), F.col("kind"))
+    hit = F.when(F.col("ok"), F.struct((F.col("end") - F.col("len")).alias("start"), key.alias("rule"), "end"))
     return rows.groupBy("blob").agg(F.first("todo").alias("scanned"),
                                     F.sort_array(F.collect_list(hit)).alias("findings"))
 
 
+def _keys(rules: Sequence[SecretRule]) -> Column:
+    return F.array(*[F.lit(r.key) for r in rules])
+
+
+def current(findings: Column, rules: Sequence[SecretRule]) -> Column:
+    """The ledger's findings of just these rule versions, by start, then kind: its place in ``rules``."""
+    placed = F.transform(findings, lambda x: F.struct(
+        x["start"].alias("start"), (F.array_position(_keys(rules), x["rule"]) - 1).cast("int").alias("kind"),
+        x["end"].alias("end")))
+    return F.sort_array(F.filter(placed, lambda x: x["kind"] >= 0))
+
+
+def unseen_blobs(rows: DataFrame, ledger: DataFrame, rules: Sequence[SecretRule]) -> DataFrame:
+    """(blob, text) rows > (blob, text, todo) of the blobs that the ledger lacks a rule version for.
+
+    Addresses alone meet the ledger. While the blobs to scan are few, their addresses are
+    broadcast and no other text is shuffled; a run with more new blobs than ``FEW_BLOBS``
+    shuffles the texts to the addresses.
+    """
+    known = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("scanned"))).alias("done"))
+    todo = rows.select("blob").distinct().join(known, "blob", "left").select("blob", F.array_except(
+        _keys(rules), F.coalesce("done", F.array().cast("array<string>"))).alias("todo"))
+    todo = written(todo.where(F.size("todo") > 0), "unseen")
+    few = todo.limit(FEW_BLOBS + 1).count() <= FEW_BLOBS
+    fetched = rows.join(F.broadcast(todo) if few else todo, "blob")
+    return fetched.groupBy("blob").agg(F.any_value("text").alias("text"), F.any_value("todo").alias("todo"))
+
+
 def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, path: str = "doc_id", text: str = "text",
                   rules: Sequence[SecretRule] = RULES) -> tuple[DataFrame, DataFrame]:
     """(new ledger rows, findings by path). ``versions`` holds every version of every path.
 
     The new rows are written to the shared folder before they are joined, as a
-    caller would append them to the ledger. Findings by path: path, blob, findings.
-    Kinds in the ledger are positions in ``rules``, which is append-only.
+    caller would append them to the ledger. Findings by path: path, blob, findings
+    (start, kind, end) of the given rule versions; a kind is a position in ``rules``.
     """
-    spark = versions.sparkSession
     rows = versions.select(F.col(f"`{path}`").alias("path"), whole_text(F.col(f"`{text}`")).alias("text"))
     rows = rows.withColumn("blob", blob_of(F.col("text")))
-    wanted = F.array(*[F.lit(r.key) for r in rules])
-    blobs = rows.groupBy("blob").agg(F.any_value("text").alias("text"))
-    old = ledger if ledger is not None else spark.createDataFrame([], LEDGER_SCHEMA)
-    if ledger is not None:
-        known = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("scanned"))).alias("done"))
-        blobs = blobs.join(known, "blob", "left").withColumn(
-            "todo", F.array_except(wanted, F.coalesce("done", F.array().cast("array<string>"))))
-        blobs = blobs.where(F.size("todo") > 0)
+    if ledger is None:
+        blobs = rows.groupBy("blob").agg(F.any_value("text").alias("text")).withColumn("todo", _keys(rules))
     else:
-        blobs = blobs.withColumn("todo", wanted)
+        blobs = unseen_blobs(rows.select("blob", "text"), ledger, rules)
     new = written(scan_blobs(blobs, rules), "ledger")
-    per_blob = new if ledger is None else old.unionByName(new).groupBy("blob").agg(
-        F.sort_array(F.flatten(F.collect_list("findings"))).alias("findings"))
-    hits = per_blob.where(F.size("findings") > 0).select("blob", "findings")
+    per_blob = new if ledger is None else ledger.unionByName(new).groupBy("blob").agg(
+        F.flatten(F.collect_list("findings")).alias("findings"))
+    hits = per_blob.select("blob", current(F.col("findings"), rules).alias("findings")).where(F.size("findings") > 0)
     found = rows.select("path", "blob").join(hits, "blob", "left")
     empty = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     return new, found.select(F.col("path").alias(path), "blob", F.coalesce("findings", empty).alias("findings"))

@@ -6,9 +6,11 @@ says, for the two words at the end of the current position, how far the search
 may jump; blocks that end a window lead to a suffix-hash bucket whose windows are
 compared word by word.
 
-The benchmark is a stated query set: it is split into blocks of bounded size
-(``block_bytes`` of text), each searched in all documents. Only one block's tables
-are in a worker at a time.
+The benchmark is a stated query set: it is split into blocks of at most
+``block_bytes`` of text, each searched in all documents. Equal items are dropped first;
+an item longer than a block is cut into pieces that overlap by one word less than a
+window, so that no window is lost (only a window that is itself longer than a block makes a
+larger one). One block at a time is collected and broadcast, and freed when its hits are written.
 
 Words are maximal runs of digits, letters and non-ASCII characters, A-Z in lower
 case. Null texts have no words; null item ids are reported as "null"; repeated items
@@ -18,14 +20,16 @@ own result row, repeated or not.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache, reduce
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parallax.llm.common import whole_text, written
+from parallax.llm.common import shared_path, whole_text, written
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
@@ -116,8 +120,9 @@ def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 @lru_cache(maxsize=1)
-def _patterns(block: tuple[tuple[str, str | None], ...], size: int) -> Patterns:
-    return Patterns(block, size)
+def _patterns(name: str, block: Broadcast, size: int) -> Patterns:
+    """The tables of the block of this name, kept while a worker searches it."""
+    return Patterns(block.value, size)
 
 
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -126,7 +131,7 @@ RESULT = "n_words bigint, spans array<struct<start:bigint,end:bigint>>, items ar
 
 def _searched(batches, items, size, names):
     """Result columns in place of the text, the last column."""
-    patterns = _patterns(items.value, size)
+    patterns = _patterns(*items, size)
     for batch in batches:
         n_words, spans, found = [], [], []
         for text in batch.column(batch.num_columns - 1).cast(pa.binary()):
@@ -142,7 +147,7 @@ def _searched(batches, items, size, names):
 
 def _clean(batches, items, size, at):
     """The rows whose column ``at`` has no hit."""
-    patterns = _patterns(items.value, size)
+    patterns = _patterns(*items, size)
     for batch in batches:
         keep = [not patterns.search(words_of(t.as_py()))[0] for t in batch.column(at).cast(pa.binary())]
         yield batch.filter(pa.array(keep, pa.bool_()))
@@ -157,16 +162,68 @@ def _joined(batches):
         yield batch.set_column(at, "spans", pa.array(runs, SPANS))
 
 
-def blocks_of(benchmark: DataFrame, item: str, block_bytes: int) -> list:
-    """The benchmark as broadcast blocks of about ``block_bytes`` of text each."""
-    tests = benchmark.select(F.coalesce(F.col(f"`{item}`").cast("string"), F.lit("null")).alias("item"),
-                             whole_text("text").alias("text"))
-    total = tests.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    n = max(1, -(-total // block_bytes))
-    spark = benchmark.sparkSession
-    for k in range(n):
-        part = tests if n == 1 else tests.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
-        yield spark.sparkContext.broadcast(tuple(sorted((r["item"], r["text"]) for r in part.collect())))
+def pieces_of(text: bytes, size: int, most: int) -> Iterator[bytes]:
+    """The words of a text that is longer than ``most`` bytes, cut to that length; each piece begins
+    with the last ``size`` - 1 words of the one before, and has a whole window at least."""
+    words, first = words_of(text), 0
+    while first < len(words):
+        last, held = first, 0
+        while last < len(words) and (last < first + size or held + len(words[last]) < most):
+            held += len(words[last]) + 1
+            last += 1
+        yield b" ".join(words[first:last])
+        if last == len(words):
+            return
+        first = last - size + 1
+
+
+ITEM_BYTES = 64  # what an item counts for beside its text
+
+
+def _dealt(batches, size: int, most: int):
+    """(item, text) > (block, item, text): blocks of at most ``most`` bytes, one open at a time."""
+    name, held = uuid.uuid4().hex, 0
+    for batch in batches:
+        rows: list[tuple[str, str, bytes]] = []
+        for item, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
+            short = len(text) + len(item.encode()) + ITEM_BYTES <= most
+            room = most - len(item.encode()) - ITEM_BYTES
+            for piece in (text,) if short else pieces_of(text, size, room):
+                cost = len(piece) + len(item.encode()) + ITEM_BYTES
+                if held and held + cost > most:
+                    name, held = uuid.uuid4().hex, 0
+                held += cost
+                rows.append((name, item, piece))
+        columns = list(zip(*rows)) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()),
+             pa.array(columns[2], pa.binary()).cast(pa.string())], names=["block", "item", "text"])
+
+
+class Blocks:
+    """A benchmark dealt into blocks, written to the shared folder by block."""
+
+    def __init__(self, benchmark: DataFrame, item: str, size: int, block_bytes: int):
+        self.spark = benchmark.sparkSession
+        tests = benchmark.select(F.coalesce(F.col(f"`{item}`").cast("string"), F.lit("null")).alias("item"),
+                                 whole_text("text").alias("text")).distinct()
+        total = tests.agg(F.sum(F.octet_length("text") + ITEM_BYTES)).first()[0] or 0
+        parts = max(1, -(-total // block_bytes))
+        tests = tests.coalesce(1) if parts == 1 else tests.repartition(parts)
+        dealt = tests.mapInArrow(lambda b: _dealt(b, size, block_bytes), "block string, item string, text string")
+        self.path = shared_path(self.spark, "blocks")
+        dealt.write.partitionBy("block").parquet(self.path)
+        self.table = self.spark.read.schema("item string, text string, block string").parquet(self.path)
+        self.names = sorted(r[0] for r in self.table.select("block").distinct().collect())
+
+    def __iter__(self) -> Iterator[tuple[str, Broadcast]]:
+        """(name, broadcast items) of each block; the block before is freed."""
+        for name in self.names:
+            rows = self.table.where(F.col("block") == name).select("item", "text").collect()
+            shared = self.spark.sparkContext.broadcast(tuple(sorted((r["item"], r["text"]) for r in rows)))
+            yield name, shared
+            if len(self.names) > 1:  # what came of it has been written
+                shared.destroy()
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text",
@@ -174,15 +231,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     """One row per document: key, n_words, ``spans`` (runs of hit words), ``items`` (sorted as strings)."""
     rows = docs.select(F.col(f"`{key}`").alias("key"), whole_text(F.col(f"`{text}`")).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
-    blocks = list(blocks_of(benchmark, item, block_bytes))
-    if len(blocks) == 1:
-        one = blocks[0]
+    blocks = Blocks(benchmark, item, size, block_bytes)
+    if len(blocks.names) <= 1:
+        one = next(iter(blocks), ("none", docs.sparkSession.sparkContext.broadcast(())))
         found = rows.mapInArrow(lambda b: _searched(b, one, size, ["key"]), f"key {kind}, {RESULT}")
         return found.select(F.col("key").alias(key), "n_words", "spans", "items")
     # several blocks: rows are numbered once, each block adds its part, the parts of a row meet
     rows = written(rows.select(F.monotonically_increasing_id().alias("row_no"), "key", "text"), "leak-rows")
-    parts = [rows.mapInArrow(lambda b, one=one: _searched(b, one, size, ["row_no", "key"]),
-                             f"row_no bigint, key {kind}, {RESULT}") for one in blocks]
+    parts = [written(rows.mapInArrow(lambda b, one=one: _searched(b, one, size, ["row_no", "key"]),
+                                     f"row_no bigint, key {kind}, {RESULT}"), "leak-part") for one in blocks]
     met = reduce(DataFrame.unionByName, parts).groupBy("row_no").agg(
         F.any_value("key").alias("key"), F.max("n_words").alias("n_words"),
         F.flatten(F.collect_list("spans")).alias("spans"),
@@ -193,9 +250,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
 
 def clean_of(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id",
              size: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The documents without any hit word, with their own columns: one filter per
-    block of the benchmark, no shuffle."""
+    """The documents without any hit word, with their own columns. One block: a filter,
+    without a shuffle; of several each writes what it leaves before the next is read."""
     at = docs.columns.index(text)
-    for one in blocks_of(benchmark, item, block_bytes):
+    blocks = Blocks(benchmark, item, size, block_bytes)
+    for one in blocks:
         docs = docs.mapInArrow(lambda b, one=one: _clean(b, one, size, at), docs.schema)
+        docs = written(docs, "clean-of") if len(blocks.names) > 1 else docs
     return docs

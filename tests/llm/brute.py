@@ -152,3 +152,92 @@ def quality(text):
 
 def held_out(key):
     return key is not None and zlib.crc32(str(key).encode()) % 5 == 0
+
+
+URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
+             ("com", "/fr/", "allow"), ("com", "/de/", "block"))
+
+
+def judged_url(url, rules=URL_RULES):
+    """(host, path, rule, verdict)."""
+    rest = url.split("://", 1)[1] if url is not None and "://" in url else ""
+    host = lower(re.match(r"[^/?#]*", rest).group())
+    path = re.match(r"[^/?#]*([^?#]*)", rest).group(1)
+    fits = [(r.count("."), len(p), v == "block", r + p, v) for r, p, v in rules
+            if (host == r or host.endswith("." + r)) and path.startswith(p)]
+    return (host, path, *(max(fits)[3:] if fits else (None, "allow")))
+
+
+def runs_of(words, least=24, times=3):
+    """Every run (start, length, smallest period), by all lags."""
+    found = {}
+    for q in range(1, len(words) // times + 1):
+        i = 0
+        while i < len(words) - q:
+            a = i
+            while i < len(words) - q and words[i] == words[i + q]:
+                i += 1
+            if i - a + q >= max(least, times * q):
+                found.setdefault((a, i - a + q), q)
+            i += i == a
+    return sorted((a, n, q) for (a, n), q in found.items())
+
+
+def periodic(key, text):
+    words = WORD.findall(text or "")
+    h = None if key is None else zlib.crc32(str(key).encode())
+    if h is not None and h % 10 == 0 and words:
+        g, n = h // 10, len(words)
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        words = [w if i < a else words[a + (i - a) % p] for i, w in enumerate(words)]
+    runs = runs_of(words)
+    gone = {i for a, n, q in runs for i in range(a + q, a + n)}
+    from fractions import Fraction
+    best = min(runs, key=lambda r: (-Fraction(r[1], r[2]), r[0], r[2])) if runs else (None, None, None)
+    return (key, len(runs), *best, 1000 * best[1] // best[2] if runs else None,
+            sha("".join(f"{a},{n},{q}\n" for a, n, q in runs)), sha(" ".join(w for i, w in enumerate(words) if i not in gone)))
+
+
+def slipped(key, word):
+    h = zlib.crc32(f"{'' if key is None else key}:{word}".encode())
+    return word if h % 199 else word[:h % len(word)] + word[h % len(word) + 1:]
+
+
+def near_words(words):
+    """word > the words one edit apart, by trying all pairs of similar length."""
+    def near(a, b):
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b)) == 1
+        short, long = sorted((a, b), key=len)
+        return len(long) - len(short) == 1 and any(long[:i] + long[i + 1:] == short for i in range(len(long)))
+
+    out = {w: [] for w in words}
+    for i, a in enumerate(words):
+        for b in words[i + 1:]:
+            if abs(len(a) - len(b)) < 2 and near(a, b):
+                out[a].append(b)
+                out[b].append(a)
+    return out
+
+
+def variants(counts, times=5):
+    """{word: n} > rows of (word, n, n_near, form, form_n, root)."""
+    near, form = near_words(sorted(counts)), {}
+    for w, n in counts.items():
+        best = min(near[w], key=lambda x: (-counts[x], x), default=None)
+        form[w] = best if best is not None and counts[best] >= times * n else None
+    out = []
+    for w, n in counts.items():
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        out.append((w, n, len(near[w]), form[w], counts[form[w]] if form[w] else None, root))
+    return out
+
+
+def word_counts(rows):
+    counts = Counter()
+    for key, text in rows:
+        counts.update(slipped(key, w) for w in re.findall("[a-zÀ-ÿ]+", lower(text)))
+    return {w: n for w, n in counts.items() if len(w) >= 6 and n >= 5}

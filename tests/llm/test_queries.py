@@ -37,7 +37,9 @@ def hostile_documents():
         "the quick brown fox jumps over the lazy dog again and again, the quick brown fox jumps over the lazy dog again",
         "tiny item", "prefix tiny item suffix", "\u0000 control \u0001 tiny\u0000item", "<|endoftext|> </s> <s> <unk> [INST] ▁▁x",
         "You are an idiot. Nice day.\n\nmoron!", "中文 文本 " * 30, "-----BEGIN RSA PRIVATE KEY----- x",
-        prose(9000, 8), prose(3000, 9) + passage,
+        prose(9000, 8), prose(3000, 9) + passage, "a b " * 400, "x " + "one two three four five " * 9 + "one two", prose(70, 11) * 4,
+        ("s " * 30 + "t ") * 40, "Ünïcode ÿellow×÷ " * 8, " ".join(["receive"] * 40 + ["recieve"] * 6 + ["receeve"] * 7 + ["receiv"] * 5),
+        ("b" * 4000 + " ") * 6 + ("b" * 4001 + " ") * 31 + ("b" * 3999 + "c ") * 5,
     ]
     rows = [(i * 3, t) for i, t in enumerate(texts)]
     rows += [(6, "one two three four"), (30, copy), (30, copy), (None, copy), (None, None), (None, passage + " null key")]
@@ -46,6 +48,10 @@ def hostile_documents():
     return rows
 
 
+def hostile_pages():
+    return [(i, u) for i, u in enumerate(URLS)] + [(5, URLS[5]), (None, URLS[7]), (None, None)]
+
+
 BENCHMARK = [(1, "The quick brown fox jumps over the lazy dog again and"), (2, "tiny item"), (3, None), (4, ""), (5, "..."),
              (None, "alpha1"), (1, "The quick brown fox jumps over the lazy dog again and"),
              (7, "quick brown fox jumps over the lazy dog again and again, the")]
@@ -57,7 +63,13 @@ CONVERSATIONS = [
 ] + [(7, i, ("user", "assistant")[i % 2], f"turn {i} </s>") for i in range(700)]
 
 
-def put(folder, documents, benchmark, conversations, labels):
+URLS = [None, "", "no scheme", "http://", "://org/", "HTTP://Example.ORG/es/x", "http://example.org/es", "http://a.b.example.org/en/12/z",
+        "http://example.org/en/1?x=/es/", "http://notexample.org/es/x", "http://example.org", "http://example.org?x", "http://x.com/fr/",
+        "http://x.com/de/#y", "http://com/de/a", "http://com./de/a", "http://.com/de/a", "http://x.COM:80/de/", "http://u@x.com/de/",
+        "http://x.com/FR/", "a://b://c.org/q", "http://é.org/ü", "http://x.net/fr/\nde/", "http://x.org\n/", "http://x.com" + "/de" * 5000]
+
+
+def put(folder, documents, benchmark, conversations, labels, urls=()):
     long, text = pa.int64(), pa.string()
 
     def table(rows, **kinds):
@@ -71,6 +83,8 @@ def put(folder, documents, benchmark, conversations, labels):
     pq.write_table(docs, f"{folder}/documents.parquet", row_group_size=16)
     pq.write_table(table(benchmark, item_id=long, text=text), f"{folder}/benchmark.parquet")
     pq.write_table(table(conversations, conv_id=long, turn=long, role=text, text=text), f"{folder}/conversations.parquet")
+    pages = table([(k, u, None, "x", "y") for k, u in urls], page_id=long, url=text, html=text, host=text, rule=text)
+    pq.write_table(pages, f"{folder}/pages.parquet")
     pq.write_table(table(labels, doc_id=long, quality=pa.int32(), toxic=pa.int32()), f"{folder}/labels.parquet")
 
 
@@ -79,7 +93,7 @@ def hostile(tmp_path_factory):
     folder = tmp_path_factory.mktemp("hostile")
     documents = hostile_documents()
     labels = [(k, 1, int("idiot" in (t or ""))) for k, t in documents if k is not None] + [(None, 1, 1), (3, None, None)]
-    put(folder, documents, BENCHMARK, CONVERSATIONS, labels)
+    put(folder, documents, BENCHMARK, CONVERSATIONS, labels, hostile_pages())
     return str(folder), documents
 
 
@@ -203,6 +217,26 @@ def test_quality(spark, corpus):
     assert got == Counter((k, *brute.quality(t)) for k, t in docs)
 
 
+def test_urls(spark, hostile, small):
+    for folder, _ in (hostile, small):
+        pages = [(r["page_id"], r["url"]) for r in pq.read_table(f"{folder}/pages.parquet").to_pylist()]
+        got = run(spark, "op11_url_filter", folder, "page_id", "host", "path", "rule", "verdict")
+        assert got == Counter((k, *brute.judged_url(u)) for k, u in pages)
+
+
+def test_periodic_runs(spark, corpus):
+    folder, docs = corpus
+    got = run(spark, "op12_periodic_runs", folder, "doc_id", "n_runs", "start", "length", "period", "exponent_milli",
+              "runs_sha256", "collapsed_sha256")
+    assert got == Counter(brute.periodic(k, t) for k, t in docs)
+
+
+def test_spelling_variants(spark, corpus):
+    folder, docs = corpus
+    got = run(spark, "op13_spelling_variants", folder, "word", "n", "n_near", "form", "form_n", "root")
+    assert got == Counter(brute.variants(brute.word_counts(docs)))
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_empty_tables(spark, empty, name):
     got = queries.QUERIES[name](spark, empty).collect()
@@ -214,7 +248,7 @@ def test_oracle(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations"):
+    for t in ("documents", "benchmark", "conversations", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('/root/testdata/sf0.001/{t}.parquet')")
     got = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
     want = con.execute(queries.ORACLE[name])

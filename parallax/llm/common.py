@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parallax.session import checkpoint_dir
+from parallax.sources.io import scratch_path as shared_path  # noqa: F401  a new folder below the shared one
+from parallax.sources.io import written  # noqa: F401  a table written there and reread
 
 # ASCII white space (space, \t, \n, \x0B, \f, \r): as trim characters and as a Java class.
 WHITE = " \t\n\x0b\f\r"
@@ -41,16 +40,3 @@ def fresh_name(df: DataFrame, stem: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared checkpoint folder."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, reread: cuts the lineage and
-    survives lost executors."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

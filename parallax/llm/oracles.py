@@ -70,9 +70,11 @@ def op6() -> str:
     WITH d AS MATERIALIZED (
         SELECT row_number() OVER () AS rn, doc_id, coalesce(doc_id, {LAST}) AS k,
             hex(encode(coalesce(text, ''))) AS h FROM documents),
+    c AS (SELECT rn, k, p, substr(h, 2 * p + 1, {2 * (256 + LENGTH - 1)}) AS part
+        FROM (SELECT rn, k, h, unnest(range(0, length(h) // 2 - {LENGTH} + 1, 256)) AS p FROM d)),
     w AS MATERIALIZED (
-        SELECT rn, k, s, md5_number(substr(h, 2 * s + 1, {2 * LENGTH})) AS hash
-        FROM (SELECT rn, k, h, unnest(range(0, length(h) // 2 - {LENGTH} + 1)) AS s FROM d)),
+        SELECT rn, k, p + s AS s, md5_number(substr(part, 2 * s + 1, {2 * LENGTH})) AS hash
+        FROM (SELECT rn, k, p, part, unnest(range(0, length(part) // 2 - {LENGTH} + 1)) AS s FROM c)),
     f AS (SELECT hash, min({{'k': k, 's': s}}) AS first FROM w GROUP BY hash HAVING count(*) > 1),
     r AS (SELECT DISTINCT rn, s FROM w JOIN f USING (hash) WHERE {{'k': k, 's': s}} > first),
     b AS (SELECT rn, s, coalesce(s > {LENGTH} + lag(s) OVER (PARTITION BY rn ORDER BY s), true) AS begins FROM r),

@@ -292,6 +292,42 @@ def test_toxicity_learns_and_locates(spark):
     assert all(w >= 0 for w in model.weights.values())
 
 
+def test_toxicity_scores_by_hand(spark):
+    """Sentences cut, features summed, odds turned and joined by noisy-or, without the operator's code."""
+    import math
+    import re
+
+    model = toxicity.Model(-1.5, {"grumb": 3.0, "vexl-": 1.25, "vexli-": 0.5, "plain": 0.2, "élan": 0.7})
+    texts = ["A grumb. Plain vexling, plain!\nNothing here", "vexl vexling vexlin", "", None, "   \n..", "Élan? ÉLAN GRUMB grumb!",
+             "one\n\ntwo grumb three. " * 30]
+    rows = toxicity.score_documents(frame(spark, list(enumerate(texts))), model).collect()
+    for r in rows:
+        text, clean, found = texts[r.doc_id] or "", 1.0, []
+        for m in re.finditer(r"[^.!?\n]+[.!?]*", text):
+            if not m.group().strip():
+                continue
+            odds = model.bias
+            for word in set(re.findall(r"[^\W_]+", m.group().lower())):
+                odds += sum(model.weights.get(f, 0) for f in [word] + [word[:n] + "-" for n in (4, 5) if len(word) > n])
+            p = 1 / (1 + math.exp(-odds))
+            clean *= 1 - p
+            if p > 0.5:
+                found.append((m.start(), m.end(), round(p, 9)))
+        assert r.score == pytest.approx(1 - clean, abs=1e-12)
+        assert [(s.start, s.end, round(s.score, 9)) for s in r.sentences] == found
+
+
+def test_toxicity_of_held_out_documents(spark):
+    """Documents that no label was learned from, at sf0.01: nine in ten toxic ones are caught, few others."""
+    folder = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "toxic")
+    got = queries.op5_toxicity(spark, folder).where("held_out").join(labels, "doc_id").collect()
+    toxic, clean = [r for r in got if r.toxic], [r for r in got if not r.toxic]
+    assert len(toxic) >= 3 and sum(r.predicted for r in toxic) >= 0.9 * len(toxic)
+    assert len(clean) >= 30 and sum(r.predicted for r in clean) <= 0.05 * len(clean)
+    assert all(0 <= r.score <= 1 and brute.held_out(r.doc_id) for r in got)
+
+
 def test_toxicity_sample_is_of_documents(spark):
     """A key that holds most labels and most document rows takes one place of the sample."""
     keys = [r.id for r in spark.range(60).orderBy(F.xxhash64("id")).collect()]

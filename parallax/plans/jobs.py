@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from parallax import constants as K
 from parallax.functions import text as T
 from parallax.operators import curate as C
 from parallax.operators import metrics as M
@@ -91,3 +92,26 @@ def evaluate_generation(spark: SparkSession, generation: DataFrame, out_dir: str
         "corpus_bleu": O.corpus_bleu(scored_in),
         "mean_median": M.mean_and_median(scores, "chrf"),
     }
+
+
+def evaluate_detection(spark: SparkSession, detection: DataFrame, out_dir: str) -> dict[str, DataFrame]:
+    """Train the pair classifier on the train split and score the test split once, into a table
+    bucketed by example; errors, report and counts are all read from that table and
+    written beside it."""
+    examples = detection.select("split", "example_id", "src", "tgt", "label")
+    model = MD.TokenLogOdds.fit(examples.filter(F.col("split") == "train"))
+    judged = MD.judged(model.score(examples.filter(F.col("split") == "test"), "example_id", ["label", "src", "tgt"]))
+    predictions = IO.write_bucketed(
+        judged.select("example_id", "src", "tgt", F.col("label").alias("gold"), "pred", "label_pred", "confidence"),
+        f"{out_dir}/predictions", "example_id")
+    names = {0: K.LABEL_INCORRECT, 1: K.LABEL_CORRECT}
+    made = {
+        "errors": predictions.filter(F.col("pred") != F.col("gold")).select(
+            "example_id", "src", "tgt", T.label_name(F.col("gold")).alias("gold"),
+            F.col("label_pred").alias("predicted"), "confidence"),
+        "report": M.classification_report(predictions.select("gold", "pred"), class_names=names),
+        "counts": M.binary_error_counts(predictions),
+    }
+    for name, df in made.items():
+        IO.write_result(df, f"{out_dir}/{name}")
+    return {"predictions": predictions, **{name: spark.read.parquet(f"{out_dir}/{name}") for name in made}}

@@ -15,8 +15,9 @@ from parallax.plans.q_metrics import report_sql
 from parallax.plans.q_overlap import _fbeta_sql, bleu_ctes, chrf_ctes
 from parallax.plans.q_sample import EXAMPLES, SPLIT, split_pairs
 from parallax.plans.q_runs import rerank_ctes
-from parallax.plans.registry import query
-from parallax.sources.io import written
+from parallax.plans.jobs import evaluate_detection
+from parallax.plans.registry import ORACLE, query
+from parallax.sources.io import scratch_path, written
 
 
 def _sequences(pairs):
@@ -410,3 +411,19 @@ def s04_generation(spark, sf):
     scores = O.sentence_chrf(made.select("pair_id", F.col("generated").alias("hyp"), F.col("tgt").alias("ref")))
     return made.join(scores, "pair_id").select("pair_id", "src", F.col("tgt").alias("reference"), "generated",
                                                F.round("chrf", 2).alias("chrf"))
+
+
+# The evaluation job: one table of predictions, from which errors and report come.
+
+def detection_evaluation(spark, sf):
+    return evaluate_detection(spark, detection_examples(spark, sf), scratch_path(spark, "evaluation"))
+
+
+@query("f05_evaluation_errors", ORACLE["f05_detection_errors"])
+def f05_evaluation(spark, sf):
+    return detection_evaluation(spark, sf)["errors"]
+
+
+@query("a05_evaluation_report", ORACLE["m03_pair_classifier_report"])
+def a05_evaluation(spark, sf):
+    return detection_evaluation(spark, sf)["report"]

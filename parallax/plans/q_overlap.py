@@ -18,7 +18,7 @@ from parallax.functions import text as T
 from parallax.plans import inputs as I
 from parallax.plans import sqlfrag as S
 from parallax.plans.registry import query
-from parallax.sources.io import written
+from parallax.sources.io import scratch_path, write_bucketed, written
 
 
 def scored_pairs(spark, sf):
@@ -205,3 +205,14 @@ def j02(spark, sf):
                        .alias("hyp"))
     ref = I.conv_pairs(spark, sf).select("pair_id", T.clean_text("tgt").alias("ref"))
     return align(hyp, ref)
+
+
+@query("j02_align_bucketed", _j02_sql())
+def j02_bucketed(spark, sf):
+    """The same over two stored tables bucketed by pair: neither side moves for the join."""
+    pairs = I.conv_pairs(spark, sf).withColumn("prompt", T.generation_prompt("src", quoted=True))
+    at = scratch_path(spark, "bucketed")
+    hyp = write_bucketed(pairs.select("pair_id", T.postprocess_completion(
+        F.concat("prompt", "tgt"), F.col("prompt")).alias("hyp")), f"{at}/hyp", "pair_id")
+    ref = write_bucketed(I.conv_pairs(spark, sf).select("pair_id", T.clean_text("tgt").alias("ref")), f"{at}/ref", "pair_id")
+    return align(hyp, ref)

@@ -8,7 +8,10 @@ from parallax.plans import inputs as I
 from parallax.operators import curate as C
 from parallax.operators import metrics as M
 from parallax.operators import positional as G
-from parallax.plans.jobs import curate_file, evaluate_generation, prepare_corpus, write_curated_splits
+from parallax.operators.pairing import align
+from parallax.plans.jobs import (curate_file, evaluate_detection, evaluate_generation, prepare_corpus,
+                                 write_curated_splits)
+from parallax.sources.io import write_bucketed
 
 
 def test_prepare_then_evaluate(spark, tmp_dir):
@@ -51,3 +54,34 @@ def test_curate_from_a_path(spark, tmp_dir):
     assert counts == {"raw": 21, "cleaned": 20, "flagged": 0, "train": 16, "dev": 2, "test": 2}
     assert out["detection"].count() == 40
     assert {(r.src[0], r.tgt[0]) for r in out["generation"].collect()} == {("e", "f")}
+
+
+def test_detection_is_scored_once(spark, tmp_dir):
+    """Errors, report and counts agree with the one table of predictions."""
+    raw = I.conv_pairs(spark, SF_SMALL).select("pair_id", "src", "tgt")
+    detection = prepare_corpus(spark, raw, tmp_dir)["detection"]
+    out = evaluate_detection(spark, detection, tmp_dir + "/eval")
+    rows = out["predictions"].collect()
+    assert len(rows) == detection.where("split = 'test'").count() and len(rows) > 0
+    wrong = {r.example_id for r in rows if r.gold != r.pred}
+    assert {r.example_id for r in out["errors"].collect()} == wrong
+    counts = out["counts"].first()
+    assert counts.total == len(rows) and counts.false_positives + counts.false_negatives == len(wrong)
+    report = {r.label: r for r in out["report"].collect()}
+    assert report["correct"].support + report["incorrect"].support == len(rows)
+
+
+def test_bucketed_tables_join_without_exchange(spark, tmp_dir):
+    df = spark.range(2000).select(F.col("id").cast("string").alias("pair_id"), F.md5(F.col("id").cast("string")).alias("x"))
+    one = write_bucketed(df, tmp_dir + "/one", "pair_id", 4)
+    two = write_bucketed(df.withColumnRenamed("x", "y"), tmp_dir + "/two", "pair_id", 4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        joined = align(one, two)
+        assert joined.where("x = y").count() == 2000
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        grouped = joined.groupBy("pair_id").count()
+        assert "Exchange" not in grouped._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -117,13 +117,14 @@ def looped(docs: DataFrame) -> DataFrame:
     n words repeat those from a to a + p, p = 1 + (n - a) // (3 + g % 8). Other texts stay."""
     rows = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
     words = F.when(F.col("h") % 10 == 0, white_words(F.coalesce("text", F.lit(""))))
-    rows = rows.withColumn("words", words).withColumn("n", F.size("words")).withColumn("g", F.floor(F.col("h") / 10))
+    rows = rows.withColumn("words", words).withColumn("g", F.floor(F.col("h") / 10))
+    rows = rows.withColumn("n", F.when(F.size("words") > 0, F.size("words")))
     rows = rows.withColumn("a", (F.col("g") % F.col("n")).cast("int"))
     rows = rows.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
     left = F.col("n") - F.col("a")
     again = F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), F.ceil(left / F.col("p")).cast("int"))
     turned = F.concat(F.slice("words", F.lit(1), F.col("a")), F.slice(F.flatten(again), F.lit(1), left))
-    return rows.select("doc_id", F.when(F.col("n") > 0, F.array_join(turned, " ")).otherwise(F.col("text")).alias("text"))
+    return rows.select("doc_id", F.when(F.col("n").isNotNull(), F.array_join(turned, " ")).otherwise(F.col("text")).alias("text"))
 
 
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,9 +36,10 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SHORTEST = 6  # code points
 RAREST = 5  # occurrences
 TIMES = 5  # a form has so many times the occurrences of its variant
-HELD_WORDS = 200_000  # a task counts so many different words before it passes them on
+# A task counts so many different words, of so many characters in all, before it passes them on.
+HELD_WORDS = 200_000
+HELD_CHARS = 8_000_000
 SMALL_LEVEL = 20_000  # edges of a level that are broadcast
-HOPS = 5  # doublings: n grows TIMES-fold from form to form, so 2**5 hops hold any long
 
 
 def drop_one(key, word: str, every: int = 199) -> str:
@@ -52,6 +53,7 @@ def drop_one(key, word: str, every: int = 199) -> str:
 
 def _counted(batches, change, shortest):
     held: Counter[str] = Counter()
+    chars = 0
 
     def out():
         words = list(held)
@@ -67,9 +69,11 @@ def _counted(batches, change, shortest):
                 if change is not None:
                     word = change(key, word)
                 if len(word) >= shortest:
+                    chars += 0 if word in held else len(word)
                     held[word] += n
-            if len(held) >= HELD_WORDS:
+            if len(held) >= HELD_WORDS or chars >= HELD_CHARS:
                 yield out()
+                chars = 0
     yield out()
 
 
@@ -160,13 +164,15 @@ def near_pairs(vocabulary: DataFrame) -> DataFrame:
     """(id, word) with unique long ids > pairs (a, b) of ids whose words are one edit apart,
     each pair in both orders, once."""
     states, pairs = written(_words(vocabulary), "spelling-states"), []
-    while not states.isEmpty():
+    while True:
         pairs.append(states.where(_met()).select("word", "ends"))
         edges = written(_edges(states), "spelling-edges")
+        n = edges.count()
+        if not n:  # no word goes on from here
+            break
         # the levels near the top are small and met by all words
-        small = edges.limit(SMALL_LEVEL + 1).count() <= SMALL_LEVEL
-        states = written(_moved(states, F.broadcast(edges) if small else edges), "spelling-states")
-    found = pairs[0] if pairs else states.select("word", F.col("ends"))
+        states = written(_moved(states, F.broadcast(edges) if n <= SMALL_LEVEL else edges), "spelling-states")
+    found = pairs[0]
     for more in pairs[1:]:
         found = found.unionByName(more)
     one, two = F.shiftright("word", 1), F.shiftright("ends", 1)
@@ -180,6 +186,8 @@ def group_variants(counts: DataFrame, times: int = TIMES) -> DataFrame:
 
     A word's form is its near word of largest n (ties: the smallest in code-point order), if
     that has at least ``times`` the word's n; root: from the word, follow forms to the last."""
+    if times <= 1:
+        raise ValueError("a form must be more frequent than its variant, or forms would go in circles")
     clean = counts.where(F.col("word").isNotNull()).groupBy("word").agg(F.sum("n").alias("n"))
     words = written(clean.select(F.monotonically_increasing_id().alias("id"), "word", "n"), "vocabulary")
     pairs = near_pairs(words.select("id", "word"))
@@ -191,8 +199,11 @@ def group_variants(counts: DataFrame, times: int = TIMES) -> DataFrame:
         F.when(enough, F.col("near.form")).alias("form"), F.when(enough, -F.col("near.less")).alias("form_n"))
     formed = written(formed, "forms")
     links = formed.where("form is not null").select("word", F.col("form").alias("to"))
-    for _ in range(HOPS):  # each doubles how far a link goes
+    while True:  # each round doubles how far a link goes; n grows ``times``-fold from form to form
         further = links.select(F.col("word").alias("to"), F.col("to").alias("next"))
-        links = written(links.join(further, "to", "left").select("word", F.coalesce("next", "to").alias("to")), "roots")
+        links = written(links.join(further, "to", "left").select(
+            "word", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("went_on")), "roots")
+        if links.where("went_on").isEmpty():
+            break
     return formed.join(links, "word", "left").select("word", "n", "n_near", "form", "form_n",
                                                      F.coalesce("to", "word").alias("root"))

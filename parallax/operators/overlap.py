@@ -1,7 +1,9 @@
 """N-gram overlap metrics: corpus BLEU (A8), corpus chrF (A9), sentence chrF (A10).
 
-Plan shape: the compact (id, hyp, ref) rows are hash-partitioned by id once;
-every n-gram of both sides is then exploded *inside* that partition as one
+Plan shape: the compact (id, hyp, ref) rows are hash-partitioned by id once.
+chrF sorts them by key there and counts the n-grams of one key after the other in
+Arrow batches: no n-gram is a row, and a task holds one key's counts. BLEU explodes
+the word n-grams of both sides *inside* that partition as one
 tagged array (no union), so the (id, n, gram) and (id, n) aggregations are
 satisfied by the existing partitioning and never shuffle the n-gram rows.
 The corpus total is a global aggregate of a few numbers per partition.
@@ -10,16 +12,21 @@ Counts are summed first; precision/recall/F are computed last.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from parallax import constants as K
 
 CHRF_ORDER = 6
 CHRF_BETA = 2
 BLEU_ORDER = 4
+_STATS = ArrayType(StructType([StructField("n", IntegerType()), *(StructField(c, LongType()) for c in ("hyp", "ref", "match"))]))
 
 # FIXED VALUES: 13a tokenizer rules (regex, replacement), applied in order
 # after '<skipped>' removal, '-\n' removal, '\n' -> ' ', entity unescaping
@@ -67,35 +74,70 @@ def char_ngram_strings(c, max_n: int = CHRF_ORDER) -> Column:
 
 # chrF ------------------------------------------------------------------------
 
-def _tagged_strings(hyp_grams: Column, ref_grams: Column) -> Column:
-    """One array of (gram, side) structs built natively (arrays_zip, no
-    lambda): side 1 = hypothesis, 2 = reference, 0 = sentinel."""
-    def zipped(arr: Column, side: int) -> Column:
-        return F.arrays_zip(arr.alias("g"), F.array_repeat(F.lit(side), F.size(arr)).alias("t"))
-    sentinel = F.array(F.struct(F.lit("").alias("g"), F.lit(0).alias("t")))
-    return F.concat(zipped(hyp_grams, 1), zipped(ref_grams, 2), sentinel)
+def _gram_counts(text: str) -> list[Counter]:
+    """The character n-grams of a text, counted per order 1..CHRF_ORDER."""
+    return [Counter([text[i:i + n] for i in range(len(text) - n + 1)]) for n in range(1, CHRF_ORDER + 1)]
+
+
+def _order_stats(hyp: list[Counter], ref: list[Counter]) -> list[dict]:
+    """(n, hyp, ref, match) of each order with n-grams; order 0 stands for the row itself."""
+    out = [{"n": 0, "hyp": 0, "ref": 0, "match": 0}]
+    for n, (h, r) in enumerate(zip(hyp, ref), 1):
+        n_ref = r.total()
+        if h or n_ref:
+            match = sum([min(h[g], r[g]) for g in h.keys() & r.keys()])
+            out.append({"n": n, "hyp": h.total() if n_ref else 0, "ref": n_ref, "match": match})
+    return out
+
+
+def _same_key(a: tuple, b: tuple) -> bool:
+    return all(x == y or (x != x and y != y) for x, y in zip(a, b))
+
+
+def _stats_of_sorted(batches, n_keys: int, schema: pa.Schema):
+    """One row per key of rows sorted by it; of the rows only the present key's counts are held."""
+    key, counts = None, None
+    for batch in batches:
+        keys, stats = [], []
+        for *own, h, r in zip(*(c.to_pylist() for c in batch.columns)):
+            grams = _gram_counts(h), _gram_counts(r)
+            if key is not None and _same_key(key, own):
+                for mine, more in zip(counts, grams):
+                    for c, m in zip(mine, more):
+                        c.update(m)
+                continue
+            if key is not None:
+                keys.append(key)
+                stats.append(_order_stats(*counts))
+            key, counts = own, grams
+        if keys:
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*keys), schema.types)),
+                                              pa.array(stats, schema.types[n_keys])], schema=schema)
+    if key is not None:
+        yield pa.RecordBatch.from_arrays([*(pa.array([c], t) for c, t in zip(key, schema.types)),
+                                          pa.array([_order_stats(*counts)], schema.types[n_keys])], schema=schema)
+
+
+def _key_stats(df: DataFrame, keys: Sequence[str], id_col: str, hyp: str, ref: str) -> DataFrame:
+    """(keys, stats): an array of (n, hyp, ref, match) per key, whose rows are counted as one.
+
+    Rows are hash-partitioned by id and sorted by key, so a task counts the n-grams of one key
+    after the other; no n-gram becomes a row. Rows with a null side are left out."""
+    n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pre = df.select(*keys, strip_all_whitespace(hyp).alias("_h"), strip_all_whitespace(ref).alias("_r"))
+    parted = pre.where("_h is not null and _r is not null").repartition(n_parts, id_col).sortWithinPartitions(*keys)
+    out = StructType([*(parted.schema[k] for k in keys), StructField("stats", _STATS)])
+    arrow = to_arrow_schema(out)
+    return parted.mapInArrow(lambda b: _stats_of_sorted(b, len(keys), arrow), out)
 
 
 def chrf_stats(df: DataFrame, id_col: str = "pair_id", hyp: str = "hyp", ref: str = "ref",
                group_cols: Sequence[str] = ()) -> DataFrame:
     """Per (id, n) chrF statistics; hyp counts are 0 where the reference has
-    no n-gram of that order.
-
-    Whitespace is stripped before the exchange (so the regexes read a plain
-    column); grams are exploded after it, inside the id's partition."""
+    no n-gram of that order."""
     keys = [id_col, *group_cols]
-    n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pre = df.select(*keys, strip_all_whitespace(hyp).alias("_h"), strip_all_whitespace(ref).alias("_r"))
-    parted = pre.repartition(n_parts, id_col)
-    g = parted.select(*keys, F.explode(_tagged_strings(char_ngram_strings("_h"),
-                                                       char_ngram_strings("_r"))).alias("t"))
-    per_gram = (g.groupBy(*keys, F.col("t.g").alias("g"))
-                .agg(F.sum((F.col("t.t") == 1).cast("int")).alias("hc"),
-                     F.sum((F.col("t.t") == 2).cast("int")).alias("rc")))
-    st = (per_gram.groupBy(*keys, F.length("g").alias("n"))
-          .agg(F.sum("hc").alias("hyp"), F.sum("rc").alias("ref"),
-               F.sum(F.least("hc", "rc")).alias("match")))
-    return st.withColumn("hyp", F.when(F.col("ref") > 0, F.col("hyp")).otherwise(0))
+    st = _key_stats(df, keys, id_col, hyp, ref).select(*keys, F.explode("stats").alias("_s"))
+    return st.select(*keys, *[F.col("_s")[c].alias(c) for c in ("n", "hyp", "ref", "match")])
 
 
 def _chrf_from_sums(hyp: Column, ref: Column, match: Column, beta: int = CHRF_BETA) -> dict:
@@ -116,9 +158,13 @@ def _f_beta(prec_sum: Column, rec_sum: Column, k: Column, beta: int = CHRF_BETA)
 
 def sentence_chrf(df: DataFrame, id_col: str = "pair_id", hyp: str = "hyp", ref: str = "ref") -> DataFrame:
     """(id, chrf) for every row, unrounded; rows with no n-grams score 0."""
-    st = chrf_stats(df, id_col, hyp, ref)
-    e = _chrf_from_sums(F.col("hyp"), F.col("ref"), F.col("match"))
-    per = st.groupBy(id_col).agg(e["prec"].alias("_p"), e["rec"].alias("_r"), e["k"].alias("_k"))
+    eff = F.filter("stats", lambda s: (s["hyp"] > 0) & (s["ref"] > 0))
+
+    def share_sum(of):  # of at most CHRF_ORDER shares
+        return F.aggregate(F.transform("_e", lambda s: s["match"] / s[of]), F.lit(0.0), lambda a, x: a + x)
+
+    per = _key_stats(df, [id_col], id_col, hyp, ref).select(id_col, eff.alias("_e")).select(
+        id_col, share_sum("hyp").alias("_p"), share_sum("ref").alias("_r"), F.size("_e").alias("_k"))
     return per.select(id_col, _f_beta(F.col("_p"), F.col("_r"), F.col("_k")).alias("chrf"))
 
 
@@ -134,6 +180,15 @@ def corpus_chrf(df: DataFrame, id_col: str = "pair_id", hyp: str = "hyp", ref: s
 
 # BLEU ------------------------------------------------------------------------
 
+def _tagged_strings(hyp_grams: Column, ref_grams: Column) -> Column:
+    """One array of (gram, side) structs built natively (arrays_zip, no
+    lambda): side 1 = hypothesis, 2 = reference, 0 = sentinel."""
+    def zipped(arr: Column, side: int) -> Column:
+        return F.arrays_zip(arr.alias("g"), F.array_repeat(F.lit(side), F.size(arr)).alias("t"))
+    sentinel = F.array(F.struct(F.lit("").alias("g"), F.lit(0).alias("t")))
+    return F.concat(zipped(hyp_grams, 1), zipped(ref_grams, 2), sentinel)
+
+
 def word_ngram_strings(joined, max_n: int = BLEU_ORDER) -> Column:
     """array<string> of all word n-grams (n = 1..max_n) of a text whose
     tokens are joined by single spaces: a lookahead anchored at each token

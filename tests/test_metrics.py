@@ -100,3 +100,25 @@ def test_perplexity_and_batch_means(spark):
     assert M.perplexity(df).first().mean_loss == pytest.approx(1.75)
     # batches of 3: (1,1,1) and (4) -> mean of means 2.5
     assert M.mean_of_batch_means(df, "p", 3).first().loss == pytest.approx(2.5)
+
+
+def test_chrf_of_repeated_keys_without_gram_rows(spark):
+    """Rows of one key count as one text of both; a row with a null side counts not at all."""
+    from collections import Counter
+    rows = [("a", "abcab", "abxab"), ("a", "ab", "cab"), (None, "xy", "xyz"), (None, "yy", "y"), ("b", None, "abc"),
+            ("c", "", "abc"), ("d", "  ", ""), ("b", "ab c", "abc"), ("e", "😀b" * 9, "b😀" * 7)]
+    want = {}
+    for key, hyp, ref in rows:
+        if hyp is None:
+            continue
+        counts = want.setdefault(key, {n: (Counter(), Counter()) for n in range(1, O.CHRF_ORDER + 1)})
+        for side, text in enumerate((hyp.replace(" ", ""), ref.replace(" ", ""))):
+            for n, both in counts.items():
+                both[side].update(text[i:i + n] for i in range(len(text) - n + 1))
+    every = sorted((str(key), n, h.total() if r else 0, r.total(), sum(min(c, r[g]) for g, c in h.items()))
+                   for key, counts in want.items() for n, (h, r) in [(0, (Counter(), Counter())), *counts.items()] if n == 0 or h or r)
+    df = spark.createDataFrame(rows, "pair_id string, hyp string, ref string").repartition(3)
+    assert sorted((str(r.pair_id), r.n, r.hyp, r.ref, r.match) for r in O.chrf_stats(df).collect()) == every
+    scores = O.sentence_chrf(df)
+    assert sorted(str(r.pair_id) for r in scores.collect()) == sorted(map(str, want))
+    assert "Generate" not in scores._jdf.queryExecution().executedPlan().toString()

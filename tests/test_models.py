@@ -37,3 +37,22 @@ def test_pair_classifier_learns_overlap(spark):
     scored = MD.score_detection(ex.filter(F.col("split") == "test"), model)
     acc = scored.agg(F.avg((F.col("pred") == F.col("label")).cast("double"))).first()[0]
     assert dev_acc > 0.9 and acc > 0.9
+
+
+def test_texts_stay_out_of_the_feature_rows(spark):
+    """Kept texts come back by the key; rows of one key that differ in any kept column stay apart."""
+    train = spark.createDataFrame([("a b", "a c", 1), ("a b", "x y", 0), ("c d", "d c", 1)], "src string, tgt string, label int")
+    rows = [("k", 1, "a b", "a c"), ("k", 1, "a b", "a c"), ("k", 1, "a b", "q"), ("k", 0, "a b", "q"), (None, 1, "c", "c"), ("n", 1, None, "c")]
+    df = spark.createDataFrame(rows, "id string, label int, src string, tgt string")
+    model = MD.TokenLogOdds.fit(train)
+    got = model.score(df, "id", ["label", "src", "tgt"])
+    assert got.columns == ["id", "label", "src", "tgt", "log_odds"]
+    plan = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    met = next(i for i, line in enumerate(plan) if "Join LeftOuter, (_x#" in line)
+    assert "_odds#" in plan[met - 1] and "src#" not in plan[met - 1]  # what the feature rows are summed up with
+    once = {r[0]: r.log_odds for r in model.score(spark.createDataFrame(
+        [(f"{s}|{t}", s, t) for s, t in [("a b", "a c"), ("a b", "q"), ("c", "c")]], "id string, src string, tgt string"), "id").collect()}
+    want = [(None, 1, "c", "c", once["c|c"]), ("k", 0, "a b", "q", once["a b|q"]), ("k", 1, "a b", "a c", 2 * once["a b|a c"]),
+            ("k", 1, "a b", "q", once["a b|q"])]
+    assert sorted(((r.id, r.label, r.src, r.tgt, round(r.log_odds, 9)) for r in got.collect()), key=str) == \
+        sorted(((*w[:4], round(w[4], 9)) for w in want), key=str)

@@ -49,9 +49,11 @@ def st1_stream(spark, sf):
     """The request stream over the documents as request files."""
     req = I.table(spark, sf, "documents").select("doc_id", F.col("text").alias("slang"))
     at = scratch_path(spark, "requests")
-    req.repartition(4).write.parquet(f"{at}/in")
+    # as many files as a stage has tasks; two micro-batches, whatever their number
+    files = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    req.repartition(files).write.parquet(f"{at}/in")
     _ran(ST.start_request_stream(spark, f"{at}/in", req.schema, "doc_id", lexicon(spark, sf), f"{at}/out",
-                                 f"{at}/checkpoint", max_files_per_trigger=2))
+                                 f"{at}/checkpoint", max_files_per_trigger=(files + 1) // 2))
     return spark.read.parquet(f"{at}/out").select("doc_id", "formal", "error")
 
 

@@ -10,6 +10,7 @@ bounded by a watermark. Sinks and checkpoints live under caller-given (shared) p
 from __future__ import annotations
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,21 +59,39 @@ def shared_lexicon(lexicon: DataFrame, most_bytes: int = LEXICON_BYTES):
     return lexicon.sparkSession.sparkContext.broadcast({r["s"]: r["t"] for r in words.collect() if r["t"] is not None})
 
 
+ROWS_AT_ONCE = 256  # requests whose words a worker looks up at a time
+
+
 def answer_in_row(prepared: DataFrame, key: str, shared) -> DataFrame:
     """Each request answered on its own, without a shuffle: what a stateless stream can append."""
-    rows = prepared.select(key, F.when(F.col("error").isNull(), T.whitespace_tokens("clean")).alias("tokens"),
-                           F.when(F.col("error").isNull(), F.col("prompt")).alias("prompt"), "error")
+    rows = prepared.select(key, "error", F.when(F.col("error").isNull(), F.col("clean")).alias("src"),
+                           F.when(F.col("error").isNull(), T.whitespace_tokens("clean")).alias("tokens"))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
 
     def translated(batches):
         words = shared.value
         for batch in batches:
-            made = [None if t is None else " ".join([words.get(w, w) for w in t]) for t in batch.column(1).to_pylist()]
-            yield batch.set_column(1, "said", pa.array(made, pa.string()))
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(at, ROWS_AT_ONCE)
+                yield part.set_column(3, "said", said_by(words, part.column(3)))
 
-    out = rows.mapInArrow(translated, f"`{key}` {kinds[key]}, said string, prompt string, error string")
+    out = rows.mapInArrow(translated, f"`{key}` {kinds[key]}, error string, src string, said string")
+    # the prompt is made again here: a text goes to the worker once
+    prompted = out.withColumn("prompt", T.generation_prompt("src", quoted=True))
     formal = T.postprocess_completion(F.concat("prompt", "said"), F.col("prompt"))
-    return out.select(key, F.when(F.col("error").isNull(), formal).alias("formal"), "error")
+    return prompted.select(key, F.when(F.col("error").isNull(), formal).alias("formal"), "error")
+
+
+def said_by(words: dict[str, str], tokens: pa.ListArray) -> pa.Array:
+    """Token lists > texts of their translations (unknown words copied). Only distinct words
+    become Python objects; the rest stays in Arrow's buffers."""
+    coded = tokens.flatten().dictionary_encode()
+    known = pa.array([words.get(w, w) for w in coded.dictionary.to_pylist()], pa.string())
+    sizes = pc.fill_null(pc.list_value_length(tokens), 0)
+    ends = pc.cumulative_sum(sizes.cast(pa.int32()))
+    offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends])
+    made = pc.binary_join(pa.ListArray.from_arrays(offsets, known.take(coded.indices)), " ")
+    return pc.if_else(tokens.is_valid(), made, pa.scalar(None, pa.string()))
 
 
 def start_request_stream(spark: SparkSession, source_dir: str, schema, key: str, lexicon: DataFrame,

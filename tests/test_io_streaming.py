@@ -2,6 +2,7 @@
 
 import os
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -158,3 +159,43 @@ def test_quarantine_keeps_every_line(spark, tmp_dir):
     good, bad = IO.json_with_quarantine(spark, path, schema)
     assert sorted(map(tuple, good.collect()), key=repr) == [(1, "x"), (None, "only")]
     assert len(bad.collect()) == 3
+
+
+def test_lists_are_said_by_distinct_words():
+    words = {"a": "x", "b": "y y", "": "z"}
+    lists = [["a", "q", "a"], None, [], ["b"], ["", "q"], ["a"]]
+    tokens = pa.array(lists, pa.list_(pa.string()))
+    want = ["x q x", None, "", "y y", "z q", "x"]
+    for at in range(len(lists)):
+        for n in range(1, len(lists) - at + 1):
+            assert ST.said_by(words, tokens.slice(at, n)).to_pylist() == want[at:at + n]
+
+
+def test_requests_go_to_the_worker_once(spark):
+    """One text and its words a request, in slices of bounded rows; answers as row by row."""
+    n = 2 * ST.ROWS_AT_ONCE + 3
+    req = spark.range(n).selectExpr("id AS doc_id", "CASE WHEN id % 5 = 0 THEN '' ELSE concat('say w', id, ' now\\nlater') END AS slang")
+    shared = spark.sparkContext.broadcast({"now": "then", "w1": "one"})
+    out = ST.answer_in_row(ST.prepare_requests(req.coalesce(1)), "doc_id", shared)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "said#" in plan and "Exchange" not in plan
+    got = {r.doc_id: r for r in out.collect()}
+    assert len(got) == n and got[5].formal is None and got[5].error
+    assert got[1].formal == "say one then later" and got[n - 2].formal.startswith(f"say w{n - 2} then") and got[1].error is None
+
+
+def test_request_files_grow_with_the_cluster(spark, monkeypatch):
+    """As many files as shuffle partitions, in two micro-batches."""
+    from parallax.plans import q_streaming as Q
+    seen = {}
+    start = ST.start_request_stream
+
+    def watched(spark, source, schema, *args, **kw):
+        seen.update(files=len(spark.read.parquet(source).inputFiles()), each=kw["max_files_per_trigger"])
+        return start(spark, source, schema, *args, **kw)
+
+    monkeypatch.setattr(ST, "start_request_stream", watched)
+    got = Q.st1_stream(spark, SF_SMALL)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert seen["files"] == parts > 4 and seen["each"] == (parts + 1) // 2
+    assert got.count() == I.table(spark, SF_SMALL, "documents").count()

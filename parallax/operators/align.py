@@ -6,30 +6,39 @@ each (source word, target word) link under the present probabilities and sums th
 to new ones. A pair has at most 2 * band + 1 links per target word, so rows are linear in
 the text; a band as wide as the sentence is the classic model without positions.
 
-A round joins the links with the probabilities on (s, t), shares each target word out over
-its own few links and sums map-side before the shuffle. Its sums are written to the shared
-folder with each link's part in the log-likelihood of the round's input, so the stop rule
-reads a small table and a lost executor costs no round.
+The links of one target word are a cell (key, j). Cells are dealt out once, in order of their
+target words, and packed into chunks of bounded size: words and distinct (s, t) pairs once, links
+as numbers. A round runs inside the chunks, in arrays. Between them go only each chunk's sums per
+source word, and per pair for the few target words that several chunks have. A round's
+counts are written to the shared folder with the log-likelihood of its input, so the stop rule
+reads one number a chunk and a lost executor costs no round.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parallax.sources.io import written
+from parallax.sources.io import scratch_path, write_bucketed, written
 
 BAND = 2
+CHUNK = 1 << 19  # links of a chunk, about
 ROUNDS = 5
 TOLERANCE = 1e-4
 
 
 def banded_links(pairs: DataFrame, key: str, src: str, tgt: str, band: int = BAND) -> DataFrame:
     """Token arrays > (key, j, t, s, size): target word j and each source word within ``band`` of
-    ceil(j * n / m); size is the number of these. Pairs with an empty or null side have none."""
+    ceil(j * n / m); size is the number of these. Pairs with an empty or null side have none.
+    Rows are dealt out by key while they are pairs, so that cells need no exchange."""
     n, m = F.size(src), F.size(tgt)
 
     def cell(j):
@@ -38,48 +47,176 @@ def banded_links(pairs: DataFrame, key: str, src: str, tgt: str, band: int = BAN
         return F.struct(j.alias("j"), F.element_at(tgt, j).alias("t"),
                         F.slice(src, low, F.least(centre + band, n) - low + 1).alias("ss"))
 
-    cells = pairs.where((n > 0) & (m > 0)).select(F.col(key).alias("key"), F.explode(
+    cells = pairs.where((n > 0) & (m > 0)).repartition(F.col(key)).select(F.col(key).alias("key"), F.explode(
         F.transform(F.sequence(F.lit(1), m), cell)).alias("c"))
     return cells.select("key", "c.j", "c.t", F.size("c.ss").alias("size"), F.explode("c.ss").alias("s"))
 
 
-def round_sums(links: DataFrame, probs: DataFrame | None, vocabulary: int) -> DataFrame:
-    """One expectation step: (s, t, c, ll), the expected count of each link and its part in the
-    log-likelihood. Without ``probs`` every target word is equally likely."""
-    if probs is None:
-        share, total = 1 / F.col("size"), F.lit(float(1 / max(vocabulary, 1))) * F.col("size")
-        rows = links
-    else:
-        rows = links.join(probs, ["s", "t"])
-        total = F.sum("p").over(Window.partitionBy("key", "j"))
-        share = F.col("p") / total
-    rows = rows.select("s", "t", share.alias("c"), (F.log(total / F.col("size")) / F.col("size")).alias("ll"))
-    return rows.groupBy("s", "t").agg(F.sum("c").alias("c"), F.sum("ll").alias("ll"))
+def _cells(links: DataFrame) -> DataFrame:
+    """(t, s, size) of each cell as arrays of its links, in order; where all links have one t or
+    one size, that array is of length one."""
+    cells = links.groupBy("key", "j").agg(F.array_sort(F.collect_list(F.struct("t", "s", "size"))).alias("l"))
 
+    def short(a):
+        return F.when(F.size(F.array_distinct(a)) == 1, F.slice(a, 1, 1)).otherwise(a)
 
-def probabilities(sums: DataFrame) -> DataFrame:
-    """(s, t, p): expected counts over their sum per source word."""
-    per_word = sums.groupBy("s").agg(F.sum("c").alias("total"))
-    return sums.join(per_word, "s").select("s", "t", (F.col("c") / F.col("total")).alias("p"))
+    return cells.select(short(F.col("l.t")).alias("t"), F.col("l.s").alias("s"), short(F.col("l.size")).alias("size"))
+
+
+_CHUNKS = ("chunk long, s array<string>, t array<string>, pair_s array<int>, pair_t array<int>, "
+           "link array<int>, size array<int>, cell array<int>")
+
+
+def _row(key: int, schema: str, *values) -> pa.RecordBatch:
+    """One row of a number and a list of each of the values."""
+    arrays = [v if isinstance(v, pa.Array) else pa.array(v) for v in values]
+    lists = [pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a) for a in arrays]
+    return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), *lists], names=[c.split()[0] for c in schema.split(", ")])
+
+
+def _packed(batches, chunk):
+    """Cells > chunks: distinct words and pairs, the pair of each link, its cell's size, links per cell."""
+    task, made, held, links = TaskContext.get().partitionId(), 0, [], 0
+    for batch in batches:
+        ends = np.cumsum(pc.list_value_length(batch.column(1)).to_numpy())
+        cuts = [0, *(np.flatnonzero(np.diff(ends // chunk)) + 1), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            if a == b:
+                continue
+            held.append(batch.slice(a, b - a))
+            links += ends[b - 1] - (ends[a - 1] if a else 0)
+            if links >= chunk:
+                yield _chunk(task << 32 | made, held)
+                made, held, links = made + 1, [], 0
+    if held:
+        yield _chunk(task << 32 | made, held)
+
+
+def _chunk(key, held):
+    t, s, size = (pa.concat_arrays([b.column(i) for b in held]) for i in range(3))
+    cell = pc.list_value_length(s).to_numpy()
+
+    def per_link(lists, values):
+        own = pc.list_value_length(lists).to_numpy()
+        return np.repeat(values, np.repeat(np.where(own == 1, cell, 1), own))
+
+    words, targets = (a.flatten().dictionary_encode() for a in (s, t))
+    code = words.indices.to_numpy() * np.int64(len(targets.dictionary)) + per_link(t, targets.indices.to_numpy())
+    pairs, link = np.unique(code, return_inverse=True)
+    pair_s, pair_t = np.divmod(pairs, max(len(targets.dictionary), 1))
+    return _row(key, _CHUNKS, words.dictionary, targets.dictionary, pair_s.astype(np.int32), pair_t.astype(np.int32),
+                link.astype(np.int32), per_link(size, size.flatten().to_numpy()), cell.astype(np.int32))
+
+
+def _chunks(batches):
+    for batch in batches:
+        for r in range(batch.num_rows):
+            row = {name: batch.column(i)[r] for i, name in enumerate(batch.schema.names)}
+            yield {n: v.values if isinstance(v, pa.ListScalar) else v.as_py() for n, v in row.items()}
+
+
+def _shared(c):
+    """The pairs of target words that other chunks have too."""
+    if c["shared"] is None:
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(pc.is_in(c["t"], value_set=c["shared"]).to_numpy(zero_copy_only=False)[c["pair_t"].to_numpy()])
+
+
+def _probabilities(c):
+    """p of each pair: its count over all chunks by that of its source word."""
+    counts, total, words = c["counts"].to_numpy().copy(), c["total"].to_numpy(), len(c["s"])
+    counts[_shared(c)] = total[words:]
+    return counts / total[:words][c["pair_s"].to_numpy()]
+
+
+_COUNTS = "chunk long, counts array<double>, ll array<double>"
+
+
+def _counted(batches, vocabulary):
+    """One expectation step: expected counts of the pairs, and the log-likelihood. Without
+    counts every target word is equally likely."""
+    for c in _chunks(batches):
+        link, size, cell = (c[n].to_numpy() for n in ("link", "size", "cell"))
+        if "counts" in c:
+            p = _probabilities(c)[link]
+            total = np.repeat(np.add.reduceat(p, np.cumsum(cell) - cell), cell)
+            share, ll = p / total, np.log(total / size) / size
+        else:
+            share, ll = 1 / size, -math.log(max(vocabulary, 1)) / size
+        yield _row(c["chunk"], _COUNTS, np.bincount(link, share, len(c["pair_s"])), np.array([ll.sum()]))
+
+
+_PARTS = "chunk long, k int, s string, t string, c double"
+
+
+def _parted(batches):
+    """What a chunk tells the others: its counts per source word (t null) and per shared pair, numbered."""
+    for c in _chunks(batches):
+        pair_s, pair_t, counts = (c[n].to_numpy() for n in ("pair_s", "pair_t", "counts"))
+        words, shared = len(c["s"]), _shared(c)
+        k = np.arange(words + len(shared), dtype=np.int32)
+        yield pa.RecordBatch.from_arrays([
+            pa.array(np.full(len(k), c["chunk"])), pa.array(k), pa.concat_arrays([c["s"], c["s"].take(pa.array(pair_s[shared]))]),
+            pa.concat_arrays([pa.nulls(words, pa.string()), c["t"].take(pa.array(pair_t[shared]))]),
+            pa.array(np.concatenate((np.bincount(pair_s, counts, words), counts[shared])))], names=["chunk", "k", "s", "t", "c"])
+
+
+def _listed(batches):
+    """(s, t, p), each pair from the first chunk that has it."""
+    for c in _chunks(batches):
+        own = np.ones(len(c["pair_s"]), bool)
+        own[_shared(c)] = c["first"].to_numpy(zero_copy_only=False)[len(c["s"]):]
+        s, t = (c[n].take(c[f"pair_{n}"].filter(pa.array(own))) for n in "st")
+        yield pa.RecordBatch.from_arrays([s, t, pa.array(_probabilities(c)[own])], names=["s", "t", "p"])
+
+
+def _kept(chunks: DataFrame, name: str) -> DataFrame:
+    """Written by chunk, so that chunks and their counts meet without an exchange."""
+    return write_bucketed(chunks, scratch_path(chunks.sparkSession, name), "chunk", exchange=False)
+
+
+def chunks_of(links: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Links > bucketed chunks of whole cells, each with the target words it shares with others."""
+    cells = written(_cells(links), "em-cells")
+    packed = cells.repartitionByRange("t", "s").sortWithinPartitions("t", "s").mapInArrow(partial(_packed, chunk=chunk), _CHUNKS)
+    chunks = _kept(packed, "em-chunks")
+    places = chunks.select("chunk", F.explode("t").alias("t")).groupBy("t").agg(F.collect_set("chunk").alias("chunks"))
+    shared = places.where(F.size("chunks") > 1).select("t", F.explode("chunks").alias("chunk"))
+    return chunks.join(written(shared.groupBy("chunk").agg(F.collect_list("t").alias("shared")), "em-shared"), "chunk", "left")
+
+
+def part_sums(counted: DataFrame) -> DataFrame:
+    """(chunk, k, s, t, c): what the chunks tell each other in a round."""
+    return counted.mapInArrow(_parted, _PARTS)
+
+
+def whole_sums(parts: DataFrame) -> DataFrame:
+    """(chunk, total, first): the parts summed over all chunks, and whether this chunk is the first to have them."""
+    same = Window.partitionBy("s", "t")
+    sums = parts.select("chunk", "k", F.sum("c").over(same).alias("total"), (F.min("chunk").over(same) == F.col("chunk")).alias("first"))
+    lists = sums.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("k", "total", "first"))).alias("l"))
+    return lists.select("chunk", F.col("l.total").alias("total"), F.col("l.first").alias("first"))
 
 
 def train(links: DataFrame, rounds: int = ROUNDS, tolerance: float = TOLERANCE,
-          on_round: Callable[[int, float], None] | None = None) -> tuple[DataFrame, list[tuple[int, float]]]:
+          on_round: Callable[[int, float], None] | None = None, chunk: int = CHUNK) -> tuple[DataFrame, list[tuple[int, float]]]:
     """((s, t, p), [(round, log-likelihood before it)]). Ends after ``rounds``, or once the
-    log-likelihood gains less than ``tolerance`` of itself; 0 runs all rounds."""
-    links = written(links, "links")
-    vocabulary = links.select("t").distinct().count()
-    probs, log = None, []
+    log-likelihood gains less than ``tolerance`` of itself; 0 runs all rounds. The
+    probabilities come from the last round's written counts. Words are not null."""
+    chunks = chunks_of(links, chunk)
+    vocabulary = chunks.select(F.explode("t")).distinct().count()
+    known, log = chunks, []
     for i in range(1, rounds + 1):
-        sums = written(round_sums(links, probs, vocabulary), "em-sums")
-        likelihood = sums.agg(F.sum("ll")).first()[0] or 0.0
+        counts = _kept(known.mapInArrow(partial(_counted, vocabulary=vocabulary), _COUNTS), "em-counts")
+        likelihood = counts.agg(F.sum(F.col("ll")[0])).first()[0] or 0.0
         log.append((i, likelihood))
         if on_round is not None:
             on_round(i, likelihood)
-        probs = probabilities(sums)
+        counted = chunks.join(counts.select("chunk", "counts"), "chunk")
+        known = counted.join(whole_sums(part_sums(counted)), "chunk")
         if i > 1 and tolerance and likelihood - log[-2][1] < tolerance * math.fabs(log[-2][1]):
             break
-    return written(probs, "em-probabilities"), log
+    return known.mapInArrow(_listed, "s string, t string, p double"), log
 
 
 def best_targets(probs: DataFrame, most: int = 1) -> DataFrame:

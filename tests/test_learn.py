@@ -75,6 +75,68 @@ def test_em_stops_by_itself(spark):
     assert probs.count() == 0 and log[0] == (1, 0.0)
 
 
+@pytest.mark.parametrize("chunk", [1, 7])
+def test_em_does_not_depend_on_its_chunks(spark, chunk):
+    """Small chunks share target words and so exchange their pairs' counts; each pair is listed once."""
+    got, log = EM.train(links(spark, 1).repartition(5), rounds=4, tolerance=0, chunk=chunk)
+    want, likelihoods = model_one(4, 1)
+    rows = got.collect()
+    assert len(rows) == len(want) and {(r.s, r.t): round(r.p, 9) for r in rows} == {k: round(v, 9) for k, v in want.items()}
+    assert [round(x, 9) for _, x in log] == [round(x, 9) for x in likelihoods]
+
+
+def test_em_cells_of_one_key_are_one(spark):
+    """Rows of one key share out a target position together, whatever their texts, sizes and words, as the SQL does."""
+    pairs = [(1, "a b", "x y"), (1, "a b", "x y"), (1, "c", "z"), (2, "a c d", "y z"), (2, "d", "y"), (3, "b", "x")]
+    df = spark.createDataFrame([(k, s.split(), t.split()) for k, s, t in pairs], "id long, s array<string>, t array<string>")
+    cells, targets = {}, set()
+    for k, s, t in [(k, s.split(), t.split()) for k, s, t in pairs]:
+        for j, word in enumerate(t, 1):
+            centre = math.ceil(j * len(s) / len(t))
+            near = s[max(centre - 1, 1) - 1:centre + 1]
+            cells.setdefault((k, j), []).extend((x, word, len(near)) for x in near)
+            targets.add(word)
+    p, log = None, []
+    for _ in range(3):
+        counts, ll = {}, 0.0
+        for cell in cells.values():
+            z = sum(p[s, t] for s, t, _ in cell) if p else 0
+            for s, t, n in cell:
+                counts[s, t] = counts.get((s, t), 0) + (p[s, t] / z if p else 1 / n)
+                ll += (math.log(z / n) if p else -math.log(len(targets))) / n
+        whole = {}
+        for (s, _), c in counts.items():
+            whole[s] = whole.get(s, 0) + c
+        p = {(s, t): c / whole[s] for (s, t), c in counts.items()}
+        log.append(ll)
+    for chunk in (2, EM.CHUNK):
+        got, found = EM.train(EM.banded_links(df, "id", F.col("s"), F.col("t"), 1), rounds=3, tolerance=0, chunk=chunk)
+        assert {(r.s, r.t): round(r.p, 9) for r in got.collect()} == {k: round(v, 9) for k, v in p.items()}
+        assert [round(x, 9) for _, x in found] == [round(x, 9) for x in log]
+
+
+def test_em_rounds_exchange_sums_not_links(spark):
+    """Between chunks go sums per word, not links or pairs; chunks and counts meet without an exchange."""
+    rng = random.Random(5)
+    rows = [(i, rng.choices("abcdefghijklmnopqrst", k=40), [rng.choice("uvwxyz") + str(rng.randrange(40)) for _ in range(40)]) for i in range(200)]
+    every = EM.banded_links(spark.createDataFrame(rows, "id long, s array<string>, t array<string>"), "id", F.col("s"), F.col("t"))
+    chunks = EM.chunks_of(every)
+    whole = every.count()
+    assert chunks.agg(F.sum(F.size("link"))).first()[0] == whole
+    counts = EM._kept(chunks.mapInArrow(lambda b: EM._counted(b, 240), EM._COUNTS), "counts")
+    for threshold in ("-1", "10m"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        try:
+            counted = chunks.join(counts.select("chunk", "counts"), "chunk")
+            parts = EM.part_sums(counted)
+            assert parts.count() < 20 * 2 * chunks.count() + whole / 10
+            if threshold == "-1":
+                plan = parts._jdf.queryExecution().executedPlan().toString()
+                assert plan.count("Exchange") == 1 and "shared" in plan.split("Exchange")[1]
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_best_targets_break_ties_by_word(spark):
     probs = spark.createDataFrame([("a", "z", 0.5), ("a", "y", 0.5), ("b", "q", 0.9), ("b", "p", 0.1)], "s string, t string, p double")
     assert sorted((r.s, r.t) for r in EM.best_targets(probs).collect()) == [("a", "y"), ("b", "q")]

@@ -9,7 +9,8 @@ the text; a band as wide as the sentence is the classic model without positions.
 The links of one target word are a cell (key, j). Cells are dealt out once, in order of their
 target words, and packed into chunks of bounded size: words and distinct (s, t) pairs once, links
 as numbers. A round runs inside the chunks, in arrays. Between them go only each chunk's sums per
-source word, and per pair for the few target words that several chunks have. A round's
+source word, and per pair for the few target words that several chunks have: numbers alone, by
+parts (hashes of source words), as which words stand where is settled before the first round. A round's
 counts are written to the shared folder with the log-likelihood of its input, so the stop rule
 reads one number a chunk and a lost executor costs no round.
 """
@@ -17,6 +18,7 @@ reads one number a chunk and a lost executor costs no round.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Callable
 from functools import partial
 
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from parallax.sources.io import scratch_path, write_bucketed, written
 
 BAND = 2
-CHUNK = 1 << 19  # links of a chunk, about
+CHUNK = 1 << 20  # links of a chunk, about
 ROUNDS = 5
 TOLERANCE = 1e-4
 
@@ -64,7 +66,7 @@ def _cells(links: DataFrame) -> DataFrame:
 
 
 _CHUNKS = ("chunk long, s array<string>, t array<string>, pair_s array<int>, pair_t array<int>, "
-           "link array<int>, size array<int>, cell array<int>")
+           "link array<int>, size array<int>, cell array<int>, parts array<int>")
 
 
 def _row(key: int, schema: str, *values) -> pa.RecordBatch:
@@ -74,8 +76,9 @@ def _row(key: int, schema: str, *values) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), *lists], names=[c.split()[0] for c in schema.split(", ")])
 
 
-def _packed(batches, chunk):
-    """Cells > chunks: distinct words and pairs, the pair of each link, its cell's size, links per cell."""
+def _packed(batches, chunk, parts):
+    """Cells > chunks: distinct words and pairs, the pair of each link, its cell's size, links per cell.
+    Source words stand in order of their part; ``parts`` has the words in each."""
     task, made, held, links = TaskContext.get().partitionId(), 0, [], 0
     for batch in batches:
         ends = np.cumsum(pc.list_value_length(batch.column(1)).to_numpy())
@@ -86,13 +89,13 @@ def _packed(batches, chunk):
             held.append(batch.slice(a, b - a))
             links += ends[b - 1] - (ends[a - 1] if a else 0)
             if links >= chunk:
-                yield _chunk(task << 32 | made, held)
+                yield _chunk(task << 32 | made, held, parts)
                 made, held, links = made + 1, [], 0
     if held:
-        yield _chunk(task << 32 | made, held)
+        yield _chunk(task << 32 | made, held, parts)
 
 
-def _chunk(key, held):
+def _chunk(key, held, parts):
     t, s, size = (pa.concat_arrays([b.column(i) for b in held]) for i in range(3))
     cell = pc.list_value_length(s).to_numpy()
 
@@ -101,11 +104,14 @@ def _chunk(key, held):
         return np.repeat(values, np.repeat(np.where(own == 1, cell, 1), own))
 
     words, targets = (a.flatten().dictionary_encode() for a in (s, t))
-    code = words.indices.to_numpy() * np.int64(len(targets.dictionary)) + per_link(t, targets.indices.to_numpy())
+    part = np.array([zlib.crc32(w.encode()) % parts for w in words.dictionary.to_pylist()], np.int64)
+    order = np.argsort(part, kind="stable")
+    code = np.argsort(order)[words.indices.to_numpy()] * np.int64(len(targets.dictionary)) + per_link(t, targets.indices.to_numpy())
     pairs, link = np.unique(code, return_inverse=True)
     pair_s, pair_t = np.divmod(pairs, max(len(targets.dictionary), 1))
-    return _row(key, _CHUNKS, words.dictionary, targets.dictionary, pair_s.astype(np.int32), pair_t.astype(np.int32),
-                link.astype(np.int32), per_link(size, size.flatten().to_numpy()), cell.astype(np.int32))
+    return _row(key, _CHUNKS, words.dictionary.take(pa.array(order)), targets.dictionary, pair_s.astype(np.int32), pair_t.astype(np.int32),
+                link.astype(np.int32), per_link(size, size.flatten().to_numpy()), cell.astype(np.int32),
+                np.bincount(part, minlength=parts).astype(np.int32))
 
 
 def _chunks(batches):
@@ -122,11 +128,27 @@ def _shared(c):
     return np.flatnonzero(pc.is_in(c["t"], value_set=c["shared"]).to_numpy(zero_copy_only=False)[c["pair_t"].to_numpy()])
 
 
+def _by_part(c, shared):
+    """(order, numbers per part): the source words and then the shared pairs, by part."""
+    own = np.repeat(np.arange(len(c["parts"])), c["parts"].to_numpy())
+    part = np.concatenate((own, own[c["pair_s"].to_numpy()[shared]]))
+    return np.argsort(part, kind="stable"), np.bincount(part, minlength=len(c["parts"]))
+
+
+def _from_parts(c, name, shared):
+    """What all parts say of the source words and of the shared pairs."""
+    order, _ = _by_part(c, shared)
+    out = np.empty(len(order), c[name].type.to_pandas_dtype())
+    out[order] = c[name].to_numpy(zero_copy_only=False)
+    return out[:len(c["s"])], out[len(c["s"]):]
+
+
 def _probabilities(c):
     """p of each pair: its count over all chunks by that of its source word."""
-    counts, total, words = c["counts"].to_numpy().copy(), c["total"].to_numpy(), len(c["s"])
-    counts[_shared(c)] = total[words:]
-    return counts / total[:words][c["pair_s"].to_numpy()]
+    shared = _shared(c)
+    counts, (total, whole) = c["counts"].to_numpy().copy(), _from_parts(c, "total", shared)
+    counts[shared] = whole
+    return counts / total[c["pair_s"].to_numpy()]
 
 
 _COUNTS = "chunk long, counts array<double>, ll array<double>"
@@ -146,56 +168,110 @@ def _counted(batches, vocabulary):
         yield _row(c["chunk"], _COUNTS, np.bincount(link, share, len(c["pair_s"])), np.array([ll.sum()]))
 
 
-_PARTS = "chunk long, k int, s string, t string, c double"
+_PARTS = "part int, chunk long, c array<double>"
+_WORDS = "part int, chunk long, s array<string>, t array<string>"
+_PLACES = "part int, chunk long, id array<int>"
+_SUMS = "part int, chunk long, total array<double>, first array<boolean>"
+
+
+def _lists(keys, ends, names, *values) -> pa.RecordBatch:
+    """Rows of the keys and, of each of the values, the stretches that end there."""
+    ends = pa.array(np.concatenate(([0], ends)), pa.int32())
+    return pa.RecordBatch.from_arrays([*keys, *(pa.ListArray.from_arrays(ends, v if isinstance(v, pa.Array) else pa.array(v))
+                                                for v in values)], names=[n.split()[0] for n in names.split(", ")])
+
+
+def _part_keys(c):
+    return pa.array(np.arange(len(c["parts"]), dtype=np.int32)), pa.array(np.full(len(c["parts"]), c["chunk"]))
 
 
 def _parted(batches):
-    """What a chunk tells the others: its counts per source word (t null) and per shared pair, numbered."""
+    """What a chunk tells the others: its counts per source word and per shared pair, a row a part."""
     for c in _chunks(batches):
-        pair_s, pair_t, counts = (c[n].to_numpy() for n in ("pair_s", "pair_t", "counts"))
-        words, shared = len(c["s"]), _shared(c)
-        k = np.arange(words + len(shared), dtype=np.int32)
-        yield pa.RecordBatch.from_arrays([
-            pa.array(np.full(len(k), c["chunk"])), pa.array(k), pa.concat_arrays([c["s"], c["s"].take(pa.array(pair_s[shared]))]),
-            pa.concat_arrays([pa.nulls(words, pa.string()), c["t"].take(pa.array(pair_t[shared]))]),
-            pa.array(np.concatenate((np.bincount(pair_s, counts, words), counts[shared])))], names=["chunk", "k", "s", "t", "c"])
+        shared, counts = _shared(c), c["counts"].to_numpy()
+        order, own = _by_part(c, shared)
+        sums = np.concatenate((np.bincount(c["pair_s"].to_numpy(), counts, len(c["s"])), counts[shared]))
+        yield _lists(_part_keys(c), np.cumsum(own), _PARTS, sums[order])
+
+
+def _worded(batches):
+    """The source words and shared pairs (t null, or not) that ``_parted`` counts, in its order."""
+    for c in _chunks(batches):
+        shared = _shared(c)
+        order, own = _by_part(c, shared)
+        s, t = (c[n].take(c[f"pair_{n}"].take(pa.array(shared))) for n in "st")
+        both = (pa.concat_arrays([c["s"], s]), pa.concat_arrays([pa.nulls(len(c["s"]), pa.string()), t]))
+        yield _lists(_part_keys(c), np.cumsum(own), _WORDS, *(a.take(pa.array(order)) for a in both))
+
+
+def _joined(table, name):
+    """(all lists of a column as one, their lengths)."""
+    lists = table.column(name).combine_chunks()
+    return lists.flatten(), pc.list_value_length(lists).to_numpy()
+
+
+def _numbered(words: pa.Table) -> pa.Table:
+    """One part's words and pairs as numbers that its chunks share."""
+    (s, own), (t, _) = _joined(words, "s"), _joined(words, "t")
+    s, t = s.dictionary_encode().indices.to_numpy(), t.dictionary_encode(null_encoding="encode").indices.to_numpy()
+    _, numbers = np.unique(s * np.int64(t.max(initial=0) + 1) + t, return_inverse=True)
+    keys = [words.column(n).combine_chunks() for n in ("part", "chunk")]
+    return pa.Table.from_batches([_lists(keys, np.cumsum(own), _PLACES, numbers.astype(np.int32))])
+
+
+def _summed(parts: pa.Table, places: pa.Table) -> pa.Table:
+    """One part's counts summed over all chunks, and whether a chunk is the first to have the number."""
+    parts, places = parts.sort_by("chunk"), places.sort_by("chunk")
+    (c, own), (numbers, _) = _joined(parts, "c"), _joined(places, "id")
+    numbers = numbers.to_numpy()
+    first = np.zeros(len(numbers), bool)
+    first[np.unique(numbers, return_index=True)[1]] = True
+    total = np.bincount(numbers, c.to_numpy()).astype(float)[numbers]  # a part may be empty
+    keys = [parts.column(n).combine_chunks() for n in ("part", "chunk")]
+    return pa.Table.from_batches([_lists(keys, np.cumsum(own), _SUMS, total, first)])
 
 
 def _listed(batches):
     """(s, t, p), each pair from the first chunk that has it."""
     for c in _chunks(batches):
-        own = np.ones(len(c["pair_s"]), bool)
-        own[_shared(c)] = c["first"].to_numpy(zero_copy_only=False)[len(c["s"]):]
+        own, shared = np.ones(len(c["pair_s"]), bool), _shared(c)
+        own[shared] = _from_parts(c, "first", shared)[1]
         s, t = (c[n].take(c[f"pair_{n}"].filter(pa.array(own))) for n in "st")
         yield pa.RecordBatch.from_arrays([s, t, pa.array(_probabilities(c)[own])], names=["s", "t", "p"])
 
 
-def _kept(chunks: DataFrame, name: str) -> DataFrame:
-    """Written by chunk, so that chunks and their counts meet without an exchange."""
-    return write_bucketed(chunks, scratch_path(chunks.sparkSession, name), "chunk", exchange=False)
+def _kept(chunks: DataFrame, name: str, key: str = "chunk") -> DataFrame:
+    """Written by the key, so that chunks and their counts, or a part's, meet without an exchange."""
+    return write_bucketed(chunks, scratch_path(chunks.sparkSession, name), key, exchange=False)
 
 
 def chunks_of(links: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Links > bucketed chunks of whole cells, each with the target words it shares with others."""
     cells = written(_cells(links), "em-cells")
-    packed = cells.repartitionByRange("t", "s").sortWithinPartitions("t", "s").mapInArrow(partial(_packed, chunk=chunk), _CHUNKS)
+    parts = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = cells.repartitionByRange("t", "s").sortWithinPartitions("t", "s").mapInArrow(
+        partial(_packed, chunk=chunk, parts=parts), _CHUNKS)
     chunks = _kept(packed, "em-chunks")
     places = chunks.select("chunk", F.explode("t").alias("t")).groupBy("t").agg(F.collect_set("chunk").alias("chunks"))
     shared = places.where(F.size("chunks") > 1).select("t", F.explode("chunks").alias("chunk"))
     return chunks.join(written(shared.groupBy("chunk").agg(F.collect_list("t").alias("shared")), "em-shared"), "chunk", "left")
 
 
+def places_of(chunks: DataFrame) -> DataFrame:
+    """(part, chunk, id): the numbers, within a part, of the words and pairs whose sums a chunk tells."""
+    return _kept(chunks.mapInArrow(_worded, _WORDS).groupBy("part").applyInArrow(_numbered, _PLACES), "em-places", "part")
+
+
 def part_sums(counted: DataFrame) -> DataFrame:
-    """(chunk, k, s, t, c): what the chunks tell each other in a round."""
+    """(part, chunk, c): what the chunks tell each other in a round."""
     return counted.mapInArrow(_parted, _PARTS)
 
 
-def whole_sums(parts: DataFrame) -> DataFrame:
-    """(chunk, total, first): the parts summed over all chunks, and whether this chunk is the first to have them."""
-    same = Window.partitionBy("s", "t")
-    sums = parts.select("chunk", "k", F.sum("c").over(same).alias("total"), (F.min("chunk").over(same) == F.col("chunk")).alias("first"))
-    lists = sums.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("k", "total", "first"))).alias("l"))
-    return lists.select("chunk", F.col("l.total").alias("total"), F.col("l.first").alias("first"))
+def whole_sums(parts: DataFrame, places: DataFrame) -> DataFrame:
+    """(chunk, total, first), by part: the sums over all chunks, and whether this chunk is the first to have them."""
+    sums = parts.groupBy("part").cogroup(places.groupBy("part")).applyInArrow(_summed, _SUMS)
+    lists = sums.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("part", "total", "first"))).alias("l"))
+    return lists.select("chunk", F.flatten("l.total").alias("total"), F.flatten("l.first").alias("first"))
 
 
 def train(links: DataFrame, rounds: int = ROUNDS, tolerance: float = TOLERANCE,
@@ -205,7 +281,7 @@ def train(links: DataFrame, rounds: int = ROUNDS, tolerance: float = TOLERANCE,
     probabilities come from the last round's written counts. Words are not null."""
     chunks = chunks_of(links, chunk)
     vocabulary = chunks.select(F.explode("t")).distinct().count()
-    known, log = chunks, []
+    known, log, places = chunks, [], places_of(chunks)
     for i in range(1, rounds + 1):
         counts = _kept(known.mapInArrow(partial(_counted, vocabulary=vocabulary), _COUNTS), "em-counts")
         likelihood = counts.agg(F.sum(F.col("ll")[0])).first()[0] or 0.0
@@ -213,7 +289,7 @@ def train(links: DataFrame, rounds: int = ROUNDS, tolerance: float = TOLERANCE,
         if on_round is not None:
             on_round(i, likelihood)
         counted = chunks.join(counts.select("chunk", "counts"), "chunk")
-        known = counted.join(whole_sums(part_sums(counted)), "chunk")
+        known = counted.join(whole_sums(part_sums(counted), places), "chunk")
         if i > 1 and tolerance and likelihood - log[-2][1] < tolerance * math.fabs(log[-2][1]):
             break
     return known.mapInArrow(_listed, "s string, t string, p double"), log

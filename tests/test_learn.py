@@ -137,6 +137,37 @@ def test_em_rounds_exchange_sums_not_links(spark):
             spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_em_rounds_exchange_no_words(spark):
+    """A round's sums are numbers alone, a row a part; what they stand for is dealt out once, and is not exchanged again."""
+    rng = random.Random(7)
+    rows = [(i, rng.choices("abcdefghijklmnopqrst", k=9), [rng.choice("xyz") + str(rng.randrange(6)) for _ in range(9)]) for i in range(60)]
+    every = EM.banded_links(spark.createDataFrame(rows, "id long, s array<string>, t array<string>"), "id", F.col("s"), F.col("t"))
+    chunks = EM.chunks_of(every, 300)
+    places = EM.places_of(chunks)
+    counts = EM._kept(chunks.mapInArrow(lambda b: EM._counted(b, 18), EM._COUNTS), "counts")
+    counted = chunks.join(counts.select("chunk", "counts"), "chunk")
+    parts = EM.part_sums(counted)
+    assert dict(parts.dtypes) == {"part": "int", "chunk": "bigint", "c": "array<double>"}
+    kept = {r.chunk: r for r in counted.collect()}
+    n, shared = len(kept), {k: [i for i, t in enumerate(r.pair_t) if r.t[t] in set(r.shared or ())] for k, r in kept.items()}
+    assert n > 3 and any(shared.values()) and parts.count() == n * len(next(iter(kept.values())).parts)
+    told = sum(len(r.s) + len(shared[k]) for k, r in kept.items())
+    assert parts.agg(F.sum(F.size("c"))).first()[0] == places.agg(F.sum(F.size("id"))).first()[0] == told
+    whole = EM.whole_sums(parts, places)
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(part") == 1
+    want = {}
+    for r in kept.values():
+        for i, c in enumerate(r.counts):
+            for key in (r.s[r.pair_s[i]], (r.s[r.pair_s[i]], r.t[r.pair_t[i]])):
+                want[key] = want.get(key, 0) + c
+    for r in whole.collect():
+        k = kept[r.chunk]
+        own = np.repeat(np.arange(len(k.parts)), k.parts)
+        keys = sorted([(own[i], 0, i, s) for i, s in enumerate(k.s)] + [(own[k.pair_s[i]], 1, i, (k.s[k.pair_s[i]], k.t[k.pair_t[i]])) for i in shared[r.chunk]])
+        assert np.allclose(r.total, [want[key[-1]] for key in keys]) and len(r.first) == len(keys)
+
+
 def test_best_targets_break_ties_by_word(spark):
     probs = spark.createDataFrame([("a", "z", 0.5), ("a", "y", 0.5), ("b", "q", 0.9), ("b", "p", 0.1)], "s string, t string, p double")
     assert sorted((r.s, r.t) for r in EM.best_targets(probs).collect()) == [("a", "y"), ("b", "q")]

@@ -6,8 +6,8 @@ each (source word, target word) link under the present probabilities and sums th
 to new ones. A pair has at most 2 * band + 1 links per target word, so rows are linear in
 the text; a band as wide as the sentence is the classic model without positions.
 
-The links of one target word are a cell (key, j). Cells are dealt out once, in order of their
-target words, and packed into chunks of bounded size: words and distinct (s, t) pairs once, links
+The links of one target word are a cell (key, j). Cells are dealt out once, as one string each, in order of
+their target words, and packed into chunks of bounded size: words and distinct (s, t) pairs once, links
 as numbers. A round runs inside the chunks, in arrays. Between them go only each chunk's sums per
 source word, and per pair for the few target words that several chunks have: numbers alone, by
 parts (hashes of source words), as which words stand where is settled before the first round. A round's
@@ -26,21 +26,20 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parallax.sources.io import scratch_path, write_bucketed, written
 
 BAND = 2
 CHUNK = 1 << 20  # links of a chunk, about
+FULL = 1.25  # tasks per chunk's worth of links: ranges are uneven, and few tasks are to have a second chunk
 ROUNDS = 5
 TOLERANCE = 1e-4
 
 
-def banded_links(pairs: DataFrame, key: str, src: str, tgt: str, band: int = BAND) -> DataFrame:
-    """Token arrays > (key, j, t, s, size): target word j and each source word within ``band`` of
-    ceil(j * n / m); size is the number of these. Pairs with an empty or null side have none.
-    Rows are dealt out by key while they are pairs, so that cells need no exchange."""
+def _banded(src, tgt, band: int):
+    """(j, t, ss) of each target word of a pair; null if a side is empty or null."""
     n, m = F.size(src), F.size(tgt)
 
     def cell(j):
@@ -49,20 +48,89 @@ def banded_links(pairs: DataFrame, key: str, src: str, tgt: str, band: int = BAN
         return F.struct(j.alias("j"), F.element_at(tgt, j).alias("t"),
                         F.slice(src, low, F.least(centre + band, n) - low + 1).alias("ss"))
 
-    cells = pairs.where((n > 0) & (m > 0)).repartition(F.col(key)).select(F.col(key).alias("key"), F.explode(
-        F.transform(F.sequence(F.lit(1), m), cell)).alias("c"))
+    return F.when((n > 0) & (m > 0), F.transform(F.sequence(F.lit(1), m), cell))
+
+
+def _links_of(cells: DataFrame) -> DataFrame:
     return cells.select("key", "c.j", "c.t", F.size("c.ss").alias("size"), F.explode("c.ss").alias("s"))
 
 
+def banded_links(pairs: DataFrame, key: str, src: str, tgt: str, band: int = BAND) -> DataFrame:
+    """Token arrays > (key, j, t, s, size): target word j and each source word within ``band`` of
+    ceil(j * n / m); size is the number of these. Pairs with an empty or null side have none.
+    Rows are dealt out by key while they are pairs, so that cells need no exchange."""
+    some = pairs.where((F.size(src) > 0) & (F.size(tgt) > 0)).repartition(F.col(key))
+    return _links_of(some.select(F.col(key).alias("key"), F.explode(_banded(src, tgt, band)).alias("c")))
+
+
+def banded_cells(pairs: DataFrame, key: str, src: Column, tgt: Column, band: int = BAND) -> DataFrame:
+    """The cells of ``banded_links``, for ``train``. Only keys that several rows have are grouped link by
+    link: else a pair's cells are whole as they are. Token arrays given as expressions are
+    made after the exchange by key."""
+    rows = pairs.repartition(_partitions(pairs), F.col(key)).withColumn(
+        "_rows", F.count(F.lit(1)).over(Window.partitionBy(key)))
+    words = rows.select(F.col(key).alias("key"), "_rows", src.alias("s"), tgt.alias("t"))  # once, not for each cell
+    cells = words.select("key", "_rows", F.explode(_banded(F.col("s"), F.col("t"), band)).alias("c"))
+    own = cells.where(F.col("_rows") == 1)
+    return _compact(own, F.array("c.t"), F.array_sort("c.ss"), F.array(F.size("c.ss"))).unionByName(
+        _cells(_links_of(cells.where(F.col("_rows") > 1))))
+
+
+def _partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _cells(links: DataFrame) -> DataFrame:
-    """(t, s, size) of each cell as arrays of its links, in order; where all links have one t or
-    one size, that array is of length one."""
+    """The cells of links, each cell's in order."""
     cells = links.groupBy("key", "j").agg(F.array_sort(F.collect_list(F.struct("t", "s", "size"))).alias("l"))
 
     def short(a):
         return F.when(F.size(F.array_distinct(a)) == 1, F.slice(a, 1, 1)).otherwise(a)
 
-    return cells.select(short(F.col("l.t")).alias("t"), F.col("l.s").alias("s"), short(F.col("l.size")).alias("size"))
+    return _compact(cells, short(F.col("l.t")), F.col("l.s"), short(F.col("l.size")))
+
+
+_CELLS = ["n", "c", "t", "size"]
+_BETWEEN = "\x1f"
+_ESCAPED = (("\x1b", "\x1be"), (_BETWEEN, "\x1bu"))
+
+
+def _compact(cells: DataFrame, t, s, size) -> DataFrame:
+    """(n, c, t, size) of arrays, where those of length one hold for all n links: c has a target word and
+    the source words as one string; t and size are empty if it says enough, as it does of nearly all cells
+    (empty, as Arrow is slow to take lists that are null)."""
+    def escaped(w):
+        for was, mark in _ESCAPED:
+            w = F.replace(w, F.lit(was), F.lit(mark))
+        return w
+
+    def said(a, enough):
+        return F.when(enough, F.slice(a, 1, 0)).otherwise(a)
+
+    n = F.size(s)
+    return cells.select(n.alias("n"), F.concat_ws(_BETWEEN, F.transform(F.concat(F.slice(t, 1, 1), s), escaped)).alias("c"),
+                        said(t, F.size(t) == 1).alias("t"), said(size, (F.size(size) == 1) & (size[0] == n)).alias("size"))
+
+
+def _opened(batch):
+    """(t, s, size) of compact cells as lists of words and numbers."""
+    c, t, size = (batch.column(batch.schema.get_field_index(name)) for name in _CELLS[1:])
+    lists = pc.split_pattern(c, _BETWEEN)
+    words, own = lists.flatten(), pc.list_value_length(lists).to_numpy()
+    for was, mark in reversed(_ESCAPED):
+        words = pc.replace_substring(words, mark, was)
+    first = np.zeros(len(words), bool)
+    first[np.cumsum(own) - own] = True
+
+    def lists_of(values, lengths):
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32()), values)
+
+    def filled(given, values):
+        plain, empty = lists_of(values, np.ones(len(own), np.int64)), pc.equal(pc.list_value_length(given), 0)
+        return plain if pc.all(empty).as_py() else pc.if_else(empty, plain.cast(given.type), given)
+
+    return (filled(t, words.filter(pa.array(first))), lists_of(words.filter(pa.array(~first)), own - 1),
+            filled(size, pa.array(own - 1, pa.int32())))
 
 
 _CHUNKS = ("chunk long, s array<string>, t array<string>, pair_s array<int>, pair_t array<int>, "
@@ -81,12 +149,13 @@ def _packed(batches, chunk, parts):
     Source words stand in order of their part; ``parts`` has the words in each."""
     task, made, held, links = TaskContext.get().partitionId(), 0, [], 0
     for batch in batches:
-        ends = np.cumsum(pc.list_value_length(batch.column(1)).to_numpy())
-        cuts = [0, *(np.flatnonzero(np.diff(ends // chunk)) + 1), batch.num_rows]
+        cells = pa.RecordBatch.from_arrays([*_opened(batch)], names=["t", "s", "size"])
+        ends = np.cumsum(pc.list_value_length(cells.column(1)).to_numpy())
+        cuts = [0, *(np.flatnonzero(np.diff(ends // chunk)) + 1), cells.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             if a == b:
                 continue
-            held.append(batch.slice(a, b - a))
+            held.append(cells.slice(a, b - a))
             links += ends[b - 1] - (ends[a - 1] if a else 0)
             if links >= chunk:
                 yield _chunk(task << 32 | made, held, parts)
@@ -246,10 +315,12 @@ def _kept(chunks: DataFrame, name: str, key: str = "chunk") -> DataFrame:
 
 
 def chunks_of(links: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Links > bucketed chunks of whole cells, each with the target words it shares with others."""
-    cells = written(_cells(links), "em-cells")
-    parts = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    packed = cells.repartitionByRange("t", "s").sortWithinPartitions("t", "s").mapInArrow(
+    """Links, or cells, > bucketed chunks of whole cells, each with the target words it shares with others.
+    No more tasks pack them than there are full chunks, or cores: every chunk tells others of its source words."""
+    cells = written(links if links.columns == _CELLS else _cells(links), "em-cells")
+    parts, whole = _partitions(links), cells.agg(F.sum("n")).first()[0] or 0
+    tasks = min(parts, max(links.sparkSession.sparkContext.defaultParallelism, math.ceil(FULL * whole / chunk)))
+    packed = cells.select(*_CELLS[1:]).repartitionByRange(tasks, "c").sortWithinPartitions("c").mapInArrow(
         partial(_packed, chunk=chunk, parts=parts), _CHUNKS)
     chunks = _kept(packed, "em-chunks")
     places = chunks.select("chunk", F.explode("t").alias("t")).groupBy("t").agg(F.collect_set("chunk").alias("chunks"))
@@ -276,7 +347,7 @@ def whole_sums(parts: DataFrame, places: DataFrame) -> DataFrame:
 
 def train(links: DataFrame, rounds: int = ROUNDS, tolerance: float = TOLERANCE,
           on_round: Callable[[int, float], None] | None = None, chunk: int = CHUNK) -> tuple[DataFrame, list[tuple[int, float]]]:
-    """((s, t, p), [(round, log-likelihood before it)]). Ends after ``rounds``, or once the
+    """((s, t, p), [(round, log-likelihood before it)]) of links, or of ``banded_cells``. Ends after ``rounds``, or once the
     log-likelihood gains less than ``tolerance`` of itself; 0 runs all rounds. The
     probabilities come from the last round's written counts. Words are not null."""
     chunks = chunks_of(links, chunk)

@@ -50,23 +50,22 @@ def _ranked_sql(rounds: int, most: int) -> str:
   SELECT s, t, p, row_number() OVER (PARTITION BY s ORDER BY round(p, 9) DESC, t) AS rank FROM p{rounds}) WHERE rank <= {most})"""
 
 
-def train_links(pairs):
-    """The links of the train pairs within the band."""
-    return EM.banded_links(pairs.where("split = 'train'").select(
-        "pair_id", T.whitespace_tokens("src").alias("s"), T.whitespace_tokens("tgt").alias("t")),
-        "pair_id", F.col("s"), F.col("t"))
+def train_cells(pairs):
+    """The cells of the train pairs, linked within the band."""
+    return EM.banded_cells(pairs.where("split = 'train'").select("pair_id", "src", "tgt"), "pair_id",
+                           T.whitespace_tokens("src"), T.whitespace_tokens("tgt"))
 
 
 @query("m04_em_step", S.with_(_em_sql(1)) + "SELECT s, t, round(p, 9) AS p FROM p1")
 def m04_em_step(spark, sf):
     """One round from even probabilities."""
-    return EM.train(train_links(split_pairs(spark, sf)), rounds=1)[0].select("s", "t", F.round("p", 9).alias("p"))
+    return EM.train(train_cells(split_pairs(spark, sf)), rounds=1)[0].select("s", "t", F.round("p", 9).alias("p"))
 
 
 @query("m04_em", S.with_(_em_sql(EM_ROUNDS), _ranked_sql(EM_ROUNDS, 1)) + "SELECT s, t, round(p, 9) AS p FROM best")
 def m04_em(spark, sf):
     """The likeliest target of every source word after three rounds."""
-    probs, _ = EM.train(train_links(split_pairs(spark, sf)), EM_ROUNDS, tolerance=0)
+    probs, _ = EM.train(train_cells(split_pairs(spark, sf)), EM_ROUNDS, tolerance=0)
     return EM.best_targets(probs).select("s", "t", F.round("p", 9).alias("p"))
 
 
@@ -74,7 +73,7 @@ def m04_em(spark, sf):
     f"SELECT CAST({i} AS BIGINT) AS round, round(sum(ll), 6) AS log_likelihood FROM r{i}" for i in range(1, EM_ROUNDS + 1)))
 def m04_em_log(spark, sf):
     """The log-likelihood that each round started from."""
-    _, log = EM.train(train_links(split_pairs(spark, sf)), EM_ROUNDS, tolerance=0)
+    _, log = EM.train(train_cells(split_pairs(spark, sf)), EM_ROUNDS, tolerance=0)
     return spark.createDataFrame(log, "round bigint, log_likelihood double").withColumn(
         "log_likelihood", F.round("log_likelihood", 6))
 
@@ -116,7 +115,7 @@ FROM (SELECT pair_id FROM splits WHERE split = 'test') s LEFT JOIN (SELECT * FRO
 def m02_beam(spark, sf):
     """Beam search over the learned lexicon and a bigram model of the train targets."""
     pairs = written(split_pairs(spark, sf), "splits")
-    probs, _ = EM.train(train_links(pairs), EM_ROUNDS, tolerance=0)
+    probs, _ = EM.train(train_cells(pairs), EM_ROUNDS, tolerance=0)
     lm = MD.BigramLM.fit(pairs.where("split = 'train'").select(T.whitespace_tokens("tgt").alias("t")), "t")
     test = pairs.where("split = 'test'").select("pair_id", T.whitespace_tokens("src").alias("tokens"))
     found = D.beam_search(test, "pair_id", "tokens", EM.best_targets(probs, D.CANDIDATES), lm)

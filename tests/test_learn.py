@@ -168,6 +168,44 @@ def test_em_rounds_exchange_no_words(spark):
         assert np.allclose(r.total, [want[key[-1]] for key in keys]) and len(r.first) == len(keys)
 
 
+def test_em_cells_are_one_string_and_their_links_no_rows(spark):
+    """A cell of a key that one row has goes to its chunk as one string, and is not put together of links;
+    cells of keys that several rows have, or none, are. Words may hold what separates them."""
+    odd = ["a\x1fb", "\x1b", "\x1bu", "\x1f", "", "\x1be\x1f", "ü"]
+    rows = [(1, ["a", "b", "c"], ["x", "y"]), (2, odd, ["x", *odd[::-1]]), (3, ["a"], []), (4, None, ["x"]), (5, ["c", "a"], ["y"]),
+            (6, ["a", "b"], ["x", "y"]), (6, ["a", "b"], ["x", "y"]), (6, ["c"], ["z"]), (None, ["b"], ["x"]), (None, ["c", "d"], ["x"])]
+    df = spark.createDataFrame(rows, "id long, s array<string>, t array<string>")
+    links = EM.banded_links(df, "id", F.col("s"), F.col("t"), 1)
+    cells = EM.banded_cells(df, "id", F.col("s"), F.col("t"), 1)
+    assert cells.columns == ["n", "c", "t", "size"]
+    assert cells.count() == links.select(F.coalesce("key", F.lit(-1)), "j").distinct().count()
+    assert cells.agg(F.sum("n")).first()[0] == links.count()
+    key = lambda r: (r.c, r.t, r.size)
+    assert sorted(map(key, cells.collect())) == sorted(map(key, EM._cells(links).collect()))
+    once = EM.banded_cells(df.where("id < 6"), "id", F.col("s"), F.col("t"), 1).collect()
+    assert all(r.t == [] and r.size == [] for r in once) and "x\x1fa\x1fb\x1fc" in {r.c for r in once}
+    plan = cells._jdf.queryExecution().optimizedPlan().toString()
+    own, several = plan.split("Union")[1].split("Aggregate")
+    assert "_rows" in own and "collect_list" not in own and "_rows" in several
+    for chunk in (2, EM.CHUNK):
+        (want, log), (got, found) = (EM.train(x, rounds=3, tolerance=0, chunk=chunk) for x in (links, cells))
+        assert {(r.s, r.t): round(r.p, 9) for r in got.collect()} == {(r.s, r.t): round(r.p, 9) for r in want.collect()}
+        assert [round(x, 9) for _, x in found] == [round(x, 9) for _, x in log]
+
+
+def test_em_packs_in_no_more_tasks_than_full_chunks_or_cores(spark):
+    """Each chunk tells the others of its source words, so small links are not dealt to every shuffle partition."""
+    rng = random.Random(3)
+    rows = [(i, rng.choices("abcdefgh", k=20), [rng.choice("uvwxyz") + str(rng.randrange(40)) for _ in range(20)]) for i in range(50)]
+    cells = EM.banded_cells(spark.createDataFrame(rows, "id long, s array<string>, t array<string>"), "id", F.col("s"), F.col("t"))
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        assert EM.chunks_of(cells).count() <= spark.sparkContext.defaultParallelism < 40
+        assert EM.chunks_of(cells, 300).count() >= cells.agg(F.sum("n")).first()[0] / 300 / 2
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
 def test_best_targets_break_ties_by_word(spark):
     probs = spark.createDataFrame([("a", "z", 0.5), ("a", "y", 0.5), ("b", "q", 0.9), ("b", "p", 0.1)], "s string, t string, p double")
     assert sorted((r.s, r.t) for r in EM.best_targets(probs).collect()) == [("a", "y"), ("b", "q")]

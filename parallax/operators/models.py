@@ -22,7 +22,7 @@ from pyspark.sql.types import BooleanType, NumericType
 from parallax.functions import text as T
 from parallax.operators import rerank as R
 from parallax.operators.curate import evaluated_once
-from parallax.sources.io import written
+from parallax.sources.io import scratch_path, written
 
 ADD_K = 0.1
 OVERLAP_THRESHOLD = 0.5
@@ -217,7 +217,7 @@ def train_pair_classifier(examples: DataFrame, reg_params: Sequence[float] = (0.
                           num_features: int = 1 << 18, max_iter: int = 50):
     """The option to ``TokenLogOdds``: fit one logistic regression per regularisation value on the train split, keep the
     one with the best dev accuracy (first wins ties). Returns (model, dev_acc)."""
-    from pyspark.ml import Pipeline
+    from pyspark.ml import Pipeline, PipelineModel
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import HashingTF
 
@@ -230,7 +230,10 @@ def train_pair_classifier(examples: DataFrame, reg_params: Sequence[float] = (0.
             HashingTF(inputCol="features_raw", outputCol="features", numFeatures=num_features),
             LogisticRegression(featuresCol="features", labelCol="label_d", regParam=reg,
                                maxIter=max_iter)])
-        model = pipe.fit(train)
+        # reread without its training summary, which holds the session: tasks can't take that once the session observes rows
+        path = scratch_path(examples.sparkSession, "pair-classifier")
+        pipe.fit(train).write().save(path)
+        model = PipelineModel.load(path)
         acc = (model.transform(dev)
                .agg(F.avg((F.col("prediction") == F.col("label_d")).cast("double"))).first()[0])
         if acc is not None and acc > best_acc:

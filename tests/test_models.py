@@ -1,5 +1,6 @@
 """M1/M3 harnesses: the pluggable vectorised loader and the pyspark.ml classifier."""
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from parallax.operators import models as MD
@@ -39,6 +40,16 @@ def test_pair_classifier_learns_overlap(spark):
     assert dev_acc > 0.9 and acc > 0.9
 
 
+def test_pair_classifier_scores_in_a_session_that_observes(spark):
+    """The session's observations don't go to tasks, and so no fitted model may hold the session."""
+    seen = Observation()
+    assert spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).count() == 3 and seen.get["n"] == 3
+    rows = [(("train", "dev")[i % 5 == 0], i, f"w{i} w{i + 1}", f"w{i} w{i + 1}" if i % 2 else "z", i % 2) for i in range(40)]
+    ex = spark.createDataFrame(rows, "split string, example_id long, src string, tgt string, label int")
+    model, dev_acc = MD.train_pair_classifier(ex, reg_params=(0.01,), num_features=1 << 8, max_iter=5)
+    assert dev_acc > 0.5 and MD.score_detection(ex, model).count() == 40
+
+
 def test_texts_stay_out_of_the_feature_rows(spark):
     """Kept texts come back by the key; rows of one key that differ in any kept column stay apart."""
     train = spark.createDataFrame([("a b", "a c", 1), ("a b", "x y", 0), ("c d", "d c", 1)], "src string, tgt string, label int")
